@@ -76,40 +76,46 @@ def hash_rank(df: DataFrame, by: Sequence[str], salt: str, key: Sequence[str] |
     fixed even if tasks are retried.
     """
     n = df.count()
-    slices = max(1, -(-n // GROUP_ROWS))
-    width = -(-2 ** 32 // slices)
-    hashed = df.withColumn("_h", row_hash(df, key, salt))
-    groups = [col(c) for c in by]
+    width = -(-2 ** 32 // max(1, -(-n // GROUP_ROWS)))
     names = list(by)
-    hot = None
-    if n > GROUP_ROWS:
-        hot = (hashed.groupBy(*groups, "_h").agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > GROUP_ROWS).select(*names, "_h", (F.lit(1) + F.floor(F.col("_n") / GROUP_ROWS))
-                                                        .alias("_cuts")))
-        if hot.limit(1).count() == 0:
-            hot = None
-    if hot is None:
-        cut = hashed.withColumn("_cut", F.lit(0).cast("bigint")).withColumn("_pos", F.lit(0).cast("bigint"))
-    else:
+    hashed = (df.withColumn("_h", row_hash(df, key, salt))
+              .withColumn("_slice", F.floor(F.col("_h") / F.lit(width)))
+              .withColumn("_pos", F.lit(0).cast("bigint")).withColumn("_cut", F.lit(0).cast("bigint")))
+    hot = _hot_hashes(hashed, names)
+    if hot is not None:
         shared_dir(df.sparkSession)
-        fixed = hashed.checkpoint().withColumn("_pos", F.monotonically_increasing_id())
-        # fewer than n / GROUP_ROWS hashes can be hot, so this side is small
-        same = [fixed[c].eqNullSafe(hot[c]) for c in names] + [fixed["_h"] == hot["_h"]]
-        cut = fixed.join(F.broadcast(hot), same, "left").select(
-            *[fixed[c] for c in fixed.columns],
-            F.coalesce(F.pmod(F.xxhash64("_pos"), hot["_cuts"]) + 1, F.lit(0)).cast("bigint").alias("_cut"))
-    # order: slices of the hash; a hot hash is a slice of its own after the rest of its slice
-    cut = (cut.withColumn("_slice", F.floor(F.col("_h") / width))
-           .withColumn("_hot", F.when(F.col("_cut") > 0, F.col("_h"))))
-    slot = [*names, "_slice", "_hot", "_cut"]
-    sizes = cut.groupBy(*slot).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_slice", F.col("_hot").asc_nulls_first(), "_cut")
-    starts = (sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)))        # about n / GROUP_ROWS rows per group
-              .select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(slot)], "_start"))
-    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    within = Window.partitionBy(*slot).orderBy("_h", "_pos", *[c.cast("string") for c in others])
-    ranked = cut.withColumn("_row", F.row_number().over(within) - 1)
-    same = [ranked[c].eqNullSafe(starts[f"_k{i}"]) for i, c in enumerate(slot)]
-    return (ranked.join(starts, same, "left")
-            .select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_row")).alias("_rank")))
+        hashed = hashed.checkpoint().withColumn("_pos", F.monotonically_increasing_id())
+        mine = hashed.drop("_cut")
+        same = [mine[c].eqNullSafe(hot[c]) for c in names] + [mine["_h"] == hot["_h"]]
+        cuts = F.coalesce(1 + F.pmod(F.xxhash64("_pos"), hot["_cuts"]), F.lit(0).cast("bigint"))
+        hashed = mine.join(F.broadcast(hot), same, "left").select(*[mine[c] for c in mine.columns], cuts.alias("_cut"))
+    # order: by slice; a hot hash is a run of slots of its own after the rest of its slice
+    slot = F.struct(*[col(c) for c in names], "_slice", F.when(F.col("_cut") > 0, F.col("_h")).alias("_hot"), "_cut")
+    slotted = hashed.withColumn("_slot", slot)
+    sizes = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_size"))
+    before = (Window.partitionBy(*([F.col("_slot").getField(c) for c in names] or [F.lit(0)]))
+              .orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))     # some n / GROUP_ROWS slots
+    starts = sizes.select("_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    ties = [col(c).cast("string") for c in (key or df.columns)]
+    within = Window.partitionBy("_slot").orderBy("_h", "_pos", *ties)
+    ranked = slotted.withColumn("_row", F.row_number().over(within) - 1)
+    return (ranked.join(starts, "_slot")
+            .select(*[col(c) for c in df.columns], (F.col("_start") + F.col("_row")).alias("_rank")))
+
+
+def _hot_hashes(hashed: DataFrame, names: list[str]) -> DataFrame | None:
+    """(by..., _h, _cuts) of the hashes that one task should not sort alone, if there are any.
+
+    Slice sizes, a tiny aggregate, show whether there is anything to look for; only the
+    overfull slices are then counted by hash.
+    """
+    full = (hashed.groupBy(*[col(c) for c in names], "_slice").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > 2 * GROUP_ROWS).select("_slice").distinct())
+    slices = [r[0] for r in full.limit(1001).collect()]
+    if not slices:
+        return None
+    some = hashed.filter(F.col("_slice").isin(slices)) if len(slices) <= 1000 else hashed
+    # fewer than n / GROUP_ROWS hashes can qualify, so the result is small
+    return (some.groupBy(*[col(c) for c in names], "_h").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > GROUP_ROWS)
+            .withColumn("_cuts", 1 + F.floor(F.col("_n") / GROUP_ROWS)).drop("_n"))
