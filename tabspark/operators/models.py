@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -48,6 +49,31 @@ def concurrently(calls: list) -> list:
         return [f.result() for f in [pool.submit(bound(c)) for c in calls]]
 
 
+SPREAD_ROWS = 20_000
+
+
+@contextmanager
+def ready(data: DataFrame):
+    """The rows persisted for passes to come, on enough partitions to keep the cores busy.
+
+    A table that arrives in a few partitions (one unsplittable file, or a small shuffle that
+    was coalesced) is spread once; large inputs have plenty and are left as they are.
+    """
+    rows = data.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    n, used = parts.agg(F.sum("count"), F.count(F.lit(1))).first()
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if (n or 0) >= SPREAD_ROWS and used < cores:
+        spread = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        spread.count()
+        rows.unpersist()
+        rows = spread
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def _padded(probabilities: Column, classes: int) -> Column:
     """A training part may lack the last classes; they get probability 0."""
     gap = F.greatest(F.lit(0), F.lit(classes) - F.size(probabilities))

@@ -145,14 +145,14 @@ def _order_statistics(values: DataFrame, names: list[str],
             for k in sorted({math.floor(p * (n - 1)), math.ceil(p * (n - 1))}) if n else ():
                 ends[len(ranks)] = (row[name][2 * p_index], row[name][2 * p_index + 1])
                 ranks[len(ranks)] = _Rank(j, k, n, inside=n)
-    tests = {}
+    tests = {}                  # ranks with the same bracket share its counts
     for i, rank in ranks.items():
         v, (a, b) = F.col(names[rank.column]), ends[i]
-        tests[i, 0], tests[i, 1] = _count(v < a), _count(v == a)
-        tests[i, 2], tests[i, 3] = _count((v > a) & (v < b)), _count((v == b) & F.lit(a < b))
+        around = [v < a, v == a, (v > a) & (v < b)] + ([v == b] if a < b else [])
+        tests.update({(rank.column, a, b, c): _count(test) for c, test in enumerate(around)})
     counts = agg_row(values, tests)
     for i, rank in ranks.items():
-        rank.narrow(*ends[i], *[counts[i, c] for c in range(4)])
+        rank.narrow(*ends[i], *[counts.get((rank.column, *ends[i], c), 0) for c in range(4)])
     tests = {}
     for rank in ranks.values():
         if rank.answer is None:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from tabspark.operators import metrics as M, models, splits
 from tabspark.operators.clean import drop_null_target, null_target_rows
 from tabspark.operators.mlp import NetCore
+from tabspark.operators.prep import FeatureSpec
 from tabspark.operators.profile import detect_task
 from tabspark.plans import tuning
 from tabspark.plans.recipe import Recipe
-from tabspark.plans.train import Fitted, fit, target_codec
+from tabspark.plans.train import Fitted, fit_rows, needed_columns, target_codec
 from tabspark.sources.runs import Runs
 
 NETS = ("mlp", "deep_mlp")
@@ -97,15 +98,22 @@ def train(df: DataFrame, target: str, model: str = "random_forest", recipe: Reci
 
 
 def _execute(s: RunSpec, df: DataFrame) -> Run:
-    dropped = null_target_rows(df, s.target)
-    df = drop_null_target(df, s.target)
+    spec = FeatureSpec.from_df(df, s.target, s.exclude)
+    if s.key:                       # without a key the splits hash the whole row
+        df = needed_columns(df, spec, s.key)
+    # a run reads its rows many times; what stands before them (joins, recipes) runs once
+    with models.ready(df) as rows:
+        return _run_on(s, spec, drop_null_target(rows, s.target), null_target_rows(rows, s.target))
+
+
+def _run_on(s: RunSpec, spec: FeatureSpec, df: DataFrame, dropped: int) -> Run:
     task = s.task or detect_task(df, s.target)
     codec = target_codec(df, s.target, task)
     params, trials = s.params, []
     if s.model in (*NETS, "ensemble"):
         params = s.params or {}
     elif params is None:
-        found = tuning.tune(df, s.target, s.model, s.n_trials, s.cv, s.space, s.seed, s.key, task, s.tune_on, s.exclude)
+        found = tuning.tune_rows(df, spec, codec, s.model, s.n_trials, s.cv, s.space, s.seed, s.key, s.tune_on)
         params, trials = found.best_params, found.log
     if s.model == "deep_mlp" or s.tune_on == "validation":
         parted = splits.three_way(df, s.seed, s.key)
@@ -115,8 +123,8 @@ def _execute(s: RunSpec, df: DataFrame) -> Run:
     else:
         parted = splits.holdout(df, seed=s.seed, key=s.key)
         train_rows, test = parted.filter("not is_test").drop("is_test"), parted.filter("is_test").drop("is_test")
-    measured = fit(train_rows, s.target, s.model, params, task, s.seed, codec, s.exclude)
-    kept = fit(df, s.target, s.model, params, task, s.seed, codec, s.exclude) if s.cv else measured
+    measured = fit_rows(train_rows, spec, s.model, params, task, s.seed, codec)
+    kept = fit_rows(df, spec, s.model, params, task, s.seed, codec) if s.cv else measured
     pred = measured.predict(test, [s.target])
     table = (M.classification_metrics if codec else M.regression_metrics)(pred, s.target)
     values = {r["metric"]: r["value"] for r in M.metrics_long(table).collect()}

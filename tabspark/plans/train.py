@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -67,15 +66,26 @@ def fit(df: DataFrame, target: str, model: str = "random_forest", params: dict |
     'linear' is logistic regression for classification and ridge for regression.
     """
     df = drop_null_target(df, target)
-    task = task or detect_task(df, target)
     spec = FeatureSpec.from_df(df.drop("_is_val"), target, exclude)
+    with models.ready(needed_columns(df, spec)) as rows:
+        return fit_rows(rows, spec, model, params, task, seed, codec)
+
+
+def needed_columns(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns that a fit reads, in table order, before they are kept for several passes."""
+    wanted = {*spec.numeric, *spec.categorical, spec.target, *keep, "_is_val"}
+    return df.select([col(c) for c in df.columns if c in wanted])
+
+
+def fit_rows(df: DataFrame, spec: FeatureSpec, model: str, params: dict | None, task: str | None, seed: int,
+             codec: LabelCodec | None) -> Fitted:
+    """Fit on persisted rows that all have a target."""
+    target = spec.target
+    task = task or detect_task(df, target)
     codec = target_codec(df, target, task, codec)
     prep = build_prep(spec).fit(df)
-    data = labelled(prep, df, target, codec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with models.ready(labelled(prep, df, target, codec)) as data:
         core = models.fit_core(data, model, len(codec.classes) if codec else None, params, seed)
-    finally:
-        data.unpersist()
     return Fitted(model, task, spec, prep, core, codec, dict(params or {}))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from tabspark.operators.clean import drop_null_target
 from tabspark.operators.gram import moments
 from tabspark.operators.prep import FeatureSpec, LabelCodec, build_prep
 from tabspark.operators.profile import detect_task
-from tabspark.plans.train import labelled, target_codec
+from tabspark.plans.train import labelled, needed_columns, target_codec
 
 # Default search ranges (pairs are searched, single values are kept).
 SEARCH = {
@@ -65,20 +66,17 @@ def draw_trials(name: str, space: dict, n_trials: int, task: str, seed: int = 42
     return out
 
 
-@dataclass
 class _Part:
-    """A prepared, persisted train/validation pair."""
-    train: DataFrame
-    val: DataFrame
-
-    def close(self) -> None:
-        self.train.unpersist()
-        self.val.unpersist()
+    """A prepared and persisted pair of training and validation rows."""
 
+    def __init__(self, train: DataFrame, val: DataFrame, target: str, spec: FeatureSpec, codec: LabelCodec | None):
+        prep = build_prep(spec).fit(train)
+        self._open = ExitStack()
+        self.train, self.val = [self._open.enter_context(models.ready(labelled(prep, side, target, codec)))
+                                for side in (train, val)]
 
-def _part(train: DataFrame, val: DataFrame, target: str, spec: FeatureSpec, codec: LabelCodec | None) -> _Part:
-    prep = build_prep(spec).fit(train)
-    return _Part(*[labelled(prep, side, target, codec).persist(StorageLevel.MEMORY_AND_DISK) for side in (train, val)])
+    def close(self) -> None:
+        self._open.close()
 
 
 def _score(core, rows: DataFrame, is_class: bool) -> float | None:
@@ -113,13 +111,13 @@ def _parts(df: DataFrame, target: str, task: str, spec: FeatureSpec, codec: Labe
            seed: int, key: Sequence[str] | None, tune_on: str) -> list[_Part]:
     if cv:
         folded = with_folds(df, target, task, cv, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
-        return [_part(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), target, spec, codec)
+        return [_Part(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), target, spec, codec)
                 for f in range(cv)]
     if tune_on == "validation":
         parted = splits.three_way(df, seed, key)
-        return [_part(parted.filter("part = 'train'"), parted.filter("part = 'val'"), target, spec, codec)]
+        return [_Part(parted.filter("part = 'train'"), parted.filter("part = 'val'"), target, spec, codec)]
     parted = splits.holdout(df, seed=seed, key=key)
-    return [_part(parted.filter("not is_test"), parted.filter("is_test"), target, spec, codec)]
+    return [_Part(parted.filter("not is_test"), parted.filter("is_test"), target, spec, codec)]
 
 
 def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS, cv: int | None = None,
@@ -130,8 +128,16 @@ def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS,
     ``tune_on='validation'`` scores on a tenth that the final metrics never see.
     """
     df = drop_null_target(df, target)
-    task = task or detect_task(df, target)
-    spec, codec = FeatureSpec.from_df(df, target, exclude), target_codec(df, target, task)
+    spec = FeatureSpec.from_df(df, target, exclude)
+    with models.ready(needed_columns(df, spec, key) if key else df) as rows:
+        codec = target_codec(rows, target, task or detect_task(rows, target))
+        return tune_rows(rows, spec, codec, name, n_trials, cv, space, seed, key, tune_on)
+
+
+def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name: str, n_trials: int, cv: int | None,
+              space: dict | None, seed: int, key: Sequence[str] | None, tune_on: str) -> TuneResult:
+    """Tune on persisted rows that all have a target."""
+    target, task = spec.target, "classification" if codec else "regression"
     trials = draw_trials(name, search_space(name, space), n_trials, task, seed)
     parts = _parts(df, target, task, spec, codec, cv, seed, key, tune_on)
     try:
@@ -203,7 +209,7 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
     def point(fold: int, share: float) -> tuple:
         train = folded.filter((F.col("fold") != fold) & (F.col("_prefix") < round(share * splits.BUCKETS)))
         val = folded.filter(F.col("fold") == fold)
-        part = _part(train, val, target, spec, codec)
+        part = _Part(train, val, target, spec, codec)
         try:
             n = part.train.count()
             if n == 0:
