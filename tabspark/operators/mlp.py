@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tabspark.functions.hashing import bucket
+from tabspark.operators.models import feature_array
 
 # Defaults and allowed ranges of the two nets.
 MLP = {"hidden": (128, 64), "lr": 1e-3, "max_epochs": 300, "batch": 200, "dropout": 0.0, "patience": 10,
@@ -32,6 +33,7 @@ RANGES = {
                  "patience": (5, 50)},
 }
 FLAT_EPOCHS = 5        # epochs without improvement after which the learning rate halves
+DIRECT_TASKS = 64      # tasks whose weight vectors may come to the driver one by one
 EPS = 1e-5
 
 
@@ -219,7 +221,7 @@ class NetCore:
             got = forward(layers, np.stack(x.to_numpy()))[0] if len(x) else np.zeros((0, classes or 1))
             return pd.Series(list(softmax(got))) if classes else pd.Series(got[:, 0] * std + mean)
 
-        return df.withColumn(out, predict(vector_to_array("features")))
+        return df.withColumn(out, predict(feature_array(df)))
 
     def history_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, "epoch int, train_loss double, val_loss double, lr double")
@@ -250,7 +252,7 @@ def fit_net(data: DataFrame, name: str, classes: int | None, params: dict, seed:
         if width is None:
             raise ValueError("there are no rows to fit")
         layers = init_layers([width, *p["hidden"], classes or 1], p["batch_norm"], seed)
-        groups = math.isqrt(last_part + 1)
+        tasks = last_part + 1
         core = NetCore(layers, classes, (mean, std), params=p)
         best, best_at, flat, lr = math.inf, 0, 0, float(p["lr"])
         best_layers = layers
@@ -258,8 +260,10 @@ def fit_net(data: DataFrame, name: str, classes: int | None, params: dict, seed:
             learn = epoch < p["max_epochs"]
             task = _epoch_task(layers, p, classes, lr, epoch, seed, learn)
             parts = rows.mapInPandas(task, SUMS)
-            sums = parts.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInPandas(_add_up, SUMS)
-            total = _add_up(sums.toPandas())               # sqrt(tasks) weight vectors
+            if tasks > DIRECT_TASKS:                       # add up in groups first
+                group = F.pmod("part", F.lit(math.isqrt(tasks))).alias("g")
+                parts = parts.groupBy(group).applyInPandas(_add_up, SUMS)
+            total = _add_up(parts.toPandas())              # DIRECT_TASKS or sqrt(tasks) weight vectors
             unit = std * std                               # losses in the target's own unit
             train_loss = float(total["train_loss"].iloc[0] / max(total["rows"].iloc[0], 1)) * unit
             val_rows = float(total["val_rows"].iloc[0])

@@ -80,6 +80,11 @@ def _padded(probabilities: Column, classes: int) -> Column:
     return F.concat(probabilities, F.array_repeat(F.lit(0.0), gap))
 
 
+def feature_array(df: DataFrame) -> Column:
+    """The prepared features as an array, without going through a vector where possible."""
+    return F.col("_x") if "_x" in df.columns else vector_to_array("features")
+
+
 def dot(features: Column, weights: list[float]) -> Column:
     products = F.zip_with(features, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w)
     return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
@@ -123,7 +128,7 @@ class RidgeCore:
     means: list[float]
 
     def add_score(self, df: DataFrame, out: str) -> DataFrame:
-        return df.withColumn(out, dot(vector_to_array("features"), self.coefficients) + F.lit(self.intercept))
+        return df.withColumn(out, dot(feature_array(df), self.coefficients) + F.lit(self.intercept))
 
 
 @dataclass

@@ -168,17 +168,13 @@ def _lookup(df: DataFrame, book: dict, fill: str | None) -> DataFrame:
         if book["size"] <= BROADCAST_VALUES and book["chars"] <= BROADCAST_CHARS:
             keyed = keyed.join(F.broadcast(table.drop("hot")), "_text", "left")
         else:
-            # at most 1 / HOT_SHARE values are hot; they are found by broadcast, so no shuffle
-            # key is frequent. Rows already found are spread and match nothing.
-            hot = table.filter("hot").select("_text", F.col("_code").alias("_hot_code"))
-            keyed = keyed.join(F.broadcast(hot), "_text", "left")
-            cold = F.col("_hot_code").isNull() & F.col("_text").isNotNull()
-            keyed = (keyed.withColumn("_cold", cold)
-                     .withColumn("_key", F.when(cold, F.col("_text")).otherwise(
-                         F.monotonically_increasing_id().cast("string"))))
-            rest = table.filter("not hot").select(F.col("_text").alias("_key"), "_code", F.lit(True).alias("_cold"))
-            keyed = keyed.join(rest, ["_key", "_cold"], "left").withColumn(
-                "_code", F.coalesce("_hot_code", "_code"))
+            # at most 1 / HOT_SHARE values are hot: they are found by broadcast, and only rows
+            # without one are shuffled, so no shuffle key is frequent
+            hot = table.filter("hot").select("_text", "_code")
+            marked = keyed.join(F.broadcast(hot), "_text", "left")
+            found = marked.filter(F.col("_code").isNotNull() | F.col("_text").isNull())
+            rest = marked.filter(F.col("_code").isNull() & F.col("_text").isNotNull()).drop("_code")
+            keyed = found.unionByName(rest.join(table.filter("not hot").drop("hot"), "_text", "left"))
     coded = F.coalesce(F.col("_code"), F.lit(UNSEEN))
     return keyed.select([coded.alias(n) if n == c else col(n) for n in df.columns])
 
@@ -192,7 +188,8 @@ class TablePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWrit
     """Learns the whole preparation of a table in a handful of jobs, however many columns.
 
     Numeric: median for gaps, then mean and population std. Categorical: mode for gaps, then
-    ordinal codes. The model adds ``features``: the numeric block, then the categorical one.
+    ordinal codes. The model adds ``features``, a vector of the numeric block and then the
+    categorical one, and ``_x``, the same as an array; whichever is not used costs nothing.
     Codes are used as plain numbers.
     """
 
@@ -249,8 +246,8 @@ class TablePrepModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                                    for i, b in enumerate(learned["categorical"])],
                    "modes": {f"_f_{names.index(c)}": v for c, v in learned["modes"].items()}}
         ready = TablePrepModel(state=json.dumps(renamed)).prepared_columns(copies)
-        vector = array_to_vector(F.array(*[F.col(f"_f_{i}").cast("double") for i in range(len(names))]))
-        return ready.select(*[col(c) for c in df.columns], vector.alias("features"))
+        array = F.array(*[F.col(f"_f_{i}").cast("double") for i in range(len(names))])
+        return ready.select(*[col(c) for c in df.columns], array.alias("_x"), array_to_vector(array).alias("features"))
 
 
 def build_prep(spec: FeatureSpec) -> TablePrep:

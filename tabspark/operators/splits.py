@@ -15,7 +15,8 @@ from tabspark.functions.columns import col
 from tabspark.functions.hashing import BUCKETS, bucket, row_hash
 from tabspark.session import shared_dir
 
-GROUP_ROWS = 200_000       # rows that one task may sort when ranking
+GROUP_ROWS = 200_000       # rows that one task should sort when ranking ...
+MAX_SLICES = 50_000        # ... and the bound on the slices that this makes of a huge table
 
 
 def _salt(purpose: str, seed: int) -> str:
@@ -70,18 +71,19 @@ def hash_rank(df: DataFrame, by: Sequence[str], salt: str, key: Sequence[str] |
     """Adds ``_rank``: 0, 1, 2, ... in hash order within each ``by`` group, over all tasks.
 
     A group is never sorted as a whole. Its rows are cut by hash into buckets of about
-    GROUP_ROWS rows; bucket sizes give each bucket its starting rank and only buckets are
+    GROUP_ROWS rows (more only where a table would need over MAX_SLICES of them); bucket sizes give each bucket its starting rank and only buckets are
     sorted. A hash shared by more rows than that (copies of one row, or one repeated key)
     is cut further by row position; the table is checkpointed first, so that positions are
     fixed even if tasks are retried.
     """
     n = df.count()
-    width = -(-2 ** 32 // max(1, -(-n // GROUP_ROWS)))
+    group = max(GROUP_ROWS, n // MAX_SLICES)
+    width = -(-2 ** 32 // max(1, -(-n // group)))
     names = list(by)
     hashed = (df.withColumn("_h", row_hash(df, key, salt))
               .withColumn("_slice", F.floor(F.col("_h") / F.lit(width)))
               .withColumn("_pos", F.lit(0).cast("bigint")).withColumn("_cut", F.lit(0).cast("bigint")))
-    hot = _hot_hashes(hashed, names)
+    hot = _hot_hashes(hashed, names, group)
     if hot is not None:
         shared_dir(df.sparkSession)
         hashed = hashed.checkpoint().withColumn("_pos", F.monotonically_increasing_id())
@@ -94,7 +96,7 @@ def hash_rank(df: DataFrame, by: Sequence[str], salt: str, key: Sequence[str] |
     slotted = hashed.withColumn("_slot", slot)
     sizes = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_size"))
     before = (Window.partitionBy(*([F.col("_slot").getField(c) for c in names] or [F.lit(0)]))
-              .orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))     # some n / GROUP_ROWS slots
+              .orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))     # some MAX_SLICES slots
     starts = sizes.select("_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     ties = [col(c).cast("string") for c in (key or df.columns)]
     within = Window.partitionBy("_slot").orderBy("_h", "_pos", *ties)
@@ -103,19 +105,19 @@ def hash_rank(df: DataFrame, by: Sequence[str], salt: str, key: Sequence[str] |
             .select(*[col(c) for c in df.columns], (F.col("_start") + F.col("_row")).alias("_rank")))
 
 
-def _hot_hashes(hashed: DataFrame, names: list[str]) -> DataFrame | None:
+def _hot_hashes(hashed: DataFrame, names: list[str], group: int) -> DataFrame | None:
     """(by..., _h, _cuts) of the hashes that one task should not sort alone, if there are any.
 
     Slice sizes, a tiny aggregate, show whether there is anything to look for; only the
     overfull slices are then counted by hash.
     """
     full = (hashed.groupBy(*[col(c) for c in names], "_slice").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 2 * GROUP_ROWS).select("_slice").distinct())
+            .filter(F.col("_n") > 2 * group).select("_slice").distinct())
     slices = [r[0] for r in full.limit(1001).collect()]
     if not slices:
         return None
     some = hashed.filter(F.col("_slice").isin(slices)) if len(slices) <= 1000 else hashed
-    # fewer than n / GROUP_ROWS hashes can qualify, so the result is small
+    # fewer than n / group <= MAX_SLICES hashes can qualify, so the result is small
     return (some.groupBy(*[col(c) for c in names], "_h").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > GROUP_ROWS)
-            .withColumn("_cuts", 1 + F.floor(F.col("_n") / GROUP_ROWS)).drop("_n"))
+            .filter(F.col("_n") > group)
+            .withColumn("_cuts", 1 + F.floor(F.col("_n") / group)).drop("_n"))

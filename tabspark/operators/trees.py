@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabspark.session import scratch_path
@@ -108,7 +107,7 @@ def leaf_contributions(all_leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
 
 
 def tree_contributions(df: DataFrame, all_leaves: list[Leaf], row_id: str) -> DataFrame:
-    """(row_id, x, phi): each row's features and the array of their contributions."""
+    """(row_id, x, phi): the features of prepared rows and the array of their contributions."""
     kind = df.schema[row_id].dataType.simpleString()
     shipped = df.sparkSession.sparkContext.broadcast(all_leaves)      # as large as the model
 
@@ -118,5 +117,5 @@ def tree_contributions(df: DataFrame, all_leaves: list[Leaf], row_id: str) -> Da
                 phi = leaf_contributions(shipped.value, np.stack(batch["x"].to_numpy()).astype(float))
                 yield batch.assign(phi=list(phi))
 
-    rows = df.select(F.col(row_id).alias("row_id"), vector_to_array("features").alias("x"))
+    rows = df.select(F.col(row_id).alias("row_id"), F.col("_x").alias("x"))
     return rows.mapInPandas(run, f"row_id {kind}, x array<double>, phi array<double>")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tabspark.functions.columns import col
@@ -176,7 +175,7 @@ def explain(fitted: Fitted, df: DataFrame, row_id: str) -> DataFrame:
     if leaves:
         rows = trees.tree_contributions(prepared, leaves, "_row")
     else:
-        rows = prepared.select(F.col("_row").alias("row_id"), vector_to_array("features").alias("x"))
+        rows = prepared.select(F.col("_row").alias("row_id"), F.col("_x").alias("x"))
     parts = [F.col("phi")] if leaves else []
     if weights is not None:
         pairs = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(m)).alias("m"))

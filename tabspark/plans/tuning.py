@@ -111,8 +111,12 @@ def _parts(df: DataFrame, target: str, task: str, spec: FeatureSpec, codec: Labe
            seed: int, key: Sequence[str] | None, tune_on: str) -> list[_Part]:
     if cv:
         folded = with_folds(df, target, task, cv, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
-        return [_Part(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), target, spec, codec)
-                for f in range(cv)]
+        try:
+            return models.concurrently([
+                lambda f=f: _Part(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), target, spec, codec)
+                for f in range(cv)])
+        finally:
+            folded.unpersist()      # every part has been read and kept by now
     if tune_on == "validation":
         parted = splits.three_way(df, seed, key)
         return [_Part(parted.filter("part = 'train'"), parted.filter("part = 'val'"), target, spec, codec)]

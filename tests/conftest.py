@@ -12,7 +12,9 @@ from tabspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "10g", **{"spark.sql.shuffle.partitions": "4"})
+    # interpreted expressions: for tables this small, compiling code takes longer than running it
+    session = local_session(8, "10g", **{"spark.sql.shuffle.partitions": "4",
+                                          "spark.sql.codegen.wholeStage": "false"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

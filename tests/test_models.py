@@ -319,6 +319,17 @@ def test_nets_learn(spark, signal, model, target, params):
         ts.explain(run.fitted, df.withColumn("id", F.lit(1)), "id")
 
 
+def test_net_merges_in_groups(signal, monkeypatch):
+    """Adding up tasks in groups gives the weights that adding them up directly does."""
+    data = signal[0].repartition(5, "a").select(array_to_vector(F.array("a", "b", "c")).alias("features"),
+                                                F.col("y").alias("label")).persist()
+    params = {"hidden": (16,), "max_epochs": 50, "lr": 0.05}
+    direct = mlp.fit_net(data, "mlp", None, params)
+    monkeypatch.setattr(mlp, "DIRECT_TASKS", 0)
+    grouped = mlp.fit_net(data, "mlp", None, params)
+    assert mlp.flatten(direct.layers) == pytest.approx(mlp.flatten(grouped.layers), rel=1e-6)
+
+
 def test_net_parameters_are_checked():
     for name, params in (("mlp", {"hidden": (8,)}), ("mlp", {"max_epochs": 10}), ("deep_mlp", {"dropout": 0.9}),
                          ("deep_mlp", {"hidden": (32, 32, 32, 32)}), ("mlp", {"depth": 3})):
