@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.operators.gram import moments
+from tabspark.session import shared_dir
 
 MAX_BINS = 64
 MAX_DEPTH = 30              # MLlib's own limit
@@ -42,10 +43,10 @@ ENSEMBLE = {
 }
 
 
-def concurrently(calls: list) -> list:
+def concurrently(calls: list, at_once: int = PARALLEL_FITS) -> list:
     """Run driver-side calls that each submit Spark jobs; results keep the order."""
     bound = inheritable_thread_target(SparkSession.active())
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         return [f.result() for f in [pool.submit(bound(c)) for c in calls]]
 
 
@@ -181,6 +182,7 @@ def fit_forest(data: DataFrame, classes: int | None, p: dict, seed: int) -> Mlli
 
 
 def fit_boosting(data: DataFrame, classes: int | None, p: dict, seed: int):
+    shared_dir(data.sparkSession)         # boosting checkpoints there every ten trees
     args = {**_tree_args(p), "maxIter": int(p["n_estimators"]), "stepSize": float(p["learning_rate"]), "seed": seed,
             "subsamplingRate": float(p.get("subsample", 1.0))}
     if classes is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +14,7 @@ from tabspark.operators.prep import FeatureSpec
 from tabspark.operators.profile import detect_task
 from tabspark.plans import tuning
 from tabspark.plans.recipe import Recipe
-from tabspark.plans.train import Fitted, fit_rows, needed_columns, target_codec
+from tabspark.plans.train import Fitted, fit_rows, keyed, target_codec
 from tabspark.sources.runs import Runs
 
 NETS = ("mlp", "deep_mlp")
@@ -75,7 +74,9 @@ class Run:
         return RunSpec(**{**asdict(self.spec), "params": found, "task": self.fitted.task})
 
     def learning_curve(self, df: DataFrame) -> DataFrame:
+        """Of this run's parameters on its cleaned table; ``df`` is the raw one."""
         s = self.spec
+        df = Recipe(list(s.steps)).apply(df)
         return tuning.learning_curve(df, s.target, s.model, self.fitted.params, s.seed, s.key, self.fitted.task,
                                      exclude=s.exclude)
 
@@ -99,29 +100,28 @@ def train(df: DataFrame, target: str, model: str = "random_forest", recipe: Reci
 
 def _execute(s: RunSpec, df: DataFrame) -> Run:
     spec = FeatureSpec.from_df(df, s.target, s.exclude)
-    if s.key:                       # without a key the splits hash the whole row
-        df = needed_columns(df, spec, s.key)
+    df, key = keyed(df, spec, s.key)
     # a run reads its rows many times; what stands before them (joins, recipes) runs once
     with models.ready(df) as rows:
-        return _run_on(s, spec, drop_null_target(rows, s.target), null_target_rows(rows, s.target))
+        return _run_on(s, spec, key, drop_null_target(rows, s.target), null_target_rows(rows, s.target))
 
 
-def _run_on(s: RunSpec, spec: FeatureSpec, df: DataFrame, dropped: int) -> Run:
+def _run_on(s: RunSpec, spec: FeatureSpec, key: list[str], df: DataFrame, dropped: int) -> Run:
     task = s.task or detect_task(df, s.target)
     codec = target_codec(df, s.target, task)
     params, trials = s.params, []
     if s.model in (*NETS, "ensemble"):
         params = s.params or {}
     elif params is None:
-        found = tuning.tune_rows(df, spec, codec, s.model, s.n_trials, s.cv, s.space, s.seed, s.key, s.tune_on)
+        found = tuning.tune_rows(df, spec, codec, s.model, s.n_trials, s.cv, s.space, s.seed, key, s.tune_on)
         params, trials = found.best_params, found.log
     if s.model == "deep_mlp" or s.tune_on == "validation":
-        parted = splits.three_way(df, s.seed, s.key)
+        parted = splits.three_way(df, s.seed, key)
         train_rows, test = parted.filter("part <> 'test'"), parted.filter("part = 'test'").drop("part")
         train_rows = (train_rows.withColumn("_is_val", F.col("part") == "val").drop("part") if s.model == "deep_mlp"
                       else train_rows.filter("part = 'train'").drop("part"))
     else:
-        parted = splits.holdout(df, seed=s.seed, key=s.key)
+        parted = splits.holdout(df, seed=s.seed, key=key)
         train_rows, test = parted.filter("not is_test").drop("is_test"), parted.filter("is_test").drop("is_test")
     measured = fit_rows(train_rows, spec, s.model, params, task, s.seed, codec)
     kept = fit_rows(df, spec, s.model, params, task, s.seed, codec) if s.cv else measured
@@ -129,7 +129,7 @@ def _run_on(s: RunSpec, spec: FeatureSpec, df: DataFrame, dropped: int) -> Run:
     table = (M.classification_metrics if codec else M.regression_metrics)(pred, s.target)
     values = {r["metric"]: r["value"] for r in M.metrics_long(table).collect()}
     if s.cv:
-        scores = tuning.cross_validate(df, s.target, s.model, params, s.cv, s.seed, s.key, task, s.exclude)
+        scores = tuning.cross_validate_rows(df, spec, codec, s.model, params, s.cv, s.seed, key)
         mean, std = M.rollup_scores(scores).select(F.round("mean", 3), F.round("std", 3)).first()
         name = "accuracy" if codec else "r2"
         values.update({f"cv_{name}_mean": mean, f"cv_{name}_std": std})

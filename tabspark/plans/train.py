@@ -72,10 +72,18 @@ def fit(df: DataFrame, target: str, model: str = "random_forest", params: dict |
 
 def needed_columns(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFrame:
     """The columns that a fit reads, in table order, before they are kept for several passes."""
-    wanted = {*spec.numeric, *spec.categorical, spec.target, *keep, "_is_val"}
+    wanted = {*spec.numeric, *spec.categorical, spec.target, *keep, "_is_val", "_key"}
     return df.select([col(c) for c in df.columns if c in wanted])
 
 
+def keyed(df: DataFrame, spec: FeatureSpec, key: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """The needed columns and the key that splits hash; without a key, a hash of the whole row."""
+    if key:
+        return needed_columns(df, spec, key), list(key)
+    whole = F.xxhash64(*[col(c).cast("string") for c in df.columns])
+    return needed_columns(df.withColumn("_key", whole), spec), ["_key"]
+
+
 def fit_rows(df: DataFrame, spec: FeatureSpec, model: str, params: dict | None, task: str | None, seed: int,
              codec: LabelCodec | None) -> Fitted:
     """Fit on persisted rows that all have a target."""
@@ -143,9 +151,10 @@ def headline_of(pred: DataFrame, target: str, is_class: bool) -> float | None:
     return metrics.regression_metrics(pred, target, digits=12).first()["r2"]
 
 
-def feature_importance(fitted: Fitted, k: int = TOP_FEATURES) -> DataFrame:
+def feature_importance(fitted: Fitted, k: int = TOP_FEATURES, class_index: int | None = None) -> DataFrame:
     """(feature, importance): the top k by impurity decrease or |coefficient|. Ensembles and
-    nets have none. Multi-class coefficients are averaged in absolute value."""
+    nets have none. Multi-class coefficients are averaged in absolute value, unless
+    ``class_index`` picks one class."""
     names, core = fitted.spec.vector_names, fitted.core
     if isinstance(core, models.RidgeCore):
         values = [abs(w) for w in core.coefficients]
@@ -155,7 +164,8 @@ def feature_importance(fitted: Fitted, k: int = TOP_FEATURES) -> DataFrame:
     elif isinstance(core, models.MllibCore) and hasattr(core.model, "featureImportances"):
         values = list(core.model.featureImportances.toArray())
     elif isinstance(core, models.MllibCore):
-        values = list(abs(core.model.coefficientMatrix.toArray()).mean(axis=0))
+        weights = abs(core.model.coefficientMatrix.toArray())
+        values = list(weights.mean(axis=0) if class_index is None else weights[class_index])
     else:
         values = []
     rows = [(n, float(v)) for n, v in zip(names, values)]
@@ -163,15 +173,17 @@ def feature_importance(fitted: Fitted, k: int = TOP_FEATURES) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def explain(fitted: Fitted, df: DataFrame, row_id: str) -> DataFrame:
+def explain(fitted: Fitted, df: DataFrame, row_id: str, member: str | None = None) -> DataFrame:
     """Long (row_id, feature, contribution, base_value) for every row of a table.
 
     Contributions and base sum to the output: the prediction for regression, the last
     class's probability for forests, its margin for boosting and logistic regression. A
-    voting ensemble is explained by the mean of its members' contributions.
+    voting ensemble is explained by the mean of its members' contributions, or by those of
+    one ``member``.
     """
     prepared = fitted.prepared(df, [row_id]).withColumnRenamed(f"_keep_{row_id}", "_row")
-    leaves, weights, means, base = _additive(df.sparkSession, fitted.core, fitted.classes)
+    leaves, weights, means, base = _additive(df.sparkSession, fitted.core.members[member] if member else fitted.core,
+                                             fitted.classes)
     if leaves:
         rows = trees.tree_contributions(prepared, leaves, "_row")
     else:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import ExitStack
 from dataclasses import dataclass
 
@@ -14,13 +14,13 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from tabspark.functions.columns import col
+from tabspark.functions.columns import chunks
 from tabspark.operators import metrics, models, splits
 from tabspark.operators.clean import drop_null_target
 from tabspark.operators.gram import moments
 from tabspark.operators.prep import FeatureSpec, LabelCodec, build_prep
 from tabspark.operators.profile import detect_task
-from tabspark.plans.train import labelled, needed_columns, target_codec
+from tabspark.plans.train import keyed, labelled, target_codec
 
 # Default search ranges (pairs are searched, single values are kept).
 SEARCH = {
@@ -33,6 +33,7 @@ SEARCH = {
 DEFAULT_TRIALS = 10
 CURVE_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
 CURVE_FOLDS = 3
+SMALL_ROWS = 1_000_000      # rows up to which several prepared parts are kept at a time
 
 
 def search_space(name: str, overrides: dict | None = None) -> dict:
@@ -107,21 +108,36 @@ def with_folds(df: DataFrame, target: str, task: str, k: int, seed: int = 42,
     return splits.kfold(df, k, seed, key)
 
 
-def _parts(df: DataFrame, target: str, task: str, spec: FeatureSpec, codec: LabelCodec | None, cv: int | None,
-           seed: int, key: Sequence[str] | None, tune_on: str) -> list[_Part]:
+def _at_once(df: DataFrame) -> int:
+    """How many prepared parts to keep at a time: each may be as large as the table."""
+    return models.PARALLEL_FITS if df.count() <= SMALL_ROWS else 1
+
+
+def _over_parts(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, cv: int | None, seed: int,
+                key: Sequence[str] | None, tune_on: str, calls: list[Callable]) -> list[list]:
+    """Results of the calls on every prepared part: a list per part (fold, or the one split)."""
+    target, task = spec.target, "classification" if codec else "regression"
     if cv:
-        folded = with_folds(df, target, task, cv, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+        whole = with_folds(df, target, task, cv, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+        sides = [(whole.filter(F.col("fold") != f), whole.filter(F.col("fold") == f)) for f in range(cv)]
+    elif tune_on == "validation":
+        whole = splits.three_way(df, seed, key)
+        sides = [(whole.filter("part = 'train'"), whole.filter("part = 'val'"))]
+    else:
+        whole = splits.holdout(df, seed=seed, key=key)
+        sides = [(whole.filter("not is_test"), whole.filter("is_test"))]
+    out = []
+    for some in chunks(sides, _at_once(whole)):
+        parts = models.concurrently([lambda s=s: _Part(*s, target, spec, codec) for s in some])
         try:
-            return models.concurrently([
-                lambda f=f: _Part(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), target, spec, codec)
-                for f in range(cv)])
+            values = models.concurrently([lambda p=p, c=c: c(p) for p in parts for c in calls])
         finally:
-            folded.unpersist()      # every part has been read and kept by now
-    if tune_on == "validation":
-        parted = splits.three_way(df, seed, key)
-        return [_Part(parted.filter("part = 'train'"), parted.filter("part = 'val'"), target, spec, codec)]
-    parted = splits.holdout(df, seed=seed, key=key)
-    return [_Part(parted.filter("not is_test"), parted.filter("is_test"), target, spec, codec)]
+            for p in parts:
+                p.close()
+        out += chunks(values, len(calls))
+    if cv:
+        whole.unpersist()
+    return out
 
 
 def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS, cv: int | None = None,
@@ -133,7 +149,8 @@ def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS,
     """
     df = drop_null_target(df, target)
     spec = FeatureSpec.from_df(df, target, exclude)
-    with models.ready(needed_columns(df, spec, key) if key else df) as rows:
+    df, key = keyed(df, spec, key)
+    with models.ready(df) as rows:
         codec = target_codec(rows, target, task or detect_task(rows, target))
         return tune_rows(rows, spec, codec, name, n_trials, cv, space, seed, key, tune_on)
 
@@ -141,22 +158,18 @@ def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS,
 def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name: str, n_trials: int, cv: int | None,
               space: dict | None, seed: int, key: Sequence[str] | None, tune_on: str) -> TuneResult:
     """Tune on persisted rows that all have a target."""
-    target, task = spec.target, "classification" if codec else "regression"
+    task = "classification" if codec else "regression"
     trials = draw_trials(name, search_space(name, space), n_trials, task, seed)
-    parts = _parts(df, target, task, spec, codec, cv, seed, key, tune_on)
-    try:
-        if name == "linear" and task == "regression":
-            values = np.mean([_ridge_path(p, spec, [t["alpha"] for t in trials]) for p in parts], axis=0).tolist()
-        else:
-            def run(trial: dict) -> float:
-                scores = [_score(models.fit_core(p.train, name, len(codec.classes) if codec else None, trial, seed),
-                                 p.val, codec is not None) for p in parts]
-                return float(np.mean(scores))
-
-            values = models.concurrently([lambda t=t: run(t) for t in trials])
-    finally:
-        for p in parts:
-            p.close()
+    classes = len(codec.classes) if codec else None
+    if name == "linear" and codec is None:
+        alphas = [t["alpha"] for t in trials]
+        scores = [path for [path] in _over_parts(df, spec, codec, cv, seed, key, tune_on,
+                                                 [lambda p: _ridge_path(p, spec, alphas)])]
+    else:
+        scores = _over_parts(df, spec, codec, cv, seed, key, tune_on, [
+            lambda p, t=t: _score(models.fit_core(p.train, name, classes, t, seed), p.val, codec is not None)
+            for t in trials])
+    values = np.mean(np.array(scores, dtype=float), axis=0).tolist()
     log = [{"trial": i, "params": t, "value": v} for i, (t, v) in enumerate(zip(trials, values), 1)]
     best = max(log, key=lambda e: e["value"])
     return TuneResult(best["params"], best["value"], log)
@@ -184,15 +197,17 @@ def cross_validate(df: DataFrame, target: str, name: str, params: dict | None =
     df = drop_null_target(df, target)
     task = task or detect_task(df, target)
     spec, codec = FeatureSpec.from_df(df, target, exclude), target_codec(df, target, task)
-    parts = _parts(df, target, task, spec, codec, k, seed, key, "holdout")
-    try:
-        scores = models.concurrently([
-            lambda p=p: _score(models.fit_core(p.train, name, len(codec.classes) if codec else None, params, seed),
-                               p.val, codec is not None) for p in parts])
-    finally:
-        for p in parts:
-            p.close()
-    return df.sparkSession.createDataFrame(list(enumerate(scores)), "fold int, score double")
+    df, key = keyed(df, spec, key)
+    return cross_validate_rows(df, spec, codec, name, params, k, seed, key)
+
+
+def cross_validate_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name: str, params: dict | None,
+                        k: int, seed: int, key: Sequence[str]) -> DataFrame:
+    """Cross-validate on rows that all have a target."""
+    classes = len(codec.classes) if codec else None
+    scores = _over_parts(df, spec, codec, k, seed, key, "holdout", [
+        lambda p: _score(models.fit_core(p.train, name, classes, params, seed), p.val, codec is not None)])
+    return df.sparkSession.createDataFrame([(f, s) for f, [s] in enumerate(scores)], "fold int, score double")
 
 
 def learning_curve(df: DataFrame, target: str, name: str, params: dict | None = None, seed: int = 42,
@@ -205,10 +220,9 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
     task = task or detect_task(df, target)
     spec, codec = FeatureSpec.from_df(df, target, exclude), target_codec(df, target, task)
     classes = len(codec.classes) if codec else None
-    columns = [c for c in df.columns]
+    df, key = keyed(df, spec, key)
     marked = df.withColumn("_prefix", splits.prefix_bucket(df, seed, key))
-    # folds are dealt on the table's own columns, so that the mark does not change the hash
-    folded = with_folds(marked, target, task, folds, seed, key or columns).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = with_folds(marked, target, task, folds, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
 
     def point(fold: int, share: float) -> tuple:
         train = folded.filter((F.col("fold") != fold) & (F.col("_prefix") < round(share * splits.BUCKETS)))
@@ -224,7 +238,7 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
             part.close()
 
     try:
-        points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)])
+        points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)], _at_once(folded))
     finally:
         folded.unpersist()
     spark = df.sparkSession

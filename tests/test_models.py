@@ -77,8 +77,12 @@ def test_ensemble_classifier(clf_df, small_ensemble):
 
 
 def check_additive_ensemble(run, df):
-    contributions = ts.explain(run.fitted, df.withColumn("id", F.monotonically_increasing_id()), "id")
-    assert contributions.count() == 4 * df.count()
+    rows = df.withColumn("id", F.monotonically_increasing_id())
+    parts = [ts.explain(run.fitted, rows, "id", member).filter("id = 0").orderBy("feature").collect()
+             for member in ("random_forest", "gradient_boosting", "linear", None)]
+    for each, mean in zip(zip(*parts[:3]), parts[3]):
+        assert mean.contribution == pytest.approx(sum(r.contribution for r in each) / 3, abs=1e-9)
+        assert mean.base_value == pytest.approx(sum(r.base_value for r in each) / 3, abs=1e-9)
 
 
 def test_missing_target_rows_are_dropped(clf_df_with_nan):
