@@ -47,7 +47,7 @@ def confusion(spark, folder):
 
 
 @query("confusion_pct", f"""
-SELECT actual, predicted, n, CASE WHEN total > 0 THEN round_even(n / total * 100, 1) ELSE 0.0::DOUBLE END AS pct FROM (
+SELECT actual, predicted, n, CASE WHEN total > 0 THEN round_even((n / total * 100) * 10, 0) / 10 ELSE 0.0::DOUBLE END AS pct FROM (
   SELECT actual, predicted, (SELECT count(*) FROM {_PRED} WHERE label = actual AND prediction = predicted) AS n,
          (SELECT count(*) FROM {_PRED} WHERE label = actual) AS total FROM {_GRID})""")
 def confusion_pct(spark, folder):

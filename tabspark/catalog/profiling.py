@@ -12,7 +12,7 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query("dataset_summary", f"""
 SELECT count(*) AS rows, 6::BIGINT AS columns,
        (sum((quality IS NULL)::INT) + sum((toxic IS NULL)::INT))::BIGINT AS missing,
-       round_even((sum((quality IS NULL)::INT) + sum((toxic IS NULL)::INT)) / (count(*) * 6) * 100, 2) AS missing_pct,
+       round_even(((sum((quality IS NULL)::INT) + sum((toxic IS NULL)::INT)) / (count(*) * 6) * 100) * 100, 0) / 100 AS missing_pct,
        4::BIGINT AS numeric_columns, 2::BIGINT AS other_columns
 FROM {DOCS}""")
 def dataset_summary(spark, folder):
@@ -39,9 +39,9 @@ def _quality_sql(source: str, columns: dict[str, str], k: float = 1.5) -> str:
             body = (f"SELECT count(*) AS n, count(*) - count(v) AS m, "
                     f"count(*) FILTER (v < q1 - {k} * (q3 - q1) OR v > q3 + {k} * (q3 - q1)) AS o "
                     f"FROM t, (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t)")
-            out, pct = "o::BIGINT", "round_even(o / n * 100, 1)"
+            out, pct = "o::BIGINT", "round_even((o / n * 100) * 10, 0) / 10"
         parts.append(f"SELECT * FROM (WITH t AS ({frame}) SELECT '{c}' AS \"column\", '{kind}' AS dtype, "
-                     f"m::BIGINT AS missing, round_even(m / n * 100, 1) AS missing_pct, {out} AS outliers, "
+                     f"m::BIGINT AS missing, round_even((m / n * 100) * 10, 0) / 10 AS missing_pct, {out} AS outliers, "
                      f"{pct} AS outlier_pct FROM ({body}))")
     return " UNION ALL ".join(parts)
 
@@ -78,7 +78,7 @@ def outlier_counts_documents(spark, folder):
 
 _MISSING = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", (count(*) - count({c}))::BIGINT AS missing, "
-    f"round_even((count(*) - count({c})) / count(*) * 100, 1) AS missing_pct FROM {DOCS}"
+    f"round_even(((count(*) - count({c})) / count(*) * 100) * 10, 0) / 10 AS missing_pct FROM {DOCS}"
     for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
 
 
@@ -93,10 +93,10 @@ def columns_over_missing(spark, folder):
 
 
 @query("describe_numeric", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, round_even(avg({c}), 2) AS mean, "
-    f"round_even(stddev_samp({c}), 2) AS std, round_even(min({c})::DOUBLE, 2) AS min, "
-    f"round_even(quantile_cont({c}::DOUBLE, 0.25), 2) AS q25, round_even(quantile_cont({c}::DOUBLE, 0.5), 2) AS median, "
-    f"round_even(quantile_cont({c}::DOUBLE, 0.75), 2) AS q75, round_even(max({c})::DOUBLE, 2) AS max FROM {EVENTS}"
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round_even((avg({c})) * 100, 0) / 100 AS mean, "
+    f"round_even((stddev_samp({c})) * 100, 0) / 100 AS std, round_even((min({c})::DOUBLE) * 100, 0) / 100 AS min, "
+    f"round_even((quantile_cont({c}::DOUBLE, 0.25)) * 100, 0) / 100 AS q25, round_even((quantile_cont({c}::DOUBLE, 0.5)) * 100, 0) / 100 AS median, "
+    f"round_even((quantile_cont({c}::DOUBLE, 0.75)) * 100, 0) / 100 AS q75, round_even((max({c})::DOUBLE) * 100, 0) / 100 AS max FROM {EVENTS}"
     for c in ("event_id", "user_id", "value")))
 def describe_numeric(spark, folder):
     return profile.describe(events(spark, folder))
@@ -199,7 +199,7 @@ def input_domains(spark, folder):
 
 
 @query("value_counts", """
-SELECT event_type AS value, count(*) AS n, round_even(count(*) / (SELECT count(*) FROM events) * 100, 1) AS pct
+SELECT event_type AS value, count(*) AS n, round_even((count(*) / (SELECT count(*) FROM events) * 100) * 10, 0) / 10 AS pct
 FROM events GROUP BY event_type""")
 def value_counts(spark, folder):
     return counting.value_counts(table(spark, folder, "events"), "event_type")

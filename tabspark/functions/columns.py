@@ -62,9 +62,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select([present(df, f.name).alias(f.name) for f in df.schema.fields])
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Scale, round half to even, scale back: the rounding of numpy and pandas, bit for bit."""
+    return F.rint(value * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    """part / whole * 100, half-even rounding as pandas does; NULL on an empty table."""
-    return F.bround(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
+    """part / whole * 100, rounded; NULL on an empty table."""
+    return half_even(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
 
 
 def chunks(items: list, size: int) -> list[list]:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabspark.functions.columns import agg_row, chunks, present
+from tabspark.functions.columns import agg_row, chunks, half_even, present
 
 
 def value_counts_long(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -88,5 +88,5 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     values = df.select(present(df, column).alias("value")).filter("value is not null")
     total = values.count()
     return (values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("pct", F.bround(F.col("n") / F.lit(float(total)) * 100, 1))
+            .withColumn("pct", half_even(F.col("n") / F.lit(float(total)) * 100, 1))
             .orderBy(F.desc("n"), "value"))

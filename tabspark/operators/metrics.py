@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabspark.functions.columns import half_even
+
 # The bounds of the verdicts.
 OVERFIT_GAP = 0.15
 GOOD_GAP = 0.05
@@ -63,7 +65,7 @@ def confusion(pred: DataFrame, labels: Sequence, actual: str = "label", predicte
         return table
     row = F.sum("n").over(Window.partitionBy("actual"))       # one row per class in each group
     share = F.coalesce(F.try_divide(F.col("n").cast("double"), row.cast("double")), F.lit(0.0))
-    return table.withColumn("pct", F.bround(share * 100, 1))
+    return table.withColumn("pct", half_even(share * 100, 1))
 
 
 def regression_metrics(pred: DataFrame, actual: str = "label", predicted: str = "prediction",

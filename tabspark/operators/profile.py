@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabspark.functions.columns import (agg_row, chunks, classify_columns, col, number, numeric_columns,
+from tabspark.functions.columns import (agg_row, chunks, classify_columns, col, half_even, number, numeric_columns,
                                         percent, present, stack_rows)
 from tabspark.functions.hashing import bucket
 from tabspark.operators.counting import distinct_at_most, domains
@@ -121,7 +121,7 @@ def describe(df: DataFrame) -> DataFrame:
             stats = {"mean": F.col(f"a{i}"), "std": F.col(f"s{i}"), "min": F.col(f"l{i}"),
                      "q25": q[0], "median": q[1], "q75": q[2], "max": F.col(f"h{i}")}
             rows.append([F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-                         *[F.bround(e, 2).alias(name) for name, e in stats.items()]])
+                         *[half_even(e, 2).alias(name) for name, e in stats.items()]])
         frames.append(stack_rows(df.agg(*aggs), rows))
     return _union(frames)
 

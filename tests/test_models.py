@@ -239,10 +239,12 @@ def test_logistic(signal):
 
 
 def test_models_find_the_signal(signal):
+    """Well above the constant predictor, on some 80 test rows."""
     df = signal[0].select("a", "b", "c", "k")
+    constant = df.groupBy("k").count().agg(F.max("count")).first()[0] / df.count()
     for model in ("random_forest", "gradient_boosting", "linear"):
         run = ts.train(df, "k", model, params=SMALL[model] or {})
-        assert run.metrics["accuracy"] > 0.75, model
+        assert run.metrics["accuracy"] > constant + 0.25, model
         row = run.fitted.predict(df).first()
         assert len(row.probability) == 3 and sum(row.probability) == pytest.approx(1.0)
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,15 @@ def test_missing_threshold_uses_rounded_share_strictly(spark):
     assert ts.columns_over_missing(df, 50).count() == 0        # 50.01 % rounds to 50.0
 
 
+def test_rounding_is_numpys(spark):
+    from tabspark.functions.columns import half_even
+    values = [73.475, 0.575, 12.25, 0.35, 2.675, 1.005, -0.125, 36.625]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2):
+        got = [r.r for r in df.select(half_even(F.col("v"), digits).alias("r")).collect()]
+        assert got == list(np.round(values, digits))
+
+
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "a double")
     assert ts.missing_counts(df).first()["missing"] == 2
