@@ -18,8 +18,8 @@ def _status(spark, folder):
 WITH p AS {_PRED}, l AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
 k AS (SELECT c, count(*) FILTER (label = c) AS t, count(*) FILTER (prediction = c) AS q,
              count(*) FILTER (label = c AND prediction = c) AS h FROM p, l GROUP BY c)
-SELECT round(sum(h) / sum(t), 3) AS accuracy, round(avg(CASE WHEN q > 0 THEN h / q ELSE 0 END), 3) AS "precision",
-       round(avg(CASE WHEN t > 0 THEN h / t ELSE 0 END), 3) AS recall FROM k""")
+SELECT round_even((sum(h) / sum(t)) * 1000, 0) / 1000 AS accuracy, round_even((avg(CASE WHEN q > 0 THEN h / q ELSE 0 END)) * 1000, 0) / 1000 AS "precision",
+       round_even((avg(CASE WHEN t > 0 THEN h / t ELSE 0 END)) * 1000, 0) / 1000 AS recall FROM k""")
 def accuracy_macro(spark, folder):
     return metrics.classification_metrics(_status(spark, folder))
 
@@ -29,8 +29,8 @@ WITH p AS (SELECT quality AS label, (n_chars > 1000)::INT AS prediction FROM doc
 l AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
 k AS (SELECT c, count(*) FILTER (label = c) AS t, count(*) FILTER (prediction = c) AS q,
              count(*) FILTER (label = c AND prediction = c) AS h FROM p, l GROUP BY c)
-SELECT round(sum(h) / sum(t), 3) AS accuracy, round(avg(CASE WHEN q > 0 THEN h / q ELSE 0 END), 3) AS "precision",
-       round(avg(CASE WHEN t > 0 THEN h / t ELSE 0 END), 3) AS recall FROM k""")
+SELECT round_even((sum(h) / sum(t)) * 1000, 0) / 1000 AS accuracy, round_even((avg(CASE WHEN q > 0 THEN h / q ELSE 0 END)) * 1000, 0) / 1000 AS "precision",
+       round_even((avg(CASE WHEN t > 0 THEN h / t ELSE 0 END)) * 1000, 0) / 1000 AS recall FROM k""")
 def accuracy_macro_binary(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "n_chars").join(table(spark, folder, "labels"), "doc_id")
     return metrics.classification_metrics(
@@ -54,9 +54,9 @@ def confusion_pct(spark, folder):
     return metrics.confusion(_status(spark, folder), ["F", "O", "P", "X"], normalize=True)
 
 
-def _price_sql(predicted: str, digits: int = 3) -> str:
-    return f"""SELECT round(1 - avg((y - p) ** 2) / var_pop(y), {digits}) AS r2, round(avg(abs(y - p)), {digits}) AS mae,
-       round(sqrt(avg((y - p) ** 2)), {digits}) AS rmse
+def _price_sql(predicted: str) -> str:
+    return f"""SELECT round_even((1 - avg((y - p) ** 2) / var_pop(y)) * 1000, 0) / 1000 AS r2, round_even((avg(abs(y - p))) * 1000, 0) / 1000 AS mae,
+       round_even((sqrt(avg((y - p) ** 2))) * 1000, 0) / 1000 AS rmse
 FROM (SELECT l_extendedprice AS y, {predicted} AS p FROM lineitem)"""
 
 
@@ -107,9 +107,9 @@ def _curve(spark, folder):
 
 
 @query("lc_verdict", f"""
-SELECT l_returnflag, l_linestatus, round(train - val, 3) AS gap, round(val, 3) AS val,
-       CASE WHEN round(train - val, 3) > 0.15 THEN 'overfit' WHEN scoring = 'accuracy' AND round(val, 3) < 0.6 THEN 'underfit'
-            WHEN round(train - val, 3) <= 0.05 THEN 'good' ELSE 'moderate' END AS verdict
+SELECT l_returnflag, l_linestatus, round_even((train - val) * 1000, 0) / 1000 AS gap, round_even((val) * 1000, 0) / 1000 AS val,
+       CASE WHEN round_even((train - val) * 1000, 0) / 1000 > 0.15 THEN 'overfit' WHEN scoring = 'accuracy' AND round_even((val) * 1000, 0) / 1000 < 0.6 THEN 'underfit'
+            WHEN round_even((train - val) * 1000, 0) / 1000 <= 0.05 THEN 'good' ELSE 'moderate' END AS verdict
 FROM (SELECT l_returnflag, l_linestatus, max_by(train_mean, train_size) AS train, max_by(val_mean, train_size) AS val,
              max(scoring) AS scoring FROM {_CURVE} GROUP BY 1, 2)""")
 def lc_verdict(spark, folder):
@@ -133,7 +133,7 @@ def _history(spark, folder):
 SELECT l_returnflag, epochs, gap, CASE WHEN epochs < 7 THEN 'early_stopped' WHEN gap > 0.3 THEN 'overfit'
        WHEN train > 0.5 AND val > 0.5 THEN 'underfit' ELSE 'ok' END AS verdict
 FROM (SELECT l_returnflag, max(epoch) AS epochs, max_by(train_loss, epoch) AS train, max_by(val_loss, epoch) AS val,
-             round(abs(max_by(train_loss, epoch) - max_by(val_loss, epoch)), 4) AS gap FROM {_HISTORY} GROUP BY 1)""")
+             round_even(abs(max_by(train_loss, epoch) - max_by(val_loss, epoch)) * 10000, 0) / 10000 AS gap FROM {_HISTORY} GROUP BY 1)""")
 def loss_verdict(spark, folder):
     return metrics.diagnose_loss(_history(spark, folder), 7, ["l_returnflag"])
 

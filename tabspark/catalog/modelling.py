@@ -123,8 +123,8 @@ _TRAIN, _TEST = f"(SELECT * FROM {_XY} WHERE {_BUCKET} >= 2000)", f"(SELECT * FR
 
 
 def _run_metrics(alpha: str) -> str:
-    return f"""SELECT round({_R2}, 3) AS r2, round(avg(abs(y - ({_OUT}))), 3) AS mae,
-       round(sqrt(avg((y - ({_OUT})) ** 2)), 3) AS rmse FROM {_TEST}, {_ridge(_TRAIN, alpha)}"""
+    return f"""SELECT round_even(({_R2}) * 1000, 0) / 1000 AS r2, round_even((avg(abs(y - ({_OUT})))) * 1000, 0) / 1000 AS mae,
+       round_even((sqrt(avg((y - ({_OUT})) ** 2))) * 1000, 0) / 1000 AS rmse FROM {_TEST}, {_ridge(_TRAIN, alpha)}"""
 
 
 def _run(spark, folder, **options):
@@ -248,8 +248,8 @@ def learning_curve(spark, folder):
 
 @query("learning_curve_verdict", f"""
 SELECT gap + 0.0 AS gap, val, CASE WHEN gap > 0.15 THEN 'overfit' WHEN gap <= 0.05 THEN 'good' ELSE 'moderate' END AS verdict
-FROM (SELECT round(max_by(train_mean, train_size) - max_by(val_mean, train_size), 3) AS gap,
-             round(max_by(val_mean, train_size), 3) AS val FROM ({_CURVE}))""")
+FROM (SELECT round_even((max_by(train_mean, train_size) - max_by(val_mean, train_size)) * 1000, 0) / 1000 AS gap,
+             round_even((max_by(val_mean, train_size)) * 1000, 0) / 1000 AS val FROM ({_CURVE}))""")
 def learning_curve_verdict(spark, folder):
     return metrics.diagnose_learning_curve(_curve(spark, folder)).withColumn("gap", F.col("gap") + 0.0)
 

@@ -43,9 +43,9 @@ def classification_metrics(pred: DataFrame, actual: str = "label", predicted: st
         return F.coalesce(F.try_divide(F.col("hit_n").cast("double"), F.col(total).cast("double")), F.lit(0.0))
 
     return per_label.agg(
-        F.round(F.try_divide(F.sum("hit_n").cast("double"), F.sum("true_n").cast("double")), digits).alias("accuracy"),
-        F.round(F.avg(ratio("pred_n")), digits).alias("precision"),
-        F.round(F.avg(ratio("true_n")), digits).alias("recall"))
+        half_even(F.try_divide(F.sum("hit_n").cast("double"), F.sum("true_n").cast("double")), digits).alias("accuracy"),
+        half_even(F.avg(ratio("pred_n")), digits).alias("precision"),
+        half_even(F.avg(ratio("true_n")), digits).alias("recall"))
 
 
 def confusion(pred: DataFrame, labels: Sequence, actual: str = "label", predicted: str = "prediction",
@@ -77,8 +77,8 @@ def regression_metrics(pred: DataFrame, actual: str = "label", predicted: str =
     sums = both.agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("y").alias("var"))
     r2 = F.when(F.col("var") > 0, 1 - F.try_divide(F.col("mse"), F.col("var"))).when(
         F.col("mse") == 0, F.lit(1.0)).when(F.col("mse").isNotNull(), F.lit(0.0))
-    return sums.select(F.round(r2, digits).alias("r2"), F.round("mae", digits).alias("mae"),
-                       F.round(F.sqrt("mse"), digits).alias("rmse"))
+    return sums.select(half_even(r2, digits).alias("r2"), half_even(F.col("mae"), digits).alias("mae"),
+                       half_even(F.sqrt("mse"), digits).alias("rmse"))
 
 
 def diagnose_learning_curve(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +86,7 @@ def diagnose_learning_curve(curve: DataFrame, by: Sequence[str] = ()) -> DataFra
     last = curve.groupBy(*by).agg(
         F.max_by("train_mean", "train_size").alias("train"), F.max_by("val_mean", "train_size").alias("val"),
         F.max("scoring").alias("scoring"))
-    gap, val = F.round(F.col("train") - F.col("val"), 3), F.round("val", 3)
+    gap, val = half_even(F.col("train") - F.col("val"), 3), half_even(F.col("val"), 3)
     verdict = (F.when(gap > OVERFIT_GAP, "overfit")
                .when((F.col("scoring") == "accuracy") & (val < WEAK_ACCURACY), "underfit")
                .when(gap <= GOOD_GAP, "good").otherwise("moderate"))
@@ -115,7 +115,7 @@ def diagnose_loss(history: DataFrame, max_epochs: int, by: Sequence[str] = ()) -
     last = history.groupBy(*by).agg(
         F.max("epoch").alias("epochs"), F.max_by("train_loss", "epoch").alias("train"),
         F.max_by("val_loss", "epoch").alias("val"))
-    gap = F.round(F.abs(F.col("train") - F.col("val")), 4)
+    gap = half_even(F.abs(F.col("train") - F.col("val")), 4)
     verdict = (F.when(F.col("epochs") < max_epochs, "early_stopped").when(gap > LOSS_GAP, "overfit")
                .when((F.col("train") > HIGH_LOSS) & (F.col("val") > HIGH_LOSS), "underfit").otherwise("ok"))
     return last.select(*by, "epochs", gap.alias("gap"), verdict.alias("verdict"))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabspark.functions.columns import half_even
 from tabspark.operators import metrics as M, models, splits
 from tabspark.operators.clean import drop_null_target, null_target_rows
 from tabspark.operators.mlp import NetCore
@@ -130,7 +131,7 @@ def _run_on(s: RunSpec, spec: FeatureSpec, key: list[str], df: DataFrame, droppe
     values = {r["metric"]: r["value"] for r in M.metrics_long(table).collect()}
     if s.cv:
         scores = tuning.cross_validate_rows(df, spec, codec, s.model, params, s.cv, s.seed, key)
-        mean, std = M.rollup_scores(scores).select(F.round("mean", 3), F.round("std", 3)).first()
+        mean, std = M.rollup_scores(scores).select(half_even(F.col("mean"), 3), half_even(F.col("std"), 3)).first()
         name = "accuracy" if codec else "r2"
         values.update({f"cv_{name}_mean": mean, f"cv_{name}_std": std})
     confusion = M.confusion(pred, codec.classes, s.target) if codec else None

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tabspark.functions.columns import col
+from tabspark.functions.columns import col, half_even
 from tabspark.operators import metrics, models, trees
 from tabspark.operators.clean import drop_null_target
 from tabspark.operators.mlp import NetCore
@@ -126,7 +126,7 @@ def score_proba(fitted: Fitted, df: DataFrame, row_id: str) -> DataFrame:
     classes = F.array(*[F.lit(c).cast(fitted.codec.dtype) for c in fitted.codec.classes])
     return (scored.select(col(row_id), F.posexplode("probability").alias("_i", "_p"))
             .select(col(row_id), F.element_at(classes, F.col("_i") + 1).alias("class"),
-                    F.round("_p", 4).alias("probability")))
+                    half_even(F.col("_p"), 4).alias("probability")))
 
 
 def evaluate(fitted: Fitted, test: DataFrame) -> DataFrame:
