@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import host_rules, mixing
+from tabspark.llm import binpack, host_rules, mixing, packing, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The tokenizers are on every machine, installed with Python."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -25,6 +31,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_repair_ids")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return repair.token_file(docs, _tokenizer("word_bpe_49k.json"), 49408)
+
+
+@query("op5_best_fit_shards")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = binpack.shard(_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_linear_grouping")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, _tokenizer("byte_bpe_50k.json")).select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op8_source_schedule")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     report, _ = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", "text"))
