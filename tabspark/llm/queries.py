@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, mixing, packing, repair
+from tabspark.llm import binpack, host_rules, language, mixing, packing, repair
+from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return repair.token_file(docs, _tokenizer("word_bpe_49k.json"), 49408)
 
 
+@query("op4_compression_language")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    content = language.samples(docs.where(modulo(F.col("doc_id"), 3) != 1).select("doc_id", "lang", "text"))
+    rows = language.identify(docs.select("doc_id", "text"), content)
+    return rows.select("row.doc_id", (modulo(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 @query("op5_best_fit_shards")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rows = binpack.shard(_table(spark, folder, "documents").select("doc_id", "text"))
