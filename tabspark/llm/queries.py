@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, language, mixing, packing, repair
+from tabspark.llm import binpack, host_rules, language, mixing, packing, repair, toxicity
 from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sentence_noisy_or")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select("doc_id", "toxic")
+    train = modulo(F.col("doc_id"), 5) != 0
+    rows = toxicity.score(docs, toxicity.learn(docs.where(train), labels.where(train)))
+    return rows.select("row.doc_id", (modulo(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst", F.size("offending").alias("n_offending"))
+
+
 @query("op2_repair_ids")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
