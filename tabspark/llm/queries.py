@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, language, mixing, packing, repair, toxicity
+from tabspark.llm import binpack, host_rules, impact_search, language, mixing, packing, repair, toxicity
 from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_impact_ordered_search")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_search.nearest(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op7_linear_grouping")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
