@@ -39,16 +39,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def sha(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
 def modulo(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts).cast("bigint"))
 
 
-def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table with a written lookup table on keys that may be null or hot.
 
     The lookup is broadcast when its counted rows are few. Otherwise its rows are repeated
@@ -57,7 +53,7 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     names = [f"__{k}" for k in keys]
     right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= rows:
         return left.join(F.broadcast(right), same, how).drop(*names)
     left = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if t in ("bigint", "int", "string")]), F.lit(SALTS)).cast("int"))
     right = right.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, impact_search, language, mixing, packing, repair, toxicity
+from tabspark.llm import binpack, host_rules, impact_search, language, mixing, ngram_join, packing, repair, toxicity
 from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = host_rules.host_rules(_table(spark, folder, "documents").select("doc_id", "source", "text"))
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                        "host_ok", "host_docs")
+
+
+@query("op10_shingle_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
