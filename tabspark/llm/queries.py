@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, impact_search, language, mixing, ngram_join, packing, repair, toxicity
+from tabspark.llm import binpack, host_rules, impact_search, language, mixing, ngram_join, packing, repair, suffix_tree, toxicity
 from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return repair.token_file(docs, _tokenizer("word_bpe_49k.json"), 49408)
 
 
+@query("op3_suffix_tree_score")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = modulo(F.col("doc_id"), 5) == 1
+    rows = suffix_tree.score_texts(_table(spark, folder, "documents").select("doc_id", "text"), ~held_out)
+    return rows.select("row.doc_id", (modulo(F.col("row.doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_compression_language")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
