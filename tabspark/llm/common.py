@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a written table may be broadcast; above, joins shuffle.
 BROADCAST_ROWS = 100_000
+#: The same for lookups of two or three numbers.
+SLIM_ROWS = 500_000
 #: Pieces into which the rows of one group are dealt for ranks and running sums.
 SLICES = 1024
 SALTS = 16

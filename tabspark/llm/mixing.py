@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabspark.llm.common import SLICES, WORD, joined, ranged, running, stored
+from tabspark.llm.common import SLICES, SLIM_ROWS, WORD, joined, ranged, running, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -100,7 +100,13 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix repeats them: each as often as it takes the document's words, rounded."""
-    report, _ = mix(docs, keep=tuple(docs.columns))
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1).cast("int")
-    return report.withColumn("again", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    """The documents as the mix repeats them: each as often as it takes the document's words, rounded.
+
+    The mix is planned without texts, by a hash of each row; rows alike in everything get the same number, their mean.
+    A document without words stays as it is.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("key"), F.col("source").alias("source"), F.col("text").alias("text"))
+    report, _ = mix(keyed, keep=("key",))
+    share = F.when(F.sum("size") > 0, F.sum("taken") / F.sum("size")).otherwise(1)
+    times = stored(report.groupBy("row.key").agg(F.floor(share + 0.5).cast("int").alias("times")), "times")
+    return joined(keyed, times, ["key"], "inner", SLIM_ROWS).withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

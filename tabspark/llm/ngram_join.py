@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabspark.llm.common import joined, spread, stored
+from tabspark.llm.common import SLIM_ROWS, joined, spread, stored
 from tabspark.llm.components import components
 from tabspark.llm.texts import hashes, split_words
 
@@ -44,8 +44,6 @@ EXTRA = 20
 KEYS = 3
 #: Members of a star that one task holds against its centre.
 STAR = 200
-#: Rows of two numbers up to which a lookup by document is broadcast.
-SLIM_ROWS = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -277,3 +275,18 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     out = rows.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return stored(out, "joined")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one of each component kept, with their own columns.
+
+    Of a component the document with the smallest doc_id stays; of rows that share a doc_id, the one with the
+    smallest hash. Rows without shingles or doc_id are copies of nothing and stay.
+    """
+    found = jaccard_join(docs.select("doc_id", "text")).where("n_shingles > 0 and doc_id is not null")
+    marks = found.groupBy(F.col("doc_id").alias("id")).agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("copy"), F.count(F.lit(1)).alias("rows")).where("copy or rows > 1")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    rows = joined(rows, stored(marks, "marks"), ["id"], "left", SLIM_ROWS)
+    twins = rows.where("not copy").groupBy("id").agg(F.min_by("row", "hash").alias("row"))
+    return rows.where("copy is null").select("row.*").unionByName(twins.select("row.*"))

@@ -96,3 +96,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_shingle_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
