@@ -69,7 +69,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op6_impact_ordered_search")
+_OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op6_impact_ordered_search", _OP6)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return impact_search.nearest(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
@@ -86,16 +97,55 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("row.doc_id", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).alias("repeats"))
 
 
-@query("op9_host_rules")
+_OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, i + j AS p FROM twice, (SELECT unnest(range(5)) AS j)) GROUP BY k),
+lines AS (SELECT k, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.k, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN lines USING (k) LEFT JOIN covered USING (k)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base, 100 * n_symbols > 10 * word_chars AS symbols,
+             100 * n_dup_lines > 30 * n_lines AS dups, word_chars < 2 * n_words OR word_chars > 12 * n_words AS letters FROM m),
+long AS (UNPIVOT (SELECT source, base::INT AS base, symbols::INT AS symbols, dups::INT AS dups, letters::INT AS letters FROM f WHERE source IS NOT NULL)
+         ON base, symbols, dups, letters INTO NAME rule VALUE fail),
+hosts AS (SELECT source, rule, count(*) AS docs, sum(fail) AS fails, sum(fail) / count(*) AS rate FROM long GROUP BY ALL),
+prior AS (SELECT rule, avg(rate) AS mean, var_pop(rate) AS var, avg(1 / docs) AS noise FROM hosts GROUP BY rule),
+strength AS (SELECT rule, mean, greatest(least(mean * (1 - mean) / greatest((var - mean * (1 - mean) * noise) / greatest(1 - noise, 1e-9), 1e-6) - 1, 1e4), 1.0) AS s FROM prior),
+verdict AS (SELECT source, any_value(docs) AS host_docs, max((fails + mean * s) / (docs + s)) < 0.5 AS ok FROM hosts JOIN strength USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed, NOT base AND coalesce(ok, true) AS kept,
+       coalesce(ok, true) AS host_ok, host_docs FROM f LEFT JOIN verdict USING (source)
+"""
+
+
+@query("op9_host_rules", _OP9)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = host_rules.host_rules(_table(spark, folder, "documents").select("doc_id", "source", "text"))
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                        "host_ok", "host_docs")
 
 
-@query("op10_shingle_join")
+_OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
+@query("op10_shingle_join", _OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
+    rows = ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 @query("pipeline")
