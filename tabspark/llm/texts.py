@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Bytes of text whose words are held as arrays at once; one longer text is a part of its own.
+PART_BYTES = 6 << 20
+
+
+def parts(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 class Words(NamedTuple):
     """Words of texts in a row: ``codes`` into ``distinct``; text i has words ``begin[i]`` to ``begin[i + 1]``.
 

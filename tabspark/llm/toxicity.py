@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabspark.llm.texts import Words, hashes, split_words
+from tabspark.llm.texts import PART_BYTES, Words, hashes, parts, split_words
 
 SAMPLE = 8000
 SAMPLE_CHARS = 40_000
@@ -35,6 +35,8 @@ LEAST_Z = 3.0
 LONGEST = 64
 PREFIX = 4
 STEPS = 200
+#: Documents of the sample that are split into words at a time.
+CHUNK = 500
 RATE = 0.1
 L2 = 1e-3
 OUTER = ".,;:!?\"'()[]{}<>|*_-#"
@@ -94,48 +96,71 @@ def _or(logits: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(-np.logaddexp(0, logits), first)
 
 
+def _by_word(own: np.ndarray, code: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs in word order, and where each word's begin."""
+    order = np.argsort(own, kind="stable")
+    return code[order], np.searchsorted(own[order], np.arange(count + 1))
+
+
+def _spread(where: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the features of each of the words, and which of the words each belongs to."""
+    n = where[words + 1] - where[words]
+    return np.repeat(where[words] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(words)), n)
+
+
+def _telling(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
+    """Sorted features that toxic documents of the sample have more often than chance."""
+    found, seen, toxic = [], [], []
+    for low in range(0, len(texts), CHUNK):
+        words = split_words(texts.slice(low, CHUNK))
+        code, where = _by_word(*features(words.distinct), len(words.distinct))
+        mine = []
+        for a, b in zip(words.begin[:-1], words.begin[1:]):
+            at, _ = _spread(where, np.unique(words.codes[a:b]))
+            mine.append(np.unique(code[at]))
+        keys, number, n = np.unique(np.concatenate(mine), return_inverse=True, return_counts=True)
+        found.append(keys)
+        seen.append(n)
+        toxic.append(np.bincount(number, np.repeat(labels[low:low + CHUNK], [len(m) for m in mine]), len(keys)))
+    keys, number = np.unique(np.concatenate(found), return_inverse=True)
+    n, k, share = np.bincount(number, np.concatenate(seen)), np.bincount(number, np.concatenate(toxic)), labels.mean()
+    return keys[(n >= LEAST_DOCS) & (k - n * share > LEAST_Z * np.sqrt(n * share * (1 - share)))]
+
+
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """The model of sampled texts and their labels."""
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(labels.mean()) if len(labels) else 0.0)
-    words = split_words(texts)
-    bags = sentences(words)
-    labels = labels[np.diff(bags.first) > 0]
-    first = bags.first[:-1][np.diff(bags.first) > 0]
-    count = len(bags.begin)
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, count)))
-    # features of enough documents: (document, word) pairs meet (word, feature) pairs by word
-    own, code = features(words.distinct)
-    order = np.argsort(own, kind="stable")
-    own, code = own[order], code[order]
-    keys, code = np.unique(code, return_inverse=True)
-    where = np.searchsorted(own, np.arange(len(words.distinct) + 1))
-    seen, toxic_seen = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    for y, d in zip(labels, np.split(bags.word, np.searchsorted(group[bags.owner], np.arange(1, len(first))))):
-        mine = np.unique(d)
-        n = where[mine + 1] - where[mine]
-        at = np.repeat(where[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found = np.unique(code[at])
-        seen[found] += 1
-        toxic_seen[found] += int(y)
-    share = labels.mean()
-    good = (seen >= LEAST_DOCS) & (toxic_seen - seen * share > LEAST_Z * np.sqrt(seen * share * (1 - share)))
-    number = np.cumsum(good) - 1
-    own, code = own[good[code]], number[code[good[code]]]
-    keys = keys[good]
-    weights, bias = np.zeros(len(keys) + 1), -4.0
-    weights[-1] = bias
+    keys = _telling(texts, labels)
+    # (sentence, feature) pairs, features of weight only; and the sentences of each document
+    owners, codes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    count = 0
+    for low in range(0, len(texts), CHUNK):
+        words = split_words(texts.slice(low, CHUNK))
+        bags = sentences(words)
+        own, code = features(words.distinct)
+        at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
+        good = keys[at] == code if len(keys) else np.zeros(len(code), bool)
+        code, where = _by_word(own[good], at[good], len(words.distinct))
+        at, of = _spread(where, bags.word)
+        owners.append(bags.owner[of] + count)
+        codes.append(code[at])
+        sizes.append(np.diff(bags.first))
+        count += len(bags.begin)
+    owner, code, size = np.concatenate(owners), np.concatenate(codes), np.concatenate(sizes)
+    labels, size = labels[size > 0], size[size > 0]
+    first, group = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    weights = np.zeros(len(keys) + 1)
+    weights[-1] = -4.0
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, STEPS + 1):
-        value = np.bincount(own, weights[code], len(words.distinct))
-        logits = np.bincount(bags.owner, value[bags.word], count) + weights[-1]
+        logits = np.bincount(owner, weights[code], count) + weights[-1]
         p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
         left = np.exp(_or(logits, first))
         toxic = np.maximum(1 - left, 1e-9)
         # d loss / d logit: p for a clean document, -(left / toxic) * p for a toxic one
         pull = np.where(labels == 1, -left / toxic, 1.0)[group] * p
-        by_word = np.bincount(bags.word, pull[bags.owner], len(words.distinct))
-        grad = np.append(np.bincount(code, by_word[own], len(keys)), pull.sum())
+        grad = np.append(np.bincount(code, pull[owner], len(keys)), pull.sum())
         grad[:-1] += L2 * len(labels) / 100 * weights[:-1]
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
@@ -148,8 +173,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     the texts of at most ``sample`` documents of at most ``SAMPLE_CHARS`` characters."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(
         (F.avg(label) >= 0.5).cast("int").alias("__y")).orderBy(F.xxhash64(F.lit("toxicity"), "__k"), "__k").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k")).where(F.char_length(text) <= SAMPLE_CHARS)
-    found = rows.groupBy("__k").agg(F.min("__y").alias("y"), F.min(text).alias("text")).orderBy("__k").toArrow()
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__key") == F.col("__k"))
+    rows = rows.where(F.char_length("text") <= SAMPLE_CHARS)
+    found = rows.groupBy("__k").agg(F.min("__y").alias("y"), F.min("text").alias("text")).orderBy("__k").toArrow()
     return fit(found["text"].combine_chunks(), found["y"].to_numpy().astype(float))
 
 
@@ -159,7 +185,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double, worst double, offending array<string>"
 
     def judge(batches):
-        for batch in batches:
+        for batch in parts(batches, size=2 * PART_BYTES):
             texts = batch.column("text")
             words = split_words(texts)
             bags = sentences(words)
