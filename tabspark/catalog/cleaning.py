@@ -271,6 +271,19 @@ def stratified_kfold(spark, folder):
     return splits.stratified_kfold(orders, 5, "o_orderstatus", key=["o_orderkey"])
 
 
+@query("stratified_kfold_keys", f"""
+WITH counts AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
+keys AS (SELECT l_orderkey, arg_min(l_returnflag, (-n, l_returnflag)) AS c FROM counts GROUP BY 1),
+folds AS (SELECT l_orderkey, ((row_number() OVER (PARTITION BY c ORDER BY {sql_hash('fold42', 'l_orderkey')}, l_orderkey::VARCHAR) - 1) % 5)::INT AS fold
+          FROM keys)
+SELECT l_orderkey, l_returnflag, fold, count(*) AS n FROM lineitem JOIN folds USING (l_orderkey) GROUP BY ALL""")
+def stratified_kfold_keys(spark, folder):
+    """The lines of an order share its fold."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag")
+    dealt = splits.stratified_kfold(lines, 5, "l_returnflag", key=["l_orderkey"])
+    return dealt.groupBy("l_orderkey", "l_returnflag", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stratified_kfold_copies", """
 SELECT l_returnflag, f.fold::INT AS fold, (n // 4 + (f.fold < n % 4)::INT)::BIGINT AS n
 FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest(range(4)) AS fold) f""")

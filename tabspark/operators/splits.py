@@ -1,8 +1,8 @@
 """Deterministic splits. Every split is a function of the row's key hash, so it does not
 depend on partitioning and a retried task gives the same rows the same side.
 
-Without ``key`` the whole row is hashed and equal rows land on the same side, except in the
-exact splits, which number copies one by one.
+Rows of one key stay together in every split. Without ``key`` the whole row is hashed and equal rows land
+on the same side, except in the exact splits, which deal copies out one by one.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabspark.functions.columns import col
+from tabspark.functions.columns import col, quote
 from tabspark.functions.hashing import BUCKETS, bucket, row_hash
-from tabspark.session import shared_dir
 
-GROUP_ROWS = 200_000       # rows that one task should sort when ranking ...
-MAX_SLICES = 50_000        # ... and the bound on the slices that this makes of a huge table
+SLICES = 4096              # slices of the hash range in which units are ranked
 
 
 def _salt(purpose: str, seed: int) -> str:
@@ -26,12 +24,13 @@ def _salt(purpose: str, seed: int) -> str:
 def holdout(df: DataFrame, test_share: float = 0.2, seed: int = 42, key: Sequence[str] | None = None,
             exact: bool = False) -> DataFrame:
     """Adds ``is_test``. By default each row is tested with the given probability; ``exact``
-    takes ceil(share * rows) rows, as a shuffled split does."""
+    takes ceil(share * rows) rows, as a shuffled split does; with repeated keys, whole keys until so
+    many rows are reached."""
     if exact:
         n = df.count()
         ranked = hash_rank(df, [], _salt("holdout", seed), key)
         size = -(-n * round(test_share * BUCKETS) // BUCKETS)
-        return ranked.withColumn("is_test", F.col("_rank") < size).drop("_rank")
+        return ranked.withColumn("is_test", F.col("_ahead") < size).drop("_rank", "_ahead")
     return df.withColumn("is_test", bucket(df, key, _salt("holdout", seed)) < round(test_share * BUCKETS))
 
 
@@ -43,18 +42,22 @@ def three_way(df: DataFrame, seed: int = 42, key: Sequence[str] | None = None) -
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """Adds ``fold`` in 0..k-1."""
-    if not 2 <= k <= 10:
-        raise ValueError("k must be between 2 and 10")
+    if k < 2:
+        raise ValueError("k must be at least 2")
     return df.withColumn("fold", bucket(df, key, _salt("fold", seed), k).cast("int"))
 
 
 def stratified_kfold(df: DataFrame, k: int, label: str, seed: int = 42,
                      key: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``fold`` so that every class is dealt evenly: its fold sizes differ by at most 1."""
-    if not 2 <= k <= 10:
-        raise ValueError("k must be between 2 and 10")
+    """Adds ``fold`` so that every class is dealt evenly: its fold sizes differ by at most 1.
+
+    With repeated keys, the keys of each class are dealt evenly, and all rows of a key share its fold; a
+    key's class is its most frequent label, the smallest of equally frequent ones.
+    """
+    if k < 2:
+        raise ValueError("k must be at least 2")
     ranked = hash_rank(df, [label], _salt("fold", seed), key)
-    return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
+    return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank", "_ahead")
 
 
 def prefix_sample(df: DataFrame, share: float, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
@@ -68,56 +71,38 @@ def prefix_bucket(df: DataFrame, seed: int = 42, key: Sequence[str] | None = Non
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], salt: str, key: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``_rank``: 0, 1, 2, ... in hash order within each ``by`` group, over all tasks.
+    """Adds ``_rank``, 0, 1, 2, ... in hash order within each ``by`` group, and ``_ahead``, the rows before.
 
-    A group is never sorted as a whole. Its rows are cut by hash into buckets of about
-    GROUP_ROWS rows (more only where a table would need over MAX_SLICES of them); bucket sizes give each bucket its starting rank and only buckets are
-    sorted. A hash shared by more rows than that (copies of one row, or one repeated key)
-    is cut further by row position; the table is checkpointed first, so that positions are
-    fixed even if tasks are retried.
-    """
-    n = df.count()
-    group = max(GROUP_ROWS, n // MAX_SLICES)
-    width = -(-2 ** 32 // max(1, -(-n // group)))
-    names = list(by)
-    hashed = (df.withColumn("_h", row_hash(df, key, salt))
-              .withColumn("_slice", F.floor(F.col("_h") / F.lit(width)))
-              .withColumn("_pos", F.lit(0).cast("bigint")).withColumn("_cut", F.lit(0).cast("bigint")))
-    hot = _hot_hashes(hashed, names, group)
-    if hot is not None:
-        shared_dir(df.sparkSession)
-        hashed = hashed.checkpoint().withColumn("_pos", F.monotonically_increasing_id())
-        mine = hashed.drop("_cut")
-        same = [mine[c].eqNullSafe(hot[c]) for c in names] + [mine["_h"] == hot["_h"]]
-        cuts = F.coalesce(1 + F.pmod(F.xxhash64("_pos"), hot["_cuts"]), F.lit(0).cast("bigint"))
-        hashed = mine.join(F.broadcast(hot), same, "left").select(*[mine[c] for c in mine.columns], cuts.alias("_cut"))
-    # order: by slice; a hot hash is a run of slots of its own after the rest of its slice
-    slot = F.struct(*[col(c) for c in names], "_slice", F.when(F.col("_cut") > 0, F.col("_h")).alias("_hot"), "_cut")
-    slotted = hashed.withColumn("_slot", slot)
-    sizes = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_size"))
-    before = (Window.partitionBy(*([F.col("_slot").getField(c) for c in names] or [F.lit(0)]))
-              .orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))     # some MAX_SLICES slots
-    starts = sizes.select("_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    ties = [col(c).cast("string") for c in (key or df.columns)]
-    within = Window.partitionBy("_slot").orderBy("_h", "_pos", *ties)
-    ranked = slotted.withColumn("_row", F.row_number().over(within) - 1)
-    return (ranked.join(starts, "_slot")
-            .select(*[col(c) for c in df.columns], (F.col("_start") + F.col("_row")).alias("_rank")))
-
-
-def _hot_hashes(hashed: DataFrame, names: list[str], group: int) -> DataFrame | None:
-    """(by..., _h, _cuts) of the hashes that one task should not sort alone, if there are any.
-
-    Slice sizes, a tiny aggregate, show whether there is anything to look for; only the
-    overfull slices are then counted by hash.
+    What is ranked are units: keys, or without a key distinct rows with their number of copies. Equal rows
+    and keys collapse before the shuffle, so no hot one is sorted. Units are ranked in slices of the hash
+    range; the sizes of the slices give each its start. Neither the table's size nor its partitioning matter.
     """
-    full = (hashed.groupBy(*[col(c) for c in names], "_slice").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 2 * group).select("_slice").distinct())
-    slices = [r[0] for r in full.limit(1001).collect()]
-    if not slices:
-        return None
-    some = hashed.filter(F.col("_slice").isin(slices)) if len(slices) <= 1000 else hashed
-    # fewer than n / group <= MAX_SLICES hashes can qualify, so the result is small
-    return (some.groupBy(*[col(c) for c in names], "_h").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > group)
-            .withColumn("_cuts", 1 + F.floor(F.col("_n") / group)).drop("_n"))
+    names, cols = list(by), list(key) if key else df.columns
+    if key and names:
+        counted = df.groupBy(*[col(c) for c in dict.fromkeys([*cols, *names])]).agg(F.count(F.lit(1)).alias("_n"))
+        best = F.min(F.struct((-F.col("_n")).alias("_m"), *[col(c) for c in names]))
+        units = counted.groupBy(*[col(c) for c in cols]).agg(F.sum("_n").alias("_n"), best.alias("_best"))
+        units = units.select(*[col(c) for c in cols], "_n", *[F.col("_best").getField(c).alias(f"_by{i}") for i, c in enumerate(names)])
+    else:
+        units = df.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+        units = units.select("*", *[col(c).alias(f"_by{i}") for i, c in enumerate(names)])
+    group = [f"_by{i}" for i in range(len(names))]
+    units = units.withColumn("_h", row_hash(units, cols, salt))
+    units = units.withColumn("_slice", F.floor(F.col("_h") / F.lit(2 ** 32 // SLICES)))
+    sizes = units.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_units"), F.sum("_n").alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)   # SLICES rows at most
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_slice").alias("_of"),
+                          F.coalesce(F.sum("_units").over(before), F.lit(0)).alias("_units"),
+                          F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"))
+    within = Window.partitionBy(*group, "_slice").orderBy("_h", *[col(c).cast("string") for c in cols])
+    placed = units.withColumn("_i", F.row_number().over(within) - 1).withColumn(
+        "_r", F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col("_slice") == F.col("_of")]
+    placed = placed.join(starts, same).withColumn("_ahead", F.col("_rows") + F.col("_r"))
+    if not key:
+        copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+        rank = F.col("_ahead") + F.col("_copy")
+        return copies.select(*[col(c) for c in df.columns], rank.alias("_rank"), rank.alias("_ahead"))
+    found = placed.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(cols)], (F.col("_units") + F.col("_i")).alias("_rank"), "_ahead")
+    return df.join(found, [df[quote(c)].eqNullSafe(found[f"_k{i}"]) for i, c in enumerate(cols)]).select(
+        *[col(c) for c in df.columns], "_rank", "_ahead")

@@ -41,9 +41,7 @@ def test_equal_rows_stay_together(spark):
     assert splits.holdout(df).distinct().count() == 50
 
 
-@pytest.mark.parametrize("group", [200_000, 300])
-def test_stratified_with_a_third_of_copies(spark, monkeypatch, group):
-    monkeypatch.setattr(splits, "GROUP_ROWS", group)
+def test_stratified_with_a_third_of_copies(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"),
                                   (F.col("id") % 2).alias("label"))
     counts = splits.stratified_kfold(df, 5, "label").groupBy("label", "fold").count().collect()
@@ -53,14 +51,22 @@ def test_stratified_with_a_third_of_copies(spark, monkeypatch, group):
     assert _set(first) == _set(second)        # copies are interchangeable
 
 
-def test_ranks_are_complete(rows, monkeypatch):
-    monkeypatch.setattr(splits, "GROUP_ROWS", 100)
+@pytest.mark.parametrize("split", [
+    lambda d: splits.stratified_kfold(d, 5, "label", key=["k"]), lambda d: splits.holdout(d, key=["k"], exact=True)])
+def test_repeated_keys_stay_together(spark, split):
+    df = spark.range(3000).select((F.col("id") % 50).alias("k"), "id", (F.col("id") % 3).alias("label"))
+    side = "fold" if "fold" in split(df).columns else "is_test"
+    assert split(df).select("k", side).distinct().count() == 50
+    assert _set(split(df.coalesce(1))) == _set(split(df.repartition(4))) == _set(split(df.repartition(7, "label")))
+
+
+def test_ranks_are_complete(rows):
     ranked = splits.hash_rank(rows, ["label"], "s", ["id"])
     got = ranked.groupBy("label").agg(F.countDistinct("_rank").alias("d"), F.max("_rank").alias("m"), F.count("*").alias("n"))
     assert all(r.d == r.n == r.m + 1 for r in got.collect())
 
 
 def test_fold_bounds(rows):
-    for k in (1, 11):
-        with pytest.raises(ValueError):
-            splits.kfold(rows, k)
+    with pytest.raises(ValueError):
+        splits.kfold(rows, 1)
+    assert splits.kfold(rows, 20).select("fold").distinct().count() == 20
