@@ -166,6 +166,18 @@ def box_stats(spark, folder):
     return rounded(profile.box_stats(events(spark, folder), "value"), 6, "q1", "median", "q3")
 
 
+@query("box_stats_by_user", """
+WITH q AS (SELECT user_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+           FROM events GROUP BY user_id)
+SELECT user_id, count(*) AS n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+  count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM events JOIN q USING (user_id) GROUP BY user_id, q1, median, q3""")
+def box_stats_by_user(spark, folder):
+    """Far more than a hundred groups."""
+    return rounded(profile.box_stats(table(spark, folder, "events"), "value", "user_id"), 6, "q1", "median", "q3")
+
+
 @query("box_stats_by", _box_sql("event_type"))
 def box_stats_by(spark, folder):
     return rounded(profile.box_stats(events(spark, folder), "value", "event_type"), 6, "q1", "median", "q3")
@@ -189,13 +201,12 @@ def scatter_grid(spark, folder):
 
 
 @query("input_domains", f"""
-SELECT 'lang' AS feature, 'choice' AS kind, array_to_string(list_sort(list(DISTINCT lang)), ',') AS choices, NULL::DOUBLE AS "default" FROM {DOCS}
-UNION ALL SELECT 'quality', 'choice', array_to_string(list_sort(list(DISTINCT quality)), ','), NULL FROM {DOCS} WHERE quality IS NOT NULL
+SELECT DISTINCT 'lang' AS feature, 'choice' AS kind, lang AS choice, NULL::DOUBLE AS "default" FROM {DOCS} WHERE lang IS NOT NULL
+UNION ALL SELECT DISTINCT 'quality', 'choice', quality::VARCHAR, NULL FROM {DOCS} WHERE quality IS NOT NULL
 UNION ALL SELECT 'n_chars', 'number', NULL, trunc(quantile_cont(n_chars::DOUBLE, 0.5)) FROM {DOCS}
-UNION ALL SELECT 'source', 'choice', NULL, NULL""")
+UNION ALL SELECT DISTINCT 'source', 'choice', source, NULL FROM {DOCS} WHERE source IS NOT NULL""")
 def input_domains(spark, folder):
-    found = profile.input_domains(docs(spark, folder), ["lang", "quality", "n_chars", "source"])
-    return found.withColumn("choices", F.array_join("choices", ","))
+    return profile.input_domains(docs(spark, folder), ["lang", "quality", "n_chars", "source"])
 
 
 @query("value_counts", """

@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabspark.functions.columns import (agg_row, chunks, classify_columns, col, half_even, number, numeric_columns,
                                         percent, present, stack_rows)
 from tabspark.functions.hashing import bucket
-from tabspark.operators.counting import distinct_at_most, domains
+from tabspark.operators.counting import distinct_at_most, value_counts_long
 from tabspark.operators.gram import PAIR_LIMIT, pair_sums
 from tabspark.operators.quantiles import quantiles
 
@@ -109,6 +109,9 @@ def outlier_counts(df: DataFrame, k: float = IQR_K) -> DataFrame:
 def describe(df: DataFrame) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max per numeric column, to 2 digits."""
     numeric = numeric_columns(df)
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double, min double, q25 double, "
+                                                   "median double, q75 double, max double")
     quartiles = quantiles(df, numeric, (0.25, 0.5, 0.75))
     frames = []
     for part in chunks(numeric, 50):
@@ -138,6 +141,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     products block by block inside the tasks.
     """
     cols = list(cols or numeric_columns(df))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
     if len(cols) > PAIR_LIMIT:
         sums = pair_sums(df, cols)
         n = F.col("n")
@@ -162,58 +167,72 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
-    """([by], bin, bin_low, bin_high, n): equal-width bins; the last bin is closed."""
+    """([by], bin, bin_low, bin_high, n): equal-width bins of the finite values; the last is closed.
+
+    Infinite values are counted beside them, in bins -1 and ``bins``.
+    """
     value = number(df, column)
-    limits = agg_row(df, {"lo": F.min(value), "hi": F.max(value)})
+    finite = F.when(F.abs(value) < float("inf"), value)
+    limits = agg_row(df, {"lo": F.min(finite), "hi": F.max(finite)})
     lo, hi = limits["lo"], limits["hi"]
     groups = [] if by is None else [present(df, by).alias(by)]
     if lo is None:
         return (df.select(*groups, F.lit(0).cast("bigint").alias("bin"), value.alias("bin_low"),
                           value.alias("bin_high"), F.lit(0).cast("bigint").alias("n")).filter("false"))
     width = (hi - lo) / bins or 1.0
-    slot = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1).cast("bigint"))
+    inside = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1).cast("bigint"))
+    slot = F.when(F.col("_v") == float("inf"), F.lit(bins).cast("bigint")).when(
+        F.col("_v") == float("-inf"), F.lit(-1).cast("bigint")).otherwise(inside)
     counted = (df.select(*groups, value.alias("_v")).filter("_v is not null")
                .groupBy(*([by] if by else []), slot.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    low, high = F.lit(lo) + F.col("bin") * F.lit(width), F.lit(lo) + (F.col("bin") + 1) * F.lit(width)
     return counted.select(*([by] if by else []), "bin",
-                          (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_low"),
-                          (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"), "n")
+                          F.when(F.col("bin") < 0, F.lit(float("-inf"))).otherwise(low).alias("bin_low"),
+                          F.when(F.col("bin") >= bins, F.lit(float("inf"))).otherwise(high).alias("bin_high"), "n")
 
 
-GROUP_LIMIT = 100      # box plots are drawn per colour; beyond this many groups we refuse
+BOX_SLICES = 256       # slices of a group's values, cut at estimated quantiles
 
 
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """([by], q1, median, q3, whiskers, outliers): the numbers behind a box plot.
 
-    Each group is its own column of the quantile job (value where the row is in the group),
-    so a group holding a third of the table is spread like any other data.
+    Any number of groups of any size: equal values of a group collapse before the shuffle, and the rest
+    is ranked in two steps, over slices of the value range and inside each slice.
     """
     value = number(df, column)
-    groups: list = [None]
-    if by is not None:
-        found = domains(df, [by], GROUP_LIMIT)[by]
-        if found is None:
-            raise ValueError(f"'{by}' has more than {GROUP_LIMIT} values; bin it first")
-        groups = found
-    if not groups:
-        raise ValueError(f"'{by}' has no values")
-    parts = [value if by is None else F.when(col(by) == F.lit(g), value) for g in groups]
-    split = df.select([p.alias(f"g{i}") for i, p in enumerate(parts)])
-    q = quantiles(split, split.columns, (0.25, 0.5, 0.75))
-    aggs, rows = [], []
-    for i, g in enumerate(groups):
-        v = F.col(f"g{i}")
-        q1, q2, q3 = q[f"g{i}"]
-        if q1 is None:
-            continue
-        lo, hi = q1 - IQR_K * (q3 - q1), q3 + IQR_K * (q3 - q1)
-        aggs += [F.min(F.when(v >= lo, v)).alias(f"l{i}"), F.max(F.when(v <= hi, v)).alias(f"h{i}"),
-                 F.count(F.when((v < lo) | (v > hi), F.lit(1))).alias(f"o{i}"), F.count(v).alias(f"n{i}")]
-        rows.append(([] if by is None else [F.lit(g).alias(by)]) + [
-            F.col(f"n{i}").alias("n"), F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
-            F.col(f"l{i}").alias("whisker_low"), F.col(f"h{i}").alias("whisker_high"),
-            F.col(f"o{i}").alias("outliers")])
-    return stack_rows(split.agg(*aggs), rows)
+    keep = [] if by is None else ["_g"]
+    rows = df.select(*([] if by is None else [present(df, by).alias("_g")]), value.alias("_v")).filter("_v is not null")
+    rows = rows if by is None else rows.filter("_g is not null")
+    counted = rows.groupBy(*keep, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # slices follow the values; where they are cut decides how even the work is, never the result
+    edges = rows.approxQuantile("_v", [i / BOX_SLICES for i in range(1, BOX_SLICES)], 0.01)
+    cut = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    counted = counted.withColumn("_s", F.size(F.filter(cut, lambda e: e < F.col("_v"))))
+    sizes = counted.groupBy(*keep, "_s").agg(F.sum("_n").alias("_m"))
+    ahead = Window.partitionBy(*keep).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keep, "_s", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_a"),
+                          F.sum("_m").over(Window.partitionBy(*keep)).alias("_t"))
+    within = Window.partitionBy(*keep, "_s").orderBy("_v")
+    ranked = counted.withColumn("_b", F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = ranked.join(starts, [*keep, "_s"]).withColumn("_first", F.col("_a") + F.coalesce("_b", F.lit(0)))
+    # the value of rank r is the one whose copies span it; a quartile lies between two ranks
+    place = {name: (F.col("_t") - 1) * p for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    at = lambda r: F.max(F.when((F.col("_first") <= r) & (r < F.col("_first") + F.col("_n")), F.col("_v")))
+    q = ranked.groupBy(*keep).agg(
+        F.max("_t").alias("n"), *[at(F.floor(r)).alias(f"{n}_low") for n, r in place.items()],
+        *[at(F.ceil(r)).alias(f"{n}_high") for n, r in place.items()])
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        part = (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+        q = q.withColumn(name, F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part)
+    q = q.select(*keep, "n", "q1", "median", "q3").withColumns({
+        "_lo": F.col("q1") - IQR_K * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + IQR_K * (F.col("q3") - F.col("q1"))})
+    met = counted.join(q, keep) if keep else counted.withColumn("_1", F.lit(1)).join(q.withColumn("_1", F.lit(1)), "_1")
+    low, high = F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")
+    box = met.groupBy(*keep, "n", "q1", "median", "q3").agg(
+        F.min(F.when(low, F.col("_v"))).alias("whisker_low"), F.max(F.when(high, F.col("_v"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~low | ~high, F.col("_n"))), F.lit(0)).alias("outliers"))
+    return box if by is None else box.withColumnRenamed("_g", by)
 
 
 def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = 5000,
@@ -242,32 +261,31 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
 
 
 def input_domains(df: DataFrame, features: Sequence[str], limit: int = 15) -> DataFrame:
-    """(feature, kind, choices, default): what a scoring form offers per feature.
+    """(feature, kind, choice, default): what a scoring form offers per feature.
 
-    Categorical features and those with at most ``limit`` distinct values list their sorted
-    values; other numeric features give their median (whole for integer columns). A
-    categorical feature with more than ``limit`` values is listed by ``value_counts``
-    instead of being gathered here, so its choices are NULL.
+    A categorical feature has a row for each of its values, however many; so has a numeric one with
+    at most ``limit`` distinct values. Other numeric features have one row with their median
+    (whole for integer columns). The values stay in the table's tasks.
     """
     kinds = classify_columns(df.select([col(c) for c in features]).schema)
-    sets = domains(df, [*kinds.numeric, *kinds.categorical], limit)
-    free = [c for c in kinds.numeric if sets[c] is None]
+    few = distinct_at_most(df, list(kinds.numeric), limit)
+    free = [c for c in kinds.numeric if few[c] is None]
     medians = quantiles(df, free, (0.5,))
     rows = []
-    for c in features:
-        if c in kinds.ignored:
-            continue
-        if sets.get(c) is not None:
-            texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in sets[c]]
-            rows.append((c, "choice", texts, None))
-        elif c in free:
-            middle = medians[c][0]
-            whole = isinstance(df.schema[c].dataType, T.IntegralType) and middle is not None
-            rows.append((c, "number", None, float(int(middle)) if whole else middle))
-        else:
-            rows.append((c, "choice", None, None))
-    return df.sparkSession.createDataFrame(
-        rows, "feature string, kind string, choices array<string>, default double")
+    for c in free:
+        middle = medians[c][0]
+        whole = isinstance(df.schema[c].dataType, T.IntegralType) and middle is not None
+        rows.append((c, "number", None, float(int(middle)) if whole else middle))
+    table = df.sparkSession.createDataFrame(rows, "feature string, kind string, choice string, default double")
+    listed = [c for c in features if c in kinds.categorical or c in few and few[c] is not None]
+    if not listed:
+        return table
+    counted, fields = value_counts_long(df, listed)
+    text = F.coalesce(*[F.col(f).cast("string") for f in dict.fromkeys(fields)])
+    names = F.array(*[F.lit(c) for c in listed])
+    choices = counted.select(F.element_at(names, F.col("c") + 1).alias("feature"), F.lit("choice").alias("kind"), text.alias("choice"),
+                             F.lit(None).cast("double").alias("default"))
+    return table.unionByName(choices)
 
 
 def detect_task(df: DataFrame, target: str) -> str:

@@ -124,10 +124,41 @@ def test_histogram_puts_maximum_in_last_bin(spark):
 def test_input_domains(spark):
     df = spark.range(40).select((F.col("id") % 3).alias("few"), F.col("id").alias("many"), (F.col("id") / 8).alias("real"),
                                 (F.col("id") % 2 == 0).alias("flag"), F.concat(F.lit("u"), "id").alias("names"))
-    got = {r.feature: r for r in ts.input_domains(df, df.columns).collect()}
-    assert got["few"].choices == ["0", "1", "2"] and got["flag"].choices == ["false", "true"]
+    rows = ts.input_domains(df, df.columns).collect()
+    got = {r.feature: r for r in rows}
+    listed = lambda name: sorted(r.choice for r in rows if r.feature == name)
+    assert listed("few") == ["0", "1", "2"] and listed("flag") == ["false", "true"]
     assert got["many"].default == 19.0 and got["real"].default == 2.4375
-    assert got["names"].kind == "choice" and got["names"].choices is None
+    assert got["names"].kind == "choice" and listed("names") == sorted(f"u{i}" for i in range(40))
+
+
+def test_box_stats_of_many_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 250).alias("g"), (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    got = {r.g: r for r in ts.box_stats(df, "v", "g").collect()}
+    assert len(got) == 250
+    for g in (0, 17, 249):
+        want = np.quantile([i * 7919 % 1009 for i in range(g, 3000, 250)], [0.25, 0.5, 0.75])
+        assert [got[g].q1, got[g].median, got[g].q3] == pytest.approx(list(want))
+
+
+def test_infinities_are_counted_beside_the_bins(spark):
+    df = spark.createDataFrame([(float(v),) for v in (*range(11), math.inf, math.inf, -math.inf)], "v double")
+    assert {r.bin: r.n for r in ts.histogram(df, "v", 5).collect()} == {-1: 1, 0: 2, 1: 2, 2: 2, 3: 2, 4: 3, 5: 2}
+
+
+def test_tables_without_numbers(spark):
+    words = spark.createDataFrame([("a",)], "w string")
+    assert ts.describe(words).count() == 0 and ts.corr_matrix(words).count() == 0
+
+
+def test_formulas_over_odd_names_and_values(spark):
+    df = spark.createDataFrame([(2, 3, math.nan)], "`my col` int, b int, n double")
+    value = lambda f: df.select(formula_column(df, f).alias("r")).first()["r"]
+    assert value("`my col` + b * 2") == 8 and value("+b ** `my col`") == 9 and value("n / 0") is None
+    assert value("3 ** 39") == 3 ** 39 and value("(-1) ** 1001") == -1
+    for bad in ("b ** -1", "9 ** 30"):
+        with pytest.raises(Exception):
+            value(bad)
 
 
 def test_classify_columns(spark):
