@@ -17,6 +17,7 @@ WEAK_ACCURACY = 0.6
 LOSS_GAP = 0.3
 HIGH_LOSS = 0.5
 TIE = 0.005
+ERRORS = ("mae", "rmse")
 
 
 def _counted(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -52,12 +53,13 @@ def confusion(pred: DataFrame, labels: Sequence, actual: str = "label", predicte
               normalize: bool = False) -> DataFrame:
     """(actual, predicted, n[, pct]) for every pair of ``labels``, zeros included.
 
-    ``labels`` are the classes of the whole target, a short list. With ``normalize``, pct is
+    ``labels`` are the classes of the whole target. With ``normalize``, pct is
     the share of the actual class, to one digit; an empty class gives 0.
     """
     kind = pred.schema[actual].dataType.simpleString()
     spark = pred.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], f"actual {kind}, predicted {kind}")
+    rows = spark.createDataFrame([(a,) for a in labels], f"actual {kind}")
+    grid = rows.withColumn("predicted", F.explode(F.array(*[F.lit(b).cast(kind) for b in labels])))
     n = _counted(pred, actual, predicted)
     n = n.select(F.col("actual").cast(kind), F.col("predicted").cast(kind), "n")
     table = grid.join(n, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
@@ -93,23 +95,6 @@ def diagnose_learning_curve(curve: DataFrame, by: Sequence[str] = ()) -> DataFra
     return last.select(*by, gap.alias("gap"), val.alias("val"), verdict.alias("verdict"))
 
 
-# Advice that goes with a verdict, per model.
-ADVICE = {
-    ("overfit", "random_forest"): "lower max_depth or raise min_samples_leaf",
-    ("overfit", "gradient_boosting"): "lower max_depth, learning_rate or subsample",
-    ("overfit", "linear"): "lower C, or raise alpha for regression",
-    ("overfit", "ensemble"): "add rows or drop weak features",
-    ("underfit", "random_forest"): "raise max_depth or n_estimators",
-    ("underfit", "gradient_boosting"): "raise n_estimators or learning_rate",
-    ("underfit", "linear"): "raise C, or lower alpha for regression; derive features",
-    ("underfit", "ensemble"): "derive features",
-}
-
-
-def advice(verdict: str, model: str) -> str:
-    return ADVICE.get((verdict, model), "")
-
-
 def diagnose_loss(history: DataFrame, max_epochs: int, by: Sequence[str] = ()) -> DataFrame:
     """([by], epochs, gap, verdict) from the last epoch of a loss history, first match wins."""
     last = history.groupBy(*by).agg(
@@ -137,11 +122,12 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(metric, a, b, delta, winner) over the metrics both runs have.
 
     ``a`` and ``b`` are (metric, value) tables. Differences under 0.005 are a tie, else the
-    larger value wins.
+    better value wins: the smaller of an error, the larger of anything else.
     """
     both = (a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric")
             .withColumn("delta", F.col("a") - F.col("b")))
-    winner = F.when(F.abs("delta") < TIE, "tie").when(F.col("delta") > 0, "a").otherwise("b")
+    better = F.when(F.col("metric").isin(*ERRORS), -F.col("delta")).otherwise(F.col("delta"))
+    winner = F.when(F.abs("delta") < TIE, "tie").when(better > 0, "a").otherwise("b")
     return both.withColumn("winner", winner)
 
 
