@@ -23,8 +23,8 @@ LITERAL_VALUES = 64         # categories kept as a CASE over literals
 LISTED_VALUES = 1_000       # categories kept in the model itself
 BROADCAST_VALUES = 200_000  # dictionary rows up to which it is broadcast ...
 BROADCAST_CHARS = 20_000_000    # ... if its text is not longer than this
-HOT_SHARE = 0.001           # values above this share of the rows are looked up by broadcast
 UNSEEN = -1.0
+GAP = "\x00gap"            # stands for a missing value in a shuffle; no dictionary has it
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def learn_codes(df: DataFrame, cols: Sequence[str]) -> tuple[list[dict], dict[st
     """Per column its dictionary, and its mode, both from one count of the values.
 
     Small dictionaries become lists. A larger one is written to the shared folder as a table
-    (value, code, hot) whose codes are numbered by the tasks themselves.
+    (value, code) whose codes are numbered by the tasks themselves.
     """
     if not cols:
         return [], {}
@@ -109,14 +109,14 @@ def learn_codes(df: DataFrame, cols: Sequence[str]) -> tuple[list[dict], dict[st
             book = {"name": c, "size": known["k"] if known else 0, "values": values.get(i, [])}
             if known and i not in values:
                 one = counted.filter(F.col("c") == i).select("value", "n")
-                book.update(values=None, chars=known["chars"], table=_write_codes(one, known["n"]))
+                book.update(values=None, chars=known["chars"], table=_write_codes(one))
             books.append(book)
         return books, best
     finally:
         counted.unpersist()
 
 
-def _write_codes(counted: DataFrame, rows: int) -> str:
+def _write_codes(counted: DataFrame) -> str:
     spark = counted.sparkSession
     shared_dir(spark)
     ordered = counted.repartitionByRange("value").sortWithinPartitions("value").checkpoint()
@@ -130,8 +130,7 @@ def _write_codes(counted: DataFrame, rows: int) -> str:
     offsets = spark.createDataFrame(starts, "pid int, start long")
     path = scratch_path(spark, "codes")
     (placed.join(F.broadcast(offsets), "pid")
-     .select("value", (F.col("start") + F.col("pos")).cast("double").alias("code"),
-             (F.col("n") > F.lit(HOT_SHARE * rows)).alias("hot"))
+     .select("value", (F.col("start") + F.col("pos")).cast("double").alias("code"))
      .write.parquet(path))
     return path
 
@@ -166,15 +165,12 @@ def _lookup(df: DataFrame, book: dict, fill: str | None) -> DataFrame:
     else:
         table = spark.read.parquet(book["table"]).withColumnsRenamed({"value": "_text", "code": "_code"})
         if book["size"] <= BROADCAST_VALUES and book["chars"] <= BROADCAST_CHARS:
-            keyed = keyed.join(F.broadcast(table.drop("hot")), "_text", "left")
+            keyed = keyed.join(F.broadcast(table), "_text", "left")
         else:
-            # at most 1 / HOT_SHARE values are hot: they are found by broadcast, and only rows
-            # without one are shuffled, so no shuffle key is frequent
-            hot = table.filter("hot").select("_text", "_code")
-            marked = keyed.join(F.broadcast(hot), "_text", "left")
-            found = marked.filter(F.col("_code").isNotNull() | F.col("_text").isNull())
-            rest = marked.filter(F.col("_code").isNull() & F.col("_text").isNotNull()).drop("_code")
-            keyed = found.unionByName(rest.join(table.filter("not hot").drop("hot"), "_text", "left"))
+            # one join and one scan. A value that is frequent in these rows, known or not, is one entry of the
+            # dictionary, so a large partition of rows can be split (adaptive skew join); gaps are dealt out by row
+            gap = F.concat(F.lit(GAP), F.pmod(F.xxhash64(*[F.xxhash64(col(n)) for n in df.columns]), F.lit(1000)).cast("string"))
+            keyed = keyed.withColumn("_text", F.coalesce("_text", gap)).join(table, "_text", "left")
     coded = F.coalesce(F.col("_code"), F.lit(UNSEEN))
     return keyed.select([coded.alias(n) if n == c else col(n) for n in df.columns])
 
@@ -261,11 +257,10 @@ class LabelCodec:
     dtype: str
 
     @classmethod
-    def fit(cls, df: DataFrame, target: str, limit: int = 1_000) -> "LabelCodec":
+    def fit(cls, df: DataFrame, target: str) -> "LabelCodec":
+        """All classes of the target, which the model has to hold in any case."""
         counted, fields = value_counts_long(df, [target])
-        rows = counted.select(fields[0]).orderBy(fields[0]).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"'{target}' has more than {limit} classes")
+        rows = counted.select(fields[0]).orderBy(fields[0]).collect()
         return cls(tuple(r[0] for r in rows), df.schema[target].dataType.simpleString())
 
     def encode(self, value: Column) -> Column:
