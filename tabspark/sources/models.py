@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
@@ -61,7 +62,13 @@ def _load_core(about: dict, path: str):
 
 
 def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
-    """Everything under one folder: prep, model, dictionaries and a one-row metadata table."""
+    """Everything under one folder: prep, model, dictionaries and a one-row metadata table.
+
+    Each save writes a folder of its own and switches the metadata last, so a model can be saved over
+    the path it was loaded from, and a broken save leaves the old model as it is.
+    """
+    root, version = path, uuid.uuid4().hex
+    path = f"{root}/{version}"
     learned = fitted.prep.learned
     for book in learned["categorical"]:
         if book.get("table"):                    # a large dictionary is copied along
@@ -70,15 +77,16 @@ def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
     prep = TablePrepModel(state=json.dumps(learned))
     prep.write().overwrite().save(f"{path}/prep")
     about = {"name": fitted.name, "task": fitted.task, "spec": asdict(fitted.spec), "params": fitted.params,
-             "classes": list(fitted.codec.classes) if fitted.codec else None,
+             "version": version, "classes": list(fitted.codec.classes) if fitted.codec else None,
              "label_type": fitted.codec.dtype if fitted.codec else None, "core": _save_core(fitted.core, f"{path}/model")}
     row = [(fitted.task, list(fitted.spec.features), json.dumps(about["classes"]), json.dumps(about))]
     (spark.createDataFrame(row, "task string, features array<string>, class_labels string, about string")
-     .coalesce(1).write.mode("overwrite").json(f"{path}/metadata"))
+     .coalesce(1).write.mode("overwrite").json(f"{root}/metadata"))
 
 
 def load_model(spark: SparkSession, path: str) -> Fitted:
     about = json.loads(spark.read.json(f"{path}/metadata").first()["about"])
+    path = f"{path}/{about['version']}"
     spec = FeatureSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in about["spec"].items()})
     codec = LabelCodec(tuple(about["classes"]), about["label_type"]) if about["classes"] is not None else None
     return Fitted(about["name"], about["task"], spec, TablePrepModel.load(f"{path}/prep"),

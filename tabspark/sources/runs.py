@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RUNS = ("run_id string, started_at string, model string, task string, target string, cv int, n_trials int, "
@@ -32,11 +33,20 @@ class Runs:
         self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
         return run_id
 
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A history table; one that no run has been written to yet is empty."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUNS).parquet(f"{self.path}/runs")
+        return self._read("runs", RUNS)
 
     def metrics(self) -> DataFrame:
-        return self.spark.read.schema(METRICS).parquet(f"{self.path}/run_metrics")
+        return self._read("run_metrics", METRICS)
 
     def wide(self) -> DataFrame:
         """One row per run with a column per metric of any run, in time order."""
