@@ -116,7 +116,7 @@ UNION ALL SELECT o_orderkey, 1, feature, round(contribution, 5), round(base_valu
 UNION ALL SELECT o_orderkey, 2, '(other)', round(contribution, 5), round(t, 5) FROM ranked JOIN total USING (o_orderkey) WHERE r = 2
 UNION ALL SELECT o_orderkey, 3, '(total)', round(t, 5), round(t, 5) FROM total""")
 def waterfall(spark, folder):
-    return rounded(T.waterfall(_contributions(spark, folder), "o_orderkey", 1), 5)
+    return rounded(T.waterfall(_fit(spark, folder), signal(spark, folder), "o_orderkey", 1), 5)
 
 
 _TRAIN, _TEST = f"(SELECT * FROM {_XY} WHERE {_BUCKET} >= 2000)", f"(SELECT * FROM {_XY} WHERE {_BUCKET} < 2000)"

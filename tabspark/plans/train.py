@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabspark.functions.columns import col, half_even
 from tabspark.operators import metrics, models, trees
@@ -173,14 +173,8 @@ def feature_importance(fitted: Fitted, k: int = TOP_FEATURES, class_index: int |
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def explain(fitted: Fitted, df: DataFrame, row_id: str, member: str | None = None) -> DataFrame:
-    """Long (row_id, feature, contribution, base_value) for every row of a table.
-
-    Contributions and base sum to the output: the prediction for regression, the last
-    class's probability for forests, its margin for boosting and logistic regression. A
-    voting ensemble is explained by the mean of its members' contributions, or by those of
-    one ``member``.
-    """
+def _contributions(fitted: Fitted, df: DataFrame, row_id: str, member: str | None) -> tuple[DataFrame, float]:
+    """(row_id, phi): each row's contributions as one array, and the base they start from."""
     prepared = fitted.prepared(df, [row_id]).withColumnRenamed(f"_keep_{row_id}", "_row")
     leaves, weights, means, base = _additive(df.sparkSession, fitted.core.members[member] if member else fitted.core,
                                              fitted.classes)
@@ -194,10 +188,22 @@ def explain(fitted: Fitted, df: DataFrame, row_id: str, member: str | None = Non
                           for w, m in zip(weights, means)])
         parts.append(F.zip_with("x", pairs, lambda x, c: c["w"] * (x - c["m"])))
     phi = parts[0] if len(parts) == 1 else F.zip_with(*parts, lambda a, b: a + b)
+    return rows.select(F.col("row_id").alias(row_id), phi.alias("_phi")), float(base)
+
+
+def explain(fitted: Fitted, df: DataFrame, row_id: str, member: str | None = None) -> DataFrame:
+    """Long (row_id, feature, contribution, base_value) for every row of a table.
+
+    Contributions and base sum to the output: the prediction for regression, the last
+    class's probability for forests, its margin for boosting and logistic regression. A
+    voting ensemble is explained by the mean of its members' contributions, or by those of
+    one ``member``.
+    """
+    rows, base = _contributions(fitted, df, row_id, member)
     names = F.array(*[F.lit(n) for n in fitted.spec.vector_names])
-    return (rows.select(F.col("row_id").alias(row_id), F.posexplode(phi).alias("_i", "contribution"))
+    return (rows.select(col(row_id), F.posexplode("_phi").alias("_i", "contribution"))
             .select(col(row_id), F.element_at(names, F.col("_i") + 1).alias("feature"), "contribution",
-                    F.lit(float(base)).alias("base_value")))
+                    F.lit(base).alias("base_value")))
 
 
 def _additive(spark: SparkSession, core, classes: int | None,
@@ -224,28 +230,28 @@ def _additive(spark: SparkSession, core, classes: int | None,
     return [], factor * weights, means, factor * (intercept + float(weights @ means))
 
 
-def waterfall(contributions: DataFrame, row_id: str, n: int = TOP_CONTRIBUTIONS) -> DataFrame:
+def waterfall(fitted: Fitted, df: DataFrame, row_id: str, n: int = TOP_CONTRIBUTIONS, member: str | None = None) -> DataFrame:
     """(row_id, pos, feature, contribution, total): base, top n by size, the rest as one
-    '(other)' row, so that the running total ends at the model's output."""
-    by_size = Window.partitionBy(col(row_id)).orderBy(F.desc(F.abs("contribution")), "feature")
-    ranked = contributions.withColumn("pos", F.row_number().over(by_size))      # one row per feature
-    ranked = ranked.select(col(row_id), "base_value", F.least("pos", F.lit(n + 1)).alias("pos"),
-                           F.when(F.col("pos") <= n, F.col("feature")).otherwise("(other)").alias("feature"),
-                           "contribution")
-    steps = ranked.groupBy(col(row_id), "pos", "feature").agg(
-        F.sum("contribution").alias("contribution"), F.first("base_value").alias("base_value"))
-    upto = Window.partitionBy(col(row_id)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy(col(row_id)).orderBy(F.desc("pos"))
-    running = steps.withColumn("total", F.col("base_value") + F.sum("contribution").over(upto)).withColumn(
-        "_last", F.row_number().over(last) == 1)
-    step = F.struct(F.col("pos").alias("pos"), F.col("feature").alias("feature"),
-                    F.col("contribution").alias("contribution"), F.col("total").alias("total"))
-    base = F.when(F.col("pos") == 1, F.struct(F.lit(0).alias("pos"), F.lit("(base)").alias("feature"),
-                                              F.col("base_value").alias("contribution"),
-                                              F.col("base_value").alias("total")))
-    end = F.when(F.col("_last"), F.struct(F.lit(n + 2).alias("pos"), F.lit("(total)").alias("feature"),
-                                          F.col("total").alias("contribution"), F.col("total").alias("total")))
-    return running.select(col(row_id), F.inline(F.array_compact(F.array(base, step, end))))
+    '(other)' row, so that the running total ends at the model's output.
+
+    All is done inside the row, so rows with equal ids stay apart and nothing is shuffled.
+    """
+    rows, base = _contributions(fitted, df, row_id, member)
+    names = F.array(*[F.lit(x) for x in fitted.spec.vector_names])
+    named = F.zip_with("_phi", names, lambda v, x: F.struct((-F.abs(v)).alias("size"), x.alias("feature"), v.alias("contribution")))
+    ordered = F.transform(F.array_sort(named), lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
+    rows = rows.withColumn("_o", ordered)
+    other = F.aggregate(F.slice("_o", n + 1, F.greatest(F.size("_o") - n, F.lit(0))), F.lit(0.0), lambda a, x: a + x["contribution"])
+    steps = F.concat(F.slice("_o", 1, n), F.when(F.size("_o") > n, F.array(F.struct(
+        F.lit("(other)").alias("feature"), other.alias("contribution")))).otherwise(F.slice("_o", 1, 0)))
+    rows = rows.withColumn("_s", steps)
+    upto = lambda k: F.aggregate(F.slice("_s", 1, k), F.lit(base), lambda a, x: a + x["contribution"])
+    step = F.transform("_s", lambda x, i: F.struct((i + 1).alias("pos"), x["feature"].alias("feature"),
+                                                   x["contribution"].alias("contribution"), upto(i + 1).alias("total")))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("(base)").alias("feature"), F.lit(base).alias("contribution"), F.lit(base).alias("total"))
+    whole = upto(F.size("_s"))
+    end = F.struct(F.lit(n + 2).alias("pos"), F.lit("(total)").alias("feature"), whole.alias("contribution"), whole.alias("total"))
+    return rows.select(col(row_id), F.inline(F.concat(F.array(start), step, F.array(end))))
 
 
 def global_contributions(contributions: DataFrame) -> DataFrame:
