@@ -19,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabspark.functions.columns import col
 from tabspark.operators.gram import moments
 from tabspark.session import shared_dir
 
@@ -50,25 +51,21 @@ def concurrently(calls: list, at_once: int = PARALLEL_FITS) -> list:
         return [f.result() for f in [pool.submit(bound(c)) for c in calls]]
 
 
-SPREAD_ROWS = 20_000
+FIT_SHARDS = 32             # default of the session setting tabspark.fit.shards
 
 
 @contextmanager
 def ready(data: DataFrame):
-    """The rows persisted for passes to come, on enough partitions to keep the cores busy.
+    """The rows persisted for passes to come, dealt by their hash to a fixed number of shards.
 
-    A table that arrives in a few partitions (one unsplittable file, or a small shuffle that
-    was coalesced) is spread once; large inputs have plenty and are left as they are.
+    Bags and samples are drawn shard by shard, so a fit is the same whatever the machine, its cores or
+    the partitions the rows arrive in. The number is the session setting ``tabspark.fit.shards``.
     """
-    rows = data.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count()
-    n, used = parts.agg(F.sum("count"), F.count(F.lit(1))).first()
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    if (n or 0) >= SPREAD_ROWS and used < cores:
-        spread = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        spread.count()
-        rows.unpersist()
-        rows = spread
+    shards = int(data.sparkSession.conf.get("tabspark.fit.shards", str(FIT_SHARDS)))
+    cells = [col(f.name) for f in data.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = data.repartition(shards, F.xxhash64(*cells)) if cells else data.repartition(shards)
+    dealt = dealt.sortWithinPartitions(F.xxhash64(*cells), F.hash(*cells)) if cells else dealt
+    rows = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows
     finally:

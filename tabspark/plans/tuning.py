@@ -33,7 +33,7 @@ SEARCH = {
 DEFAULT_TRIALS = 10
 CURVE_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
 CURVE_FOLDS = 3
-SMALL_ROWS = 1_000_000      # rows up to which several prepared parts are kept at a time
+PARTS_AT_ONCE = 2           # prepared parts kept at a time; each may be as large as the table
 
 
 def search_space(name: str, overrides: dict | None = None) -> dict:
@@ -72,9 +72,10 @@ class _Part:
 
     def __init__(self, train: DataFrame, val: DataFrame, target: str, spec: FeatureSpec, codec: LabelCodec | None):
         prep = build_prep(spec).fit(train)
-        self._open = ExitStack()
-        self.train, self.val = [self._open.enter_context(models.ready(labelled(prep, side, target, codec)))
-                                for side in (train, val)]
+        with ExitStack() as opened:
+            self.train, self.val = [opened.enter_context(models.ready(labelled(prep, side, target, codec)))
+                                    for side in (train, val)]
+            self._open = opened.pop_all()
 
     def close(self) -> None:
         self._open.close()
@@ -108,11 +109,6 @@ def with_folds(df: DataFrame, target: str, task: str, k: int, seed: int = 42,
     return splits.kfold(df, k, seed, key)
 
 
-def _at_once(df: DataFrame) -> int:
-    """How many prepared parts to keep at a time: each may be as large as the table."""
-    return models.PARALLEL_FITS if df.count() <= SMALL_ROWS else 1
-
-
 def _over_parts(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, cv: int | None, seed: int,
                 key: Sequence[str] | None, tune_on: str, calls: list[Callable]) -> list[list]:
     """Results of the calls on every prepared part: a list per part (fold, or the one split)."""
@@ -127,19 +123,31 @@ def _over_parts(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, cv:
         whole = splits.holdout(df, seed=seed, key=key)
         sides = [(whole.filter("not is_test"), whole.filter("is_test"))]
     out = []
-    for some in chunks(sides, _at_once(whole)):
-        parts = models.concurrently([lambda s=s: _Part(*s, target, spec, codec) for s in some])
-        try:
-            values = models.concurrently([lambda p=p, c=c: c(p) for p in parts for c in calls])
-        finally:
-            for p in parts:
-                p.close()
-        out += chunks(values, len(calls))
-    if cv:
-        whole.unpersist()
+    try:
+        for some in chunks(sides, PARTS_AT_ONCE):
+            with ExitStack() as opened:
+                def prepare(side):
+                    part = _Part(*side, target, spec, codec)
+                    opened.callback(part.close)
+                    return part
+
+                parts = models.concurrently([lambda s=s: prepare(s) for s in some])
+                out += chunks(models.concurrently([lambda p=p, c=c: c(p) for p in parts for c in calls]), len(calls))
+    finally:
+        if cv:
+            whole.unpersist()
     return out
 
 
+def part_means(scores: list[list]) -> list[float]:
+    """Mean of each column over the parts; a part without rows to score has no say, but some part must have."""
+    table = np.array(scores, dtype=float)
+    some = ~np.isnan(table).all(axis=1)
+    if not some.any():
+        raise ValueError("no part has rows to score")
+    return np.nanmean(table[some], axis=0).tolist()
+
+
 def tune(df: DataFrame, target: str, name: str, n_trials: int = DEFAULT_TRIALS, cv: int | None = None,
          space: dict | None = None, seed: int = 42, key: Sequence[str] | None = None, task: str | None = None,
          tune_on: str = "holdout", exclude: Sequence[str] = ()) -> TuneResult:
@@ -169,7 +177,7 @@ def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name:
         scores = _over_parts(df, spec, codec, cv, seed, key, tune_on, [
             lambda p, t=t: _score(models.fit_core(p.train, name, classes, t, seed), p.val, codec is not None)
             for t in trials])
-    values = np.mean(np.array(scores, dtype=float), axis=0).tolist()
+    values = part_means(scores)
     log = [{"trial": i, "params": t, "value": v} for i, (t, v) in enumerate(zip(trials, values), 1)]
     best = max(log, key=lambda e: e["value"])
     return TuneResult(best["params"], best["value"], log)
@@ -180,7 +188,9 @@ def _ridge_path(part: _Part, spec: FeatureSpec, alphas: list[float]) -> list[flo
     columns are all that fitting and scoring a linear model need."""
     names = [f"x{i}" for i in range(len(spec.vector_names))] + ["y"]
     n, means, cov = moments(models.feature_columns(part.train, len(names) - 1), names)
-    _, val_means, val_cov = moments(models.feature_columns(part.val, len(names) - 1), names)
+    val_n, val_means, val_cov = moments(models.feature_columns(part.val, len(names) - 1), names)
+    if not val_n:
+        return [float("nan")] * len(alphas)
     out = []
     for alpha in alphas:
         w, b = models.solve_ridge(n, means, cov, alpha)
@@ -238,7 +248,7 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
             part.close()
 
     try:
-        points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)], _at_once(folded))
+        points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)])
     finally:
         folded.unpersist()
     spark = df.sparkSession
