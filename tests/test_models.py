@@ -47,7 +47,7 @@ def test_confusion_is_square(clf_run):
 
 
 def test_features_and_trials(clf_run):
-    assert clf_run.fitted.spec.features == ("age", "income", "gender", "region")
+    assert clf_run.fitted.spec.features == ("minutes", "spend", "channel", "member")
     assert clf_run.fitted.task == "classification" and len(clf_run.trials) == 2
     assert clf_run.best_params["max_features"] == "sqrt"
 
@@ -183,19 +183,22 @@ def test_waterfall_and_global(reg_df):
     df = reg_df.withColumn("id", F.monotonically_increasing_id())
     fitted = ts.fit(df.drop("id"), "price", "linear", {"alpha": 1.0})
     contributions = ts.explain(fitted, df, "id")
-    falls = ts.waterfall(contributions, "id", 2)
+    falls = ts.waterfall(fitted, df, "id", 2)
+    assert "Exchange" not in falls._jdf.queryExecution().executedPlan().toString()
+    twins = ts.waterfall(fitted, df.withColumn("id", F.lit(1)), "id", 2)        # rows with equal ids stay apart
+    assert twins.filter("pos = 0").count() == 240
     one = falls.filter("id = 0").orderBy("pos").collect()
     assert [r.feature for r in one][0] == "(base)" and [r.feature for r in one][-2:] == ["(other)", "(total)"]
     assert abs(one[1].contribution) >= abs(one[2].contribution)
     assert one[-1].total == pytest.approx(fitted.predict(df, ["id"]).filter("id = 0").first().prediction)
-    full = ts.waterfall(contributions, "id")        # fewer features than rows shown: no '(other)'
-    assert full.filter("feature = '(other)'").count() == 0 and full.count() == 300 * 6
+    full = ts.waterfall(fitted, df, "id")        # fewer features than rows shown: no '(other)'
+    assert full.filter("feature = '(other)'").count() == 0 and full.count() == 240 * 6
     assert ts.global_contributions(contributions).count() == 4
 
 
 def test_importance(reg_df):
     top = ts.feature_importance(ts.fit(reg_df, "price", "random_forest", SMALL["random_forest"]), 2).collect()
-    assert len(top) == 2 and {r.feature for r in top} <= {"rooms", "area", "floor", "city"}
+    assert len(top) == 2 and {r.feature for r in top} <= {"beds", "surface", "storey", "quarter"}
 
 
 # identities
@@ -367,7 +370,7 @@ def test_save_ensemble_with_large_dictionary(spark, clf_df, tmp_path, small_ense
     loaded = ts.load_model(spark, str(tmp_path / "m"))
     assert all(b["table"] is None or b["table"].startswith(str(tmp_path)) for b in loaded.prep.learned["categorical"]
                if b.get("table"))
-    keep = ["age", "income"]
+    keep = ["minutes", "spend"]
     assert sorted(map(str, fitted.predict(clf_df, keep).collect())) == sorted(map(str, loaded.predict(clf_df, keep).collect()))
 
 
@@ -433,7 +436,7 @@ def test_verdicts(spark):
         return metrics.diagnose_learning_curve(df).first().verdict
 
     assert [curve(0.9, 0.7), curve(0.55, 0.5), curve(0.9, 0.86), curve(0.9, 0.8)] == ["overfit", "underfit", "good", "moderate"]
-    assert curve(0.55, 0.5, "r2") == "good" and metrics.advice("overfit", "random_forest")
+    assert curve(0.55, 0.5, "r2") == "good"
 
     def loss(train, val, epochs, most):
         df = spark.createDataFrame([(epochs, train, val)], "epoch int, train_loss double, val_loss double")
