@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabspark.llm.common import SLIM_ROWS, joined, spread, stored
 from tabspark.llm.components import components
-from tabspark.llm.texts import hashes, split_words
+from tabspark.llm.texts import PART_BYTES, hashes, parts, split_words
 
 WORDS = 5
 SHORT = 24
@@ -78,7 +78,7 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def least_shared(n: np.ndarray | int):
+def least_shared(n: int) -> int:
     """ceil(0.8 n): what a set of n shingles shares at least with one it is linked with."""
     return -(-4 * n // 5)
 
@@ -87,7 +87,7 @@ def _classes(docs: DataFrame, path_name: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest) of each row, and (digest, rep, n, k0...) of each class of equal sets."""
     def slim(batches):
         seeds = np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD
-        for batch in batches:
+        for batch in parts(batches):
             sets = shingles(batch.column("text"))
             keys = [[int(_mixed(s ^ seed).min().view(np.int64)) if len(s) else None for s in sets] for seed in seeds]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -121,7 +121,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
 
     def sets(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = shingles(batch.column("text"))
             stars = batch.column("stars")
             of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(stars.offsets)))
@@ -160,11 +160,11 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
     rows = rows.select(F.when(F.col("skip").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("owner"), "text").where("owner is not null")
 
     def post(batches):
-        for batch in batches:
-            sets = shingles(batch.column("text"))
-            size = np.array([len(s) for s in sets], np.int64)
-            lengths = np.where(size > 0, np.minimum(size - least_shared(size) + 1 + size // EXTRA, size), 0)
-            tokens = np.concatenate([s[:k] for s, k in zip(sets, lengths)]) if len(sets) else np.zeros(0, np.uint64)
+        for batch in parts(batches, size=4 * PART_BYTES):
+            heads = [s[:min(len(s) - least_shared(len(s)) + 1 + len(s) // EXTRA, len(s))].copy()
+                     for part in parts([batch]) for s in shingles(part.column("text"))]
+            lengths = [len(s) for s in heads]
+            tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             owner = np.repeat(batch.column("owner").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             order = np.lexsort((owner, tokens))
             tokens, owner = tokens[order], owner[order]
@@ -217,7 +217,7 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = joined(docs, members, ["doc_id"], "inner", SLIM_ROWS)
 
     def sets(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = shingles(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("owner"),
                                    pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "owner", "tokens"])
