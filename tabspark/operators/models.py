@@ -51,7 +51,7 @@ def concurrently(calls: list, at_once: int = PARALLEL_FITS) -> list:
         return [f.result() for f in [pool.submit(bound(c)) for c in calls]]
 
 
-FIT_SHARDS = 32             # default of the session setting tabspark.fit.shards
+FIT_SHARDS = 8              # default of the session setting tabspark.fit.shards
 
 
 @contextmanager
