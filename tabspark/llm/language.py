@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabspark.llm.common import modulo
+from tabspark.llm.common import joined, modulo, stored
 
 SLICES = 256
 #: Characters that each sampled document gives at most.
@@ -34,11 +34,11 @@ def samples(docs: DataFrame, lang: str = "lang", text: str = "text", key: str =
     The first pass reads no texts; the second fetches those chosen. What comes to the driver
     is ``slices`` pieces a language.
     """
-    keyed = docs.where(F.col(lang).isNotNull()).withColumn("__h", F.xxhash64(F.lit("language"), key))
-    chosen = keyed.groupBy(lang, F.pmod("__h", F.lit(slices)).alias("__s")).agg(F.min("__h").alias("__h")).select(F.col(lang).alias("__l"), "__h")
-    rows = keyed.join(chosen, (F.col(lang) == F.col("__l")) & (keyed["__h"] == chosen["__h"])).where(F.col(text).rlike(r"\p{L}"))
+    keyed = docs.select(F.col(lang).alias("l"), F.xxhash64(F.lit("language"), key).alias("h"), F.col(text).alias("text")).where("l is not null")
+    chosen = keyed.groupBy("l", F.pmod("h", F.lit(slices)).alias("slice")).agg(F.min("h").alias("h")).select("l", "h")
+    rows = joined(keyed, stored(chosen, "language"), ["l", "h"], "inner").where(F.col("text").rlike(r"\p{L}"))
     parts: dict[str, list[bytes]] = {}
-    for r in rows.groupBy(F.col(lang).alias("l"), keyed["__h"].alias("h")).agg(F.min(F.lower(F.substring(text, 1, PIECE))).alias("t")).orderBy("l", "h").collect():
+    for r in rows.groupBy("l", "h").agg(F.min(F.lower(F.substring("text", 1, PIECE))).alias("t")).orderBy("l", "h").collect():
         parts.setdefault(r["l"], []).append(r["t"].encode())
     return {name: b"\n".join(parts[name]) for name in sorted(parts)}
 
