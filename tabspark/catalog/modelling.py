@@ -337,6 +337,41 @@ def forest_reload(spark, folder):
     return before.join(after, "o_orderkey").select("o_orderkey", (F.col("prediction") == F.col("reloaded")).alias("same"))
 
 
+@query("forest_any_partitioning", "SELECT o_orderkey, true AS same FROM orders")
+def forest_any_partitioning(spark, folder):
+    """The same forest, whether the rows arrive in 1, 4 or 7 partitions."""
+    data = signal(spark, folder)
+    fits = [T.fit(d.drop("o_orderkey"), "y", "random_forest", _FOREST) for d in (data.coalesce(1), data.repartition(4), data.repartition(7))]
+    told = [f.predict(data, KEY).select("o_orderkey", F.col("prediction").alias(f"p{i}")) for i, f in enumerate(fits)]
+    both = told[0].join(told[1], "o_orderkey").join(told[2], "o_orderkey")
+    return both.select("o_orderkey", ((F.col("p0") == F.col("p1")) & (F.col("p0") == F.col("p2"))).alias("same"))
+
+
+@query("proba_facts", """
+SELECT o_orderkey, model, 3 AS classes, true AS sums_to_one FROM orders, (SELECT unnest(['linear', 'random_forest']) AS model)""")
+def proba_facts(spark, folder):
+    """Class probabilities of fitted models: one set a row, as many as classes, adding up to one."""
+    data, out = signal_classes(spark, folder, 3), []
+    for model, params in (("linear", {"C": 1.0}), ("random_forest", _FOREST)):
+        scored = T.fit(data.drop("o_orderkey"), "label", model, params).predict(data, KEY)
+        total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+        out.append(scored.select("o_orderkey", F.lit(model).alias("model"), F.size("probability").alias("classes"),
+                                 (F.abs(total - 1) < 1e-9).alias("sums_to_one")))
+    return out[0].unionByName(out[1])
+
+
+@query("error_under_mean", f"""
+SELECT model, (SELECT count(*) FROM {SIGNAL}) AS n, true AS under FROM (SELECT unnest(['gradient_boosting', 'linear', 'random_forest']) AS model)""")
+def error_under_mean(spark, folder):
+    """Squared error of fitted models on the table, under that of the target's mean."""
+    data, out = signal(spark, folder), []
+    for model, params in (("gradient_boosting", _BOOST), ("linear", {"alpha": 1.0}), ("random_forest", _FOREST)):
+        scored = T.fit(data.drop("o_orderkey"), "y", model, params).predict(data, [*KEY, "y"])
+        error = F.avg((F.col("y") - F.col("prediction")) ** 2)
+        out.append(scored.agg(F.count(F.lit(1)).alias("n"), (error < F.var_pop("y")).alias("under")).withColumn("model", F.lit(model)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("tune_forest")
 def tune_forest(spark, folder):
     space = {"n_estimators": (5, 15), "max_depth": (2, 6)}
