@@ -12,7 +12,7 @@ from tabspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "10g", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(8, "10g", **{"spark.sql.shuffle.partitions": "4", "tabspark.fit.shards": "4"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
