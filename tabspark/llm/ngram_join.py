@@ -255,16 +255,17 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     long = met.where("b is null").select(F.col("a").alias("owner"), F.col("n").alias("long"))
     known = members.groupBy("owner").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(long, "owner", "left").select(
         "owner", "low", "high", F.coalesce("long", F.lit(0)).alias("long"))
-    known = stored(known, "known")
+    # linked owners differ in size by a quarter at most, so both are on at least this many long lists if only those are shared
+    known = stored(known.withColumn("heavy", F.col("long") >= 1 + F.floor(F.col("low") * 4 / 5 / EXTRA)), "known")
     pairs = met.where("b is not null").join(known.select([F.col(c).alias(f"a_{c}") for c in known.columns]), F.col("a") == F.col("a_owner")).join(
         known.select([F.col(c).alias(f"b_{c}") for c in known.columns]), F.col("b") == F.col("b_owner"))
     wanted = 1 + F.floor(F.least("a_low", "b_low") / EXTRA) - F.least("a_long", "b_long")
-    pairs = pairs.where((F.col("n") >= wanted) & (5 * F.col("a_high") >= 4 * F.col("b_low")) & (5 * F.col("b_high") >= 4 * F.col("a_low")))
+    # two heavy owners are left to the join on whole sets
+    pairs = pairs.where(~(F.col("a_heavy") & F.col("b_heavy")) & (F.col("n") >= wanted) & (5 * F.col("a_high") >= 4 * F.col("b_low")) & (5 * F.col("b_high") >= 4 * F.col("a_low")))
     x, y = members.select(F.col("id").alias("x"), F.col("owner").alias("a"), F.col("n").alias("x_n")), members.select(
         F.col("id").alias("y"), F.col("owner").alias("b"), F.col("n").alias("y_n"))
     light = pairs.select("a", "b").join(x, "a").join(y, "b").where(5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")).select("x", "y")
-    # linked owners differ in size by a quarter at most, so both are on at least this many long lists if only those are shared
-    heavy = known.where(F.col("long") >= 1 + F.floor(F.col("low") * 4 / 5 / EXTRA)).select("owner")
+    heavy = known.where("heavy").select("owner")
     heavy = stored(members.join(heavy, "owner", "left_semi").select(F.col("id").alias("doc_id"), "owner"), "heavy-members")
     links = links.unionByName(verified(docs, light.unionByName(_heavy(docs, heavy)).distinct())).distinct()
     links = stored(links, "all-links")
