@@ -414,6 +414,57 @@ def test_suffix_tree(spark, docs, empty, monkeypatch):
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in alone} == {(0, 0, 0.0)}
 
 
+def _brute_whole(texts, train):
+    """Scores with states of any length and all counts, and the retained states."""
+    lines = [lowered(t) + [None] for t in texts]
+    counts = collections.Counter(w for line, t in zip(lines, train) if t for w in line)
+    total, kinds, mu = sum(counts.values()), len(counts), suffix_tree.MU
+    p = [[[(max(counts[w] - less, 0) + 0.5) / (total + 0.5 * (kinds + 1)) for w in line] for line in lines] for less in (0, 1)]
+    kept = set()
+    for d in range(1, max(map(len, lines))):
+        n, c, gains = collections.Counter(), collections.Counter(), collections.Counter()
+        at = [(k, i, tuple(line[i - d:i])) for k, line in enumerate(lines) for i in range(d, len(line))]
+        for k, i, state in at:
+            n[state] += train[k]
+            c[state, lines[k][i]] += train[k]
+        new = [[list(x) for x in y] for y in p]
+        for k, i, state in at:
+            for less in (0, 1):
+                new[less][k][i] = (max(c[state, lines[k][i]] - less, 0) + mu * p[less][k][i]) / (max(n[state] - less, 0) + mu)
+            if train[k]:
+                gains[state] += math.log(new[1][k][i] / p[1][k][i])
+        good = {s for s, g in gains.items() if n[s] >= 2 and g > suffix_tree.GAIN}
+        for k, i, state in at:
+            if state in good:
+                p[0][k][i], p[1][k][i] = new[0][k][i], new[1][k][i]
+        kept |= good
+    return [sum(math.log10(x) for x in line) for line in p[0]], kept
+
+
+@pytest.mark.parametrize("local", [3, 50_000])
+def test_suffix_tree_of_any_depth(spark, monkeypatch, local):
+    monkeypatch.setattr(suffix_tree, "BLOCK", 400)
+    monkeypatch.setattr(suffix_tree, "LOCAL", local)
+    rng = np.random.default_rng(5)
+    texts = [None, "", "spam " * 60, "rare spam"]
+    stem = [f"s{x}" for x in rng.integers(0, 9, 30)]
+    for i in range(60):  # what follows the long run hangs on the word before it
+        head, tail = ("left", "one") if i % 2 else ("right", "two")
+        texts.append(" ".join([f"h{i}", head, *stem[:4 + i % 3 * 6], tail, f"t{i % 40}"]))
+    for i in range(40):
+        copy = list(stem)
+        copy[int(rng.integers(0, 30))] = f"x{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 6, 60)) for _ in range(20)]
+    train = [i % 5 != 1 for i in range(len(texts))]
+    want, kept = _brute_whole(texts, train)
+    assert max(map(len, kept)) > 12
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r["row"]["doc_id"]: r["score"] for r in suffix_tree.score_texts(rows, F.col("doc_id") % 5 != 1, whole=True).collect()}
+    assert got == pytest.approx(dict(enumerate(want)), abs=1e-6)
+    assert suffix_tree.score_texts(rows.limit(0), F.lit(True), whole=True).count() == 0
+
+
 # pipeline
 
 def test_pipeline(spark):
