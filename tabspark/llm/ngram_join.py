@@ -15,6 +15,8 @@ smaller list of each shared shingle must be met that often. As in DivideSkip, li
   with each other on whole sets, shingles ordered by how many owners have them, rare ones first,
   with the usual prefix and position bounds. This is the exact way for what the lists left out.
 * Every candidate is verified by probing one whole sorted set with the other.
+* Links inside a group of near copies are counted, not listed: members of a size class are dealt over blocks,
+  and each two blocks whose sizes may agree are compared in one task, which returns a number a member.
 
 So no link is lost, and no group of copies is expanded into its pairs. The components of the links are
 found by alternating stars. Shingles are compared by 64-bit hashes.
@@ -44,6 +46,10 @@ EXTRA = 20
 KEYS = 3
 #: Members of a star that one task holds against its centre.
 STAR = 200
+#: Shingles of a block of a group whose links are counted; a set counts as a thousand at least.
+BLOCK = 1_000_000
+#: Sizes of one class differ by this factor at most, so linked sets are in the same class or the next.
+STEP = 1.26
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -154,6 +160,85 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(spreads.groupBy("x", "salt").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share; above the diagonal."""
+    m = len(sets)
+    tokens, row = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+    count = np.diff(edges)
+    out = np.zeros(m * m, np.int64)
+    for k in range(2, SHORT + 1):
+        lists = edges[:-1][count == k]
+        i, j = np.triu_indices(k, 1)
+        for low in range(0, len(lists), 10_000):
+            members = row[lists[low:low + 10_000, None] + np.arange(k)]
+            out += np.bincount((members[:, i] * m + members[:, j]).ravel(), minlength=m * m)
+    out = out.reshape(m, m)
+    frequent = np.flatnonzero(count > SHORT)
+    for low in range(0, len(frequent), 1024):
+        lists = frequent[low:low + 1024]
+        size = count[lists]
+        at = np.repeat(edges[lists], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        has = np.zeros((m, len(lists)), np.float32)
+        has[row[at], np.repeat(np.arange(len(lists)), size)] = 1
+        out += (has @ has.T).astype(np.int64)
+    return np.triu(out, 1)
+
+
+def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, links): the links of each of the members (id, n, owner) with others of the same owner."""
+    count = members.groupBy("owner").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = members.join(count, "owner")
+    # two members are a group by their link
+    pairs = members.where("size = 2").select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("links"))
+    members = members.where("size > 2").withColumn("step", F.floor(F.log("n") / float(np.log(STEP))).cast("int"))
+    steps = stored(members.groupBy("owner", "step").agg(
+        F.count(F.lit(1)).alias("sets"), F.ceil(F.sum(F.greatest("n", F.lit(1000))) / BLOCK).cast("int").alias("blocks")), "steps")
+    next_to = lambda by, name: steps.select("owner", (F.col("step") + by).alias("step"), F.col("blocks").alias(name))
+    known = stored(steps.join(next_to(-1, "above"), ["owner", "step"], "left").join(next_to(1, "below"), ["owner", "step"], "left"), "known-steps")
+    dealt = members.join(known, ["owner", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def tasks(n, step, first, second, side, kind):
+        """The tasks with each of n other blocks."""
+        return F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(
+            F.concat_ws(":", F.col("owner"), step, first(o), second(o), F.lit(kind)).alias("task"), side(o).cast("int").alias("side")))).otherwise(
+            F.array().cast("array<struct<task:string,side:int>>"))
+
+    own = F.col("block")
+    same = tasks(F.when(F.col("sets") > 1, F.col("blocks")), F.col("step"), lambda o: F.least(o, own), lambda o: F.greatest(o, own), lambda o: own > o, "same")
+    above = tasks(F.col("above"), F.col("step"), lambda o: own, lambda o: o, lambda o: F.lit(0), "next")
+    below = tasks(F.col("below"), F.col("step") - 1, lambda o: o, lambda o: own, lambda o: F.lit(1), "next")
+    roles = stored(dealt.select("id", F.concat(same, above, below).alias("tasks")).where(F.size("tasks") > 0), "inner")
+    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
+
+    def sets(batches):
+        for batch in parts(batches):
+            blobs = pa.array([s.tobytes() for s in shingles(batch.column("text"))], pa.large_binary())
+            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("tasks").offsets)))
+            flat = batch.column("tasks").flatten()
+            take = pa.array(of, pa.int64())
+            for low in range(0, len(of), 1000):
+                part = take.slice(low, 1000)
+                yield pa.record_batch([flat.field("task").slice(low, 1000), flat.field("side").slice(low, 1000), batch.column("id").take(part),
+                                       blobs.take(part).cast(pa.binary())], names=["task", "side", "id", "set"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        held = {i: (side, np.frombuffer(s.as_buffer(), "<u8")) for i, side, s in zip(
+            table["id"].to_pylist(), table["side"].to_pylist(), table["set"].combine_chunks())}
+        _, _, first, second, kind = table["task"][0].as_py().split(":")
+        side, n = np.array([x[0] for x in held.values()]), np.array([len(x[1]) for x in held.values()])
+        shared = _shared([x[1] for x in held.values()])
+        linked = (shared > 0) & (100 * shared >= 80 * (n[:, None] + n[None, :] - shared))
+        if kind == "next" or first != second:
+            linked &= side[:, None] != side[None, :]
+        return pa.table({"node": pa.array(list(held), pa.int64()), "links": pa.array(linked.sum(0) + linked.sum(1), pa.int64())})
+
+    met = rows.select("id", "text", "tasks").mapInArrow(sets, "task string, side int, id bigint, set binary")
+    return pairs.unionByName(stored(met.groupBy("task").applyInArrow(compare, "node bigint, links bigint"), "inner-links"))
+
+
 def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
     """(a, b, n): pairs of owners and the short lists they share; with a null b, the long lists an owner is on."""
     rows = joined(docs, owners, ["doc_id"], "left", SLIM_ROWS)
@@ -238,8 +323,11 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     return x.join(y, near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, links): a row for each row; ``links`` counts verified links of its class."""
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, links): a row for each row; ``links`` counts the other classes linked with its own.
+
+    Without ``counted`` there is no ``links``.
+    """
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows, classes = _classes(docs, "slim")
     links = verified(docs, _stars(classes))
@@ -267,14 +355,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     light = pairs.select("a", "b").join(x, "a").join(y, "b").where(5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")).select("x", "y")
     heavy = known.where("heavy").select("owner")
     heavy = stored(members.join(heavy, "owner", "left_semi").select(F.col("id").alias("doc_id"), "owner"), "heavy-members")
-    links = links.unionByName(verified(docs, light.unionByName(_heavy(docs, heavy)).distinct())).distinct()
-    links = stored(links, "all-links")
+    across = verified(docs, light.unionByName(_heavy(docs, heavy)).distinct())
+    links = stored(links.unionByName(across).distinct(), "all-links")
     whole = components(links) if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    of_class = classes.select("digest", F.col("rep").alias("node")).join(whole, "node", "left").join(degree, "node", "left").select(
-        F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    of_class = classes.select("digest", F.col("rep").alias("node")).join(whole, "node", "left")
+    if counted:
+        ends = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).withColumn("links", F.lit(1).cast("bigint"))
+        degree = ends.unionByName(inner_links(docs, members)).groupBy("node").agg(F.sum("links").alias("links"))
+        of_class = of_class.join(degree, "node", "left")
+    more = ["links"] if counted else []
+    of_class = of_class.select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"), *more)
     out = rows.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+                     *[F.coalesce(c, F.lit(0)).alias(c) for c in more])
     return stored(out, "joined")
 
 
@@ -284,7 +377,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of a component the document with the smallest doc_id stays; of rows that share a doc_id, the one with the
     smallest hash. Rows without shingles or doc_id are copies of nothing and stay.
     """
-    found = jaccard_join(docs.select("doc_id", "text")).where("n_shingles > 0 and doc_id is not null")
+    found = jaccard_join(docs.select("doc_id", "text"), counted=False).where("n_shingles > 0 and doc_id is not null")
     marks = found.groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.col("component_id") != F.col("doc_id")).alias("copy"), F.count(F.lit(1)).alias("rows")).where("copy or rows > 1")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("hash"))

@@ -332,6 +332,25 @@ def test_join(docs, rows, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if root(i) == i)
 
 
+@pytest.mark.parametrize("block", [3_000, 1_000_000])
+def test_links_inside_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 4000, 200)]
+    texts = [" ".join(base), " ".join(base), "one two three four five six", None]
+    for i in range(40):  # near copies of different lengths, not all of them linked with each other
+        copy = list(base[:200 - 2 * (i % 20)])
+        for at in rng.integers(0, len(copy), i % 4):
+            copy[int(at)] = f"x{i}"
+        texts.append(" ".join(copy))
+    sets = [set(zip(*[lowered(t)[k:] for k in range(5)])) for t in texts]
+    classes = {frozenset(s) for s in sets if s}
+    want = {i: sum(len(s & c) >= 0.8 * len(s | c) - 1e-9 for c in classes if c != s) if s else 0 for i, s in enumerate(sets)}
+    assert len(set(want.values())) > 5
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: r["links"] for r in ngram_join.jaccard_join(rows).collect()} == want
+
+
 def test_null_ids_take_no_part(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")]
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
