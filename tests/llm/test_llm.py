@@ -460,6 +460,17 @@ def _brute_whole(texts, train):
     return [sum(math.log10(x) for x in line) for line in p[0]], kept
 
 
+def test_gains_beyond_32_bits():
+    c = object.__new__(suffix_tree.Coded)
+    n = 300_000
+    c.own, at = np.ones(n + 1, bool), np.arange(1, n + 1)
+    found, parent = np.full(n + 1, n), np.full(n + 1, 1e-4)
+    sent = c.gain("state1", np.array([7], np.uint64), np.zeros(n, np.int64), at, found, np.full(n, n), parent)
+    assert sent.values[0] == pytest.approx(-n * math.log(1e-4) * suffix_tree.PARTS, rel=1e-4) and sent.values[0] > 2**31
+    parcels = pa.Table.from_batches([suffix_tree._parcels(0, [sent], 1)])
+    assert suffix_tree._unpacked(suffix_tree._added(parcels)["totals"][0].as_py(), "u1").tolist() == [1]
+
+
 @pytest.mark.parametrize("local", [3, 50_000])
 def test_suffix_tree_of_any_depth(spark, monkeypatch, local):
     monkeypatch.setattr(suffix_tree, "BLOCK", 400)
