@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import binpack, host_rules, impact_search, language, mixing, ngram_join, packing, repair, suffix_tree, toxicity
+from tabspark.llm import (binpack, bpe_transducer, host_rules, impact_search, language, mixing, ngram_join, packing, repair,
+                          reversed_search, suffix_tree, toxicity)
 from tabspark.llm.common import modulo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,39 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op11_bpe_transducer")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe_transducer.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    rows = bpe_transducer.digests(bpe_transducer.decode(rows, path))
+    return rows.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "broken")
+
+
+_OP12 = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+d AS (SELECT k, doc_id, len(t)::BIGINT AS n FROM w WHERE len(t) > 0),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM w) GROUP BY ALL),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+q AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark WHERE text IS NOT NULL),
+qt AS (SELECT i, item_id, term, count(*)::BIGINT AS times FROM (SELECT i, item_id, unnest(t) AS term FROM q) GROUP BY ALL),
+s AS (SELECT i, item_id, d.doc_id, k, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+      FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN d USING (k), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op12_reversed_search", _OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark").select("item_id", "text")
+    return reversed_search.search(docs, items).select("item.item_id", "rank", "doc_id", "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
