@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm import (binpack, bpe_transducer, host_rules, impact_search, language, mixing, ngram_join, packing, repair,
+from tabspark.llm import (binpack, bpe_transducer, conversations, host_rules, impact_search, language, mixing, ngram_join, packing, repair,
                           reversed_search, suffix_tree, toxicity)
 from tabspark.llm.common import modulo
 
@@ -182,6 +182,58 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return reversed_search.search(docs, items).select("item.item_id", "rank", "doc_id", "score")
 
 
+_OP13 = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(length(key)),
+               lambda i: list_concat([ord(key[i + 1])::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 20 AS kind FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM m),
+f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1)::BIGINT AS blank,
+             count(*) FILTER (fault = 2)::BIGINT AS duplicate, count(*) FILTER (fault = 3)::BIGINT AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+-- e, s, u, a: the least (cost, edits) after i rows with nothing, an s, a u or an a written last, and the repaired rows
+p AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'e': '', 'r': ''} AS e, {'c': 99999999, 'e': '', 'r': ''} AS s,
+             {'c': 2, 'e': 'I', 'r': chr(10) || 'user:'} AS u, {'c': 4, 'e': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM c
+      UNION ALL
+      SELECT conv_id, i, e, s, list_min([u, {'c': a.c + 2, 'e': a.e || 'I', 'r': a.r || chr(10) || 'user:'}]) AS u, a FROM (
+      SELECT conv_id, i, e, s, u, list_min([a, {'c': u.c + 2, 'e': u.e || 'I', 'r': u.r || chr(10) || 'assistant:'}]) AS a FROM (
+      SELECT conv_id, i, e, s, list_min([u, {'c': e.c + 2, 'e': e.e || 'I', 'r': e.r || chr(10) || 'user:'},
+             {'c': s.c + 2, 'e': s.e || 'I', 'r': s.r || chr(10) || 'user:'}, {'c': a.c + 2, 'e': a.e || 'I', 'r': a.r || chr(10) || 'user:'}]) AS u, a FROM (
+      SELECT p.conv_id, f.i, {'c': e.c + 3, 'e': e.e || 'D', 'r': e.r} AS e,
+             list_min([{'c': s.c + 3, 'e': s.e || 'D', 'r': s.r}, {'c': e.c + CASE WHEN go AND ini = 's' THEN t ELSE 99999999 END, 'e': e.e || 'K', 'r': e.r || own}]) AS s,
+             list_min([{'c': u.c + 3, 'e': u.e || 'D', 'r': u.r},
+               {'c': e.c + CASE WHEN go THEN 2 + t ELSE 99999999 END, 'e': e.e || 'R', 'r': e.r || chr(10) || 'user:' || text},
+               {'c': s.c + CASE WHEN go THEN 2 + t ELSE 99999999 END, 'e': s.e || 'R', 'r': s.r || chr(10) || 'user:' || text},
+               {'c': a.c + CASE WHEN go THEN 2 + t ELSE 99999999 END, 'e': a.e || 'R', 'r': a.r || chr(10) || 'user:' || text},
+               {'c': e.c + CASE WHEN go AND ini = 'u' THEN t ELSE 99999999 END, 'e': e.e || 'K', 'r': e.r || own},
+               {'c': s.c + CASE WHEN go AND ini = 'u' THEN t ELSE 99999999 END, 'e': s.e || 'K', 'r': s.r || own},
+               {'c': a.c + CASE WHEN go AND ini = 'u' THEN t ELSE 99999999 END, 'e': a.e || 'K', 'r': a.r || own}]) AS u,
+             list_min([{'c': a.c + 3, 'e': a.e || 'D', 'r': a.r},
+               {'c': u.c + CASE WHEN go THEN 2 + t ELSE 99999999 END, 'e': u.e || 'R', 'r': u.r || chr(10) || 'assistant:' || text},
+               {'c': u.c + CASE WHEN go AND ini = 'a' THEN t ELSE 99999999 END, 'e': u.e || 'K', 'r': u.r || own}]) AS a
+      FROM p JOIN (SELECT conv_id, i, ini, text, fault NOT IN (1, 2) AS go, CASE fault WHEN 3 THEN 1 ELSE 0 END AS t, chr(10) || role || ':' || text AS own FROM f) f
+        ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1)))),
+best AS (SELECT p.conv_id, list_min([e, a]) AS b FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = c.n)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(b.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+@query("op13_conversation_repair", _OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.report(conversations.damage(_table(spark, folder, "conversations")))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
