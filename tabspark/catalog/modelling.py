@@ -347,6 +347,31 @@ def forest_any_partitioning(spark, folder):
     return both.select("o_orderkey", ((F.col("p0") == F.col("p1")) & (F.col("p0") == F.col("p2"))).alias("same"))
 
 
+@query("net_any_partitioning", "SELECT o_orderkey, true AS same FROM orders")
+def net_any_partitioning(spark, folder):
+    """The same deep net, dropout and batch norm included, whether the rows arrive in 1, 4 or 7 partitions."""
+    data = signal(spark, folder)
+    fits = [T.fit(d.drop("o_orderkey"), "y", "deep_mlp", _DEEP) for d in (data.coalesce(1), data.repartition(4), data.repartition(7))]
+    told = [f.predict(data, KEY).select("o_orderkey", F.col("prediction").alias(f"p{i}")) for i, f in enumerate(fits)]
+    both = told[0].join(told[1], "o_orderkey").join(told[2], "o_orderkey")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-6 * (1 + F.abs(F.col(a)))
+    return both.select("o_orderkey", (near("p0", "p1") & near("p0", "p2")).alias("same"))
+
+
+@query("net_improves", """
+SELECT model, true AS falls, true AS restored FROM (SELECT unnest(['mlp', 'deep_mlp']) AS model)""")
+def net_improves(spark, folder):
+    """Over a fit the validation loss falls, and the weights kept are those of its least value."""
+    data, out = signal(spark, folder), []
+    for model, params in (("mlp", _NET), ("deep_mlp", _DEEP)):
+        core = T.fit(data.drop("o_orderkey"), "y", model, params).core
+        history = core.history_table(spark)
+        least, first = F.min("val_loss"), F.min_by("val_loss", "epoch")
+        out.append(history.agg((least < first * 0.9).alias("falls"), (least == F.lit(round(core.best, 5))).alias("restored"))
+                   .select(F.lit(model).alias("model"), "falls", "restored"))
+    return out[0].unionByName(out[1])
+
+
 @query("proba_facts", """
 SELECT o_orderkey, model, 3 AS classes, true AS sums_to_one FROM orders, (SELECT unnest(['linear', 'random_forest']) AS model)""")
 def proba_facts(spark, folder):
