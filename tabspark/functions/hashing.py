@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabspark.functions.columns import col
 
 BUCKETS = 10_000
+#: What stands for a missing value in the hashed text, so that (NULL, 'a') and ('a', NULL) are not the same row.
+MISSING = "\x00"
 
 
 def row_hash(df: DataFrame, key: Sequence[str] | None, salt: str) -> Column:
     """Uniform 32-bit hash of the key columns (of the whole row when no key is given)."""
     names = list(key) if key else df.columns
-    text = F.concat_ws("|", F.lit(salt), *[col(c).cast("string") for c in names])
+    text = F.concat_ws("|", F.lit(salt), *[F.coalesce(col(c).cast("string"), F.lit(MISSING)) for c in names])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 

@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.functions.columns import col
+from tabspark.operators.boosting import fit_softmax
 from tabspark.operators.gram import moments
 from tabspark.session import shared_dir
 
@@ -105,7 +106,7 @@ class MllibCore:
 
 @dataclass
 class OneVsRestCore:
-    """One boosted model per class; their probabilities are normalised to 1."""
+    """One boosted model per class; their probabilities are normalised to 1. Fits give a SoftmaxCore; this reads older saved models."""
     models: list
     classes: int
 
@@ -187,10 +188,7 @@ def fit_boosting(data: DataFrame, classes: int | None, p: dict, seed: int):
     if classes <= 2:
         return MllibCore(GBTClassifier(**args).fit(data), classes)
 
-    def one(c: int):
-        return GBTClassifier(**args).fit(data.withColumn("label", (F.col("label") == c).cast("double")))
-
-    return OneVsRestCore(concurrently([lambda c=c: one(c) for c in range(classes)]), classes)
+    return fit_softmax(data, classes, p, seed)
 
 
 def solve_ridge(n: int, means: np.ndarray, cov: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabspark.functions.columns import col, half_even
+from tabspark.functions.hashing import MISSING
 from tabspark.operators import metrics, models, trees
+from tabspark.operators.boosting import SoftmaxCore
 from tabspark.operators.clean import drop_null_target
 from tabspark.operators.mlp import NetCore
 from tabspark.operators.prep import FeatureSpec, LabelCodec, TablePrepModel, align, build_prep
@@ -80,7 +83,7 @@ def keyed(df: DataFrame, spec: FeatureSpec, key: Sequence[str] | None) -> tuple[
     """The needed columns and the key that splits hash; without a key, a hash of the whole row."""
     if key:
         return needed_columns(df, spec, key), list(key)
-    whole = F.xxhash64(*[col(c).cast("string") for c in df.columns])
+    whole = F.xxhash64(*[F.coalesce(col(c).cast("string"), F.lit(MISSING)) for c in df.columns])
     return needed_columns(df.withColumn("_key", whole), spec), ["_key"]
 
 
@@ -161,6 +164,8 @@ def feature_importance(fitted: Fitted, k: int = TOP_FEATURES, class_index: int |
     elif isinstance(core, models.OneVsRestCore):
         each = [m.featureImportances.toArray() for m in core.models]
         values = list(sum(each) / len(each))
+    elif isinstance(core, SoftmaxCore):
+        values = core.importances(len(names))
     elif isinstance(core, models.MllibCore) and hasattr(core.model, "featureImportances"):
         values = list(core.model.featureImportances.toArray())
     elif isinstance(core, models.MllibCore):
@@ -178,11 +183,12 @@ def _contributions(fitted: Fitted, df: DataFrame, row_id: str, member: str | Non
     prepared = fitted.prepared(df, [row_id]).withColumnRenamed(f"_keep_{row_id}", "_row")
     leaves, weights, means, base = _additive(df.sparkSession, fitted.core.members[member] if member else fitted.core,
                                              fitted.classes)
-    if leaves:
-        rows = trees.tree_contributions(prepared, leaves, "_row")
+    if leaves is not None:
+        blocks, expected = trees.kept(leaves)
+        rows, base = trees.tree_contributions(prepared, blocks, "_row"), base + expected
     else:
         rows = prepared.select(F.col("_row").alias("row_id"), F.col("_x").alias("x"))
-    parts = [F.col("phi")] if leaves else []
+    parts = [F.col("phi")] if leaves is not None else []
     if weights is not None:
         pairs = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(m)).alias("m"))
                           for w, m in zip(weights, means)])
@@ -207,17 +213,21 @@ def explain(fitted: Fitted, df: DataFrame, row_id: str, member: str | None = Non
 
 
 def _additive(spark: SparkSession, core, classes: int | None,
-              factor: float = 1.0) -> tuple[list, np.ndarray | None, np.ndarray | None, float]:
-    """A core as leaves plus a linear part (weights, background means) plus their base."""
+              factor: float = 1.0) -> tuple[DataFrame | None, np.ndarray | None, np.ndarray | None, float]:
+    """A core as packed leaves plus a linear part (weights, background means) plus the base of all but the leaves."""
     if isinstance(core, models.VoteCore):
         parts = [_additive(spark, m, classes, factor / len(core.members)) for m in core.members.values()]
         linear = [p for p in parts if p[1] is not None]        # an ensemble has one linear member
-        return ([leaf for p in parts for leaf in p[0]], *(linear[0][1:3] if linear else (None, None)),
+        blocks = [p[0] for p in parts if p[0] is not None]
+        return (reduce(DataFrame.unionByName, blocks) if blocks else None, *(linear[0][1:3] if linear else (None, None)),
                 sum(p[3] for p in parts))
     if isinstance(core, NetCore):
         raise ValueError("nets have no contributions")
     if isinstance(core, models.OneVsRestCore):
         return _additive(spark, models.MllibCore(core.models[-1], 2), 2, factor)
+    if isinstance(core, SoftmaxCore):
+        last = core.classes - 1
+        return spark.createDataFrame(trees.packed(core.leaves(last, factor)), trees.PACKED), None, None, factor * core.start[last]
     if isinstance(core, models.RidgeCore):
         weights, means, intercept = np.array(core.coefficients), np.array(core.means), core.intercept
     elif hasattr(core.model, "coefficientMatrix"):
@@ -225,9 +235,8 @@ def _additive(spark: SparkSession, core, classes: int | None,
         intercept = float(core.model.interceptVector.toArray()[-1])
     else:
         boosted = type(core.model).__name__.startswith("GBT")
-        found = trees.leaves(spark, core.model, classes, boosted, factor)
-        return found, None, None, sum(leaf.expected for leaf in found)
-    return [], factor * weights, means, factor * (intercept + float(weights @ means))
+        return trees.leaf_blocks(spark, core.model, classes, boosted, factor), None, None, 0.0
+    return None, factor * weights, means, factor * (intercept + float(weights @ means))
 
 
 def waterfall(fitted: Fitted, df: DataFrame, row_id: str, n: int = TOP_CONTRIBUTIONS, member: str | None = None) -> DataFrame:

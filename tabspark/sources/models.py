@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionMode
 from pyspark.sql import SparkSession
 
 from tabspark.operators import models
+from tabspark.operators.boosting import SoftmaxCore
 from tabspark.operators.mlp import NetCore, flatten, unflatten
 from tabspark.operators.prep import FeatureSpec, LabelCodec, TablePrepModel
 from tabspark.plans.train import Fitted
@@ -29,6 +30,8 @@ def _save_core(core, path: str) -> dict:
             for i, m in enumerate(core.models):
                 m.write().overwrite().save(f"{path}/{i}")
             return {"kind": "one_vs_rest", "classes": core.classes}
+        case SoftmaxCore():
+            return {"kind": "softmax", **core.as_dict()}
         case models.RidgeCore():
             return {"kind": "ridge", **asdict(core)}
         case models.VoteCore():
@@ -49,6 +52,8 @@ def _load_core(about: dict, path: str):
         case "one_vs_rest":
             return models.OneVsRestCore([GBTClassificationModel.load(f"{path}/{i}") for i in range(about["classes"])],
                                         about["classes"])
+        case "softmax":
+            return SoftmaxCore.from_dict(about)
         case "ridge":
             return models.RidgeCore(about["coefficients"], about["intercept"], about["means"])
         case "vote":
