@@ -4,8 +4,8 @@ shared by all trials on it."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import random
 from collections.abc import Callable, Sequence
 from contextlib import ExitStack
 from dataclasses import dataclass
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabspark.functions.columns import chunks
 from tabspark.operators import metrics, models, splits
 from tabspark.operators.clean import drop_null_target
-from tabspark.operators.gram import moments
+from tabspark.operators.cube import LinearCube, Part
 from tabspark.operators.prep import FeatureSpec, LabelCodec, build_prep
 from tabspark.operators.profile import detect_task
 from tabspark.plans.train import keyed, labelled, target_codec
@@ -31,6 +31,8 @@ SEARCH = {
     "linear": {"C": (0.01, 20.0), "alpha": (0.01, 50.0)},
 }
 DEFAULT_TRIALS = 10
+PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)
+DIGITS = 30                 # digits of a point that are shifted
 CURVE_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
 CURVE_FOLDS = 3
 PARTS_AT_ONCE = 2           # prepared parts kept at a time; each may be as large as the table
@@ -48,21 +50,35 @@ def search_space(name: str, overrides: dict | None = None) -> dict:
     return space
 
 
+def halton(i: int, base: int, seed: int) -> float:
+    """Point i of the sequence of a base, in 0..1: its digits mirrored at the point, each shifted by a seeded amount."""
+    out, step = 0.0, 1.0
+    for place in range(DIGITS):
+        shift = int(hashlib.md5(f"halton|{seed}|{base}|{place}".encode()).hexdigest()[:8], 16)
+        step /= base
+        out += (i // base ** place + shift) % base * step
+    return min(out, 1 - 1e-12)
+
+
 def draw_trials(name: str, space: dict, n_trials: int, task: str, seed: int = 42) -> list[dict]:
-    """``n_trials`` seeded parameter sets; whole-number ranges give whole numbers."""
-    rng = random.Random(seed)
+    """``n_trials`` parameter sets of low discrepancy, a base for each range; whole-number ranges give whole numbers.
+
+    Any first trials fill the space evenly, and more trials go on where fewer end.
+    """
     if name == "linear":
         space = {k: v for k, v in space.items() if k == ("C" if task == "classification" else "alpha")}
+    base = dict(zip([k for k, v in space.items() if isinstance(v, (tuple, list))], PRIMES))
     out = []
-    for _ in range(n_trials):
+    for i in range(1, n_trials + 1):
         trial = {}
         for key, value in space.items():
             if not isinstance(value, (tuple, list)):
                 trial[key] = value
-            elif all(isinstance(v, int) for v in value):
-                trial[key] = rng.randint(*value)
-            else:
-                trial[key] = rng.uniform(*value)
+                continue
+            low, high = value
+            point = halton(i, base[key], seed)
+            whole = all(isinstance(v, int) for v in value)
+            trial[key] = low + int(point * (high - low + 1)) if whole else low + point * (high - low)
         out.append(trial)
     return out
 
@@ -169,11 +185,10 @@ def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name:
     task = "classification" if codec else "regression"
     trials = draw_trials(name, search_space(name, space), n_trials, task, seed)
     classes = len(codec.classes) if codec else None
+    scores = None
     if name == "linear" and codec is None:
-        alphas = [t["alpha"] for t in trials]
-        scores = [path for [path] in _over_parts(df, spec, codec, cv, seed, key, tune_on,
-                                                 [lambda p: _ridge_path(p, spec, alphas)])]
-    else:
+        scores = _ridge_scores(df, spec, cv, seed, key, tune_on, [t["alpha"] for t in trials])
+    if scores is None:
         scores = _over_parts(df, spec, codec, cv, seed, key, tune_on, [
             lambda p, t=t: _score(models.fit_core(p.train, name, classes, t, seed), p.val, codec is not None)
             for t in trials])
@@ -183,21 +198,33 @@ def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name:
     return TuneResult(best["params"], best["value"], log)
 
 
-def _ridge_path(part: _Part, spec: FeatureSpec, alphas: list[float]) -> list[float]:
-    """Validation R2 for every alpha from two passes over the data, one per side: products of
-    columns are all that fitting and scoring a linear model need."""
-    names = [f"x{i}" for i in range(len(spec.vector_names))] + ["y"]
-    n, means, cov = moments(models.feature_columns(part.train, len(names) - 1), names)
-    val_n, val_means, val_cov = moments(models.feature_columns(part.val, len(names) - 1), names)
-    if not val_n:
-        return [float("nan")] * len(alphas)
-    out = []
-    for alpha in alphas:
-        w, b = models.solve_ridge(n, means, cov, alpha)
-        shift = val_means[-1] - b - w @ val_means[:-1]
-        mse = val_cov[-1, -1] - 2 * w @ val_cov[:-1, -1] + w @ val_cov[:-1, :-1] @ w + shift ** 2
-        out.append(float(1 - mse / val_cov[-1, -1]) if val_cov[-1, -1] > 0 else float(mse <= 0))
-    return out
+def _linear_cube(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name: str, cell, cells: int) -> LinearCube | None:
+    """The sums that all fits of a linear regression need, from a few passes; None for other models and very wide tables."""
+    if name != "linear" or codec is not None:
+        return None
+    cube = LinearCube(df, spec, cell, cells)
+    if cube.fits:
+        cube.measure()
+    return cube if cube.fits else None
+
+
+def _fold_parts(k: int) -> list[Part]:
+    return [Part([c for c in range(k) if c != f], [f]) for f in range(k)]
+
+
+def _ridge_scores(df: DataFrame, spec: FeatureSpec, cv: int | None, seed: int, key: Sequence[str] | None, tune_on: str,
+                  alphas: Sequence[float]) -> list[list[float]] | None:
+    """Validation R2 of each part for every alpha, all from one cube."""
+    if cv:
+        rows, cell, parts = splits.kfold(df, cv, seed, key), F.col("fold"), _fold_parts(cv)
+    elif tune_on == "validation":
+        rows, parts = splits.three_way(df, seed, key), [Part([0], [1])]
+        cell = F.when(F.col("part") == "train", 0).when(F.col("part") == "val", 1)
+    else:
+        rows, parts = splits.holdout(df, seed=seed, key=key), [Part([0], [1])]
+        cell = F.col("is_test").cast("int")
+    cube = _linear_cube(rows, spec, None, "linear", cell, cv or 2)
+    return [p["val"] for p in cube.score(parts, alphas)] if cube else None
 
 
 def cross_validate(df: DataFrame, target: str, name: str, params: dict | None = None, k: int = 5, seed: int = 42,
@@ -215,6 +242,15 @@ def cross_validate_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | No
                         k: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Cross-validate on rows that all have a target."""
     classes = len(codec.classes) if codec else None
+    if name == "linear" and codec is None:
+        alpha = float({**models.DEFAULTS["linear"], **(params or {})}["alpha"])
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scores = _ridge_scores(kept, spec, k, seed, key, "holdout", [alpha])
+        finally:
+            kept.unpersist()
+        if scores is not None:
+            return df.sparkSession.createDataFrame([(f, None if np.isnan(s) else s) for f, [s] in enumerate(scores)], "fold int, score double")
     scores = _over_parts(df, spec, codec, k, seed, key, "holdout", [
         lambda p: _score(models.fit_core(p.train, name, classes, params, seed), p.val, codec is not None)])
     return df.sparkSession.createDataFrame([(f, s) for f, [s] in enumerate(scores)], "fold int, score double")
@@ -234,6 +270,21 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
     marked = df.withColumn("_prefix", splits.prefix_bucket(df, seed, key))
     folded = with_folds(marked, target, task, folds, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def cube_points() -> list[tuple] | None:
+        """All points from one cube of (fold, step between shares)."""
+        steps = sorted({round(share * splits.BUCKETS) for share in shares})
+        step = sum(((F.col("_prefix") >= limit).cast("int") for limit in steps), F.lit(0))
+        width = len(steps) + 1
+        cube = _linear_cube(folded, spec, codec, name, F.col("fold") * width + step, folds * width)
+        if cube is None:
+            return None
+        wanted = [(f, share) for share in shares for f in range(folds)]
+        parts = [Part([o * width + i for o in range(folds) if o != f for i in range(steps.index(round(share * splits.BUCKETS)) + 1)],
+                      [f * width + i for i in range(width)]) for f, share in wanted]
+        alpha = float({**models.DEFAULTS["linear"], **(params or {})}["alpha"])
+        known = lambda v: None if np.isnan(v) else v
+        return [(share, p["n"], known(p["train"][0]), known(p["val"][0])) for (_, share), p in zip(wanted, cube.score(parts, [alpha]))]
+
     def point(fold: int, share: float) -> tuple:
         train = folded.filter((F.col("fold") != fold) & (F.col("_prefix") < round(share * splits.BUCKETS)))
         val = folded.filter(F.col("fold") == fold)
@@ -248,7 +299,9 @@ def learning_curve(df: DataFrame, target: str, name: str, params: dict | None =
             part.close()
 
     try:
-        points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)])
+        points = cube_points()
+        if points is None:
+            points = models.concurrently([lambda f=f, s=s: point(f, s) for s in shares for f in range(folds)])
     finally:
         folded.unpersist()
     spark = df.sparkSession
