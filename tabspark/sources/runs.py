@@ -1,4 +1,10 @@
-"""The run history: two Parquet tables that runs are appended to."""
+"""The run history: a log of entries, each written whole or not at all.
+
+A run with all its metrics is one row, in a folder of its own, and Spark shows a folder's file only when its job has
+committed. So a run is never half visible, and appends from several sessions at once do not meet. Clearing writes an entry too,
+which names the runs that it takes away; a run appended meanwhile stays. Compaction writes all visible runs as one entry and then
+removes the old ones; readers that see both count a run once.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 RUNS = ("run_id string, started_at string, model string, task string, target string, cv int, n_trials int, "
         "params string, steps string")
 METRICS = "run_id string, metric string, value double"
+LOG = f"{RUNS}, metrics map<string,double>, cleared boolean"
 
 
 @dataclass
@@ -26,27 +33,35 @@ class Runs:
         """Record one run; returns its id."""
         run_id = uuid.uuid4().hex
         at = started_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
-        row = (run_id, at, model, task, target, cv, n_trials, json.dumps(params or {}), json.dumps(steps or []))
-        values = [(run_id, k, float(v)) for k, v in metrics.items() if v is not None]
-        # metrics first: a run is visible only once its row is there
-        self.spark.createDataFrame(values, METRICS).coalesce(1).write.mode("append").parquet(f"{self.path}/run_metrics")
-        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        values = {k: float(v) for k, v in metrics.items() if v is not None}
+        self._write(self.spark.createDataFrame([(run_id, at, model, task, target, cv, n_trials, json.dumps(params or {}),
+                                                 json.dumps(steps or []), values, False)], LOG))
         return run_id
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        """A history table; one that no run has been written to yet is empty."""
+    def _write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.coalesce(1).write.parquet(f"{self.path}/log/{name}")
+        return name
+
+    def _log(self) -> DataFrame:
+        """All entries; none before the first has been written."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(LOG).parquet(f"{self.path}/log/*")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], LOG)
+
+    def _visible(self) -> DataFrame:
+        log = self._log()
+        gone = log.where("cleared").select("run_id").distinct()
+        return log.where("not cleared").dropDuplicates(["run_id"]).join(gone, "run_id", "left_anti").drop("cleared")
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        return self._visible().drop("metrics").select(*[c.split(" ")[0] for c in RUNS.split(", ")])
 
     def metrics(self) -> DataFrame:
-        return self._read("run_metrics", METRICS)
+        return self._visible().select("run_id", F.explode("metrics").alias("metric", "value"))
 
     def wide(self) -> DataFrame:
         """One row per run with a column per metric of any run, in time order."""
@@ -58,16 +73,35 @@ class Runs:
 
     def detail(self, run_id: str) -> dict:
         """Parameters, steps and metrics of one run."""
-        row = self.runs().filter(F.col("run_id") == run_id).first()
+        row = self._visible().filter(F.col("run_id") == run_id).first()
         if row is None:
             raise KeyError(run_id)
-        values = {r["metric"]: r["value"] for r in self.metrics().filter(F.col("run_id") == run_id).collect()}
-        return {**row.asDict(), "params": json.loads(row["params"]), "steps": json.loads(row["steps"]),
-                "metrics": values}
+        return {**row.asDict(), "params": json.loads(row["params"]), "steps": json.loads(row["steps"]), "metrics": dict(row["metrics"])}
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], RUNS).write.mode("overwrite").parquet(f"{self.path}/runs")
-        self.spark.createDataFrame([], METRICS).write.mode("overwrite").parquet(f"{self.path}/run_metrics")
+        """Take away the runs that are visible now."""
+        seen = self._visible()
+        columns = [F.col("run_id") if f.name == "run_id" else F.lit(True).alias("cleared") if f.name == "cleared"
+                   else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], LOG).schema.fields]
+        self._write(seen.select(*columns))
+
+    def compact(self) -> None:
+        """Write the visible runs as one entry and remove those they came from, in a quiet hour: a reader may be at them.
+
+        Entries that take runs away stay; they are a line for each run.
+        """
+        entry = F.regexp_extract(F.input_file_name(), "/log/([0-9a-f]{32})/", 1)
+        found = self._log().select(entry.alias("entry"), "run_id", "cleared").groupBy("entry").agg(
+            F.bool_or("cleared").alias("cleared"), F.collect_set("run_id").alias("runs")).where("not cleared").collect()
+        if len(found) < 2:
+            return
+        held = [r for e in found for r in e["runs"]]
+        kept = self._visible().filter(F.col("run_id").isin(held)).withColumn("cleared", F.lit(False))
+        self._write(kept.select(*[c.split(" ")[0] for c in LOG.split(", ")]))
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for e in found:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{e['entry']}")
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def wide(runs: DataFrame, metrics: DataFrame) -> DataFrame:
