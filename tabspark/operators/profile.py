@@ -194,6 +194,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 BOX_SLICES = 256       # slices of a group's values, cut at estimated quantiles
 
 
+def _slice(value: Column, edges: list[float], low: int = 0, high: int | None = None) -> Column:
+    """How many edges lie below a value: a binary search, as a tree of conditions."""
+    high = len(edges) if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value > F.lit(float(edges[middle])), _slice(value, edges, middle + 1, high)).otherwise(_slice(value, edges, low, middle))
+
+
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """([by], q1, median, q3, whiskers, outliers): the numbers behind a box plot.
 
@@ -207,8 +216,7 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     counted = rows.groupBy(*keep, "_v").agg(F.count(F.lit(1)).alias("_n"))
     # slices follow the values; where they are cut decides how even the work is, never the result
     edges = rows.approxQuantile("_v", [i / BOX_SLICES for i in range(1, BOX_SLICES)], 0.01)
-    cut = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    counted = counted.withColumn("_s", F.size(F.filter(cut, lambda e: e < F.col("_v"))))
+    counted = counted.withColumn("_s", _slice(F.col("_v"), sorted(set(edges))))
     sizes = counted.groupBy(*keep, "_s").agg(F.sum("_n").alias("_m"))
     ahead = Window.partitionBy(*keep).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keep, "_s", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_a"),
