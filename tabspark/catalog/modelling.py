@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabspark.catalog.base import FEATURES, SIGNAL, query, rounded, signal, signal_classes, sql_hash, table
 from tabspark.operators import metrics
+from tabspark.operators.prep import FeatureSpec
 from tabspark.plans import train as T, tuning
 from tabspark.plans.run import RunSpec, train
 from tabspark.session import scratch_path
@@ -100,6 +101,33 @@ def linear_contributions(spark, folder):
     return rounded(_contributions(spark, folder))
 
 
+@query("explain_csv", f"""
+SELECT o_orderkey, feature, round(contribution, 6) AS contribution, round(base_value, 6) AS base_value FROM ({_CONTRIB})""")
+def explain_csv(spark, folder):
+    """A table that arrives as CSV, explained by a saved model."""
+    from tabspark.sources import tables
+    path, rows = scratch_path(spark, "model"), scratch_path(spark, "rows")
+    saved.save_model(spark, _fit(spark, folder), path)
+    tables.write_csv(signal(spark, folder).select("o_orderkey", *FEATURES), rows)
+    return rounded(T.explain(saved.load_model(spark, path), tables.read_csv(spark, rows), "o_orderkey"))
+
+
+@query("feature_spec", """
+SELECT name, kind, place, n FROM (VALUES ('o_orderkey', 'numeric', 0), ('o_custkey', 'numeric', 1), ('o_totalprice', 'numeric', 2),
+  ('o_orderstatus', 'categorical', 3), ('o_orderdate', 'ignored', -1)) AS t(name, kind, place),
+  (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderstatus', 'o_orderdate']) AS c,
+          unnest([count(o_orderkey), count(o_custkey), count(o_totalprice), count(o_orderstatus), count(o_orderdate)]) AS n FROM orders) WHERE c = name""")
+def feature_spec(spark, folder):
+    """How a model reads each column of a table, its place in the vector, and the values that are present."""
+    orders = table(spark, folder, "orders")
+    spec = FeatureSpec.from_df(orders, "o_orderpriority")
+    kinds = {**dict.fromkeys(spec.numeric, "numeric"), **dict.fromkeys(spec.categorical, "categorical"), **dict.fromkeys(spec.ignored, "ignored")}
+    place = {c: i for i, c in enumerate(spec.vector_names)}
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("kind"), F.lit(place.get(c, -1)).alias("place"), F.col(f"n_{c}").alias("n"))
+                     for c, k in kinds.items()])
+    return orders.agg(*[F.count(c).alias(f"n_{c}") for c in kinds]).select(F.inline(rows))
+
+
 @query("global_contributions", f"""
 SELECT feature, round(avg(abs(contribution)), 6) AS importance FROM ({_CONTRIB}) GROUP BY feature""")
 def global_contributions(spark, folder):
@@ -174,6 +202,29 @@ def runs_compare(spark, folder):
     return _history(spark, folder).compare("r2")
 
 
+@query("runs_detail", f"""
+SELECT metric, value, 5000.0::DOUBLE AS alpha FROM ({_long(_run_metrics('5000.0'))})""")
+def runs_detail(spark, folder):
+    """All that is kept of one run."""
+    history = _history(spark, folder)
+    last = history.runs().orderBy(F.desc("started_at")).first()["run_id"]
+    found = history.detail(last)
+    rows = [(m, v, float(found["params"]["alpha"])) for m, v in found["metrics"].items()]
+    return spark.createDataFrame(rows, "metric string, value double, alpha double")
+
+
+@query("runs_after_clear", f"""
+SELECT '2024-01-03 | linear | y' AS run, 'linear' AS model, r2 AS value FROM ({_run_metrics('5.0')})""")
+def runs_after_clear(spark, folder):
+    """A history that was cleared, appended to and compacted."""
+    history = _history(spark, folder)
+    history.clear()
+    run = _run(spark, folder, params={"alpha": 5.0})
+    history.append("linear", "regression", "y", run.metrics, started_at="2024-01-03")
+    history.compact()
+    return history.compare("r2")
+
+
 @query("history_csv", f"""
 SELECT 'linear' AS model, 'y' AS target, mae, r2, rmse FROM ({_run_metrics('1.0')})
 UNION ALL SELECT 'linear', 'y', mae, r2, rmse FROM ({_run_metrics('5000.0')})""")
@@ -184,13 +235,16 @@ def history_csv(spark, folder):
     return tables.read_csv(spark, path).select("model", "target", "mae", "r2", "rmse")
 
 
-_ALPHAS = [t["alpha"] for t in tuning.draw_trials("linear", tuning.search_space("linear"), 5, "regression", 42)]
+# the first points of the sequence of base 2, over the range of the penalty
+_ALPHAS = """(SELECT trial, 0.01 + (50.0 - 0.01) * sum((((trial >> place) + ('0x' || substr(md5(concat_ws('|', 'halton', '42', '2', place)), 1, 8))::BIGINT) % 2)
+                    * power(0.5, place + 1) ORDER BY place) AS alpha
+  FROM (SELECT unnest(range(1, 6)) AS trial), (SELECT unnest(range(30)) AS place) GROUP BY trial)"""
 
 
 @query("tune_ridge", f"""
 SELECT trial, value, max(value) OVER (ORDER BY trial) AS best FROM (
   SELECT trial::INT AS trial, round({_R2}, 9) AS value
-  FROM {_TEST}, {_ridge(f"{_TRAIN}, (SELECT unnest({_ALPHAS}) AS alpha, unnest(range(1, 6)) AS trial)", "alpha", "trial, alpha")}
+  FROM {_TEST}, {_ridge(f"{_TRAIN}, {_ALPHAS}", "alpha", "trial, alpha")}
   GROUP BY trial)""")
 def tune_ridge(spark, folder):
     data = signal(spark, folder).select("o_orderkey", *FEATURES, "y")
@@ -221,6 +275,16 @@ def cv_rollup(spark, folder):
     return rounded(metrics.rollup_scores(_folds(spark, folder)), 9)
 
 
+@query("run_metrics_cv", f"""
+{_long(_run_metrics(str(ALPHA)))}
+UNION ALL SELECT 'cv_r2_mean', round_even(avg(score) * 1000, 0) / 1000 FROM ({_CV})
+UNION ALL SELECT 'cv_r2_std', round_even(stddev_pop(score) * 1000, 0) / 1000 FROM ({_CV})""")
+def run_metrics_cv(spark, folder):
+    """A run with folds: hold-out metrics, and the mean and spread over the folds."""
+    run = _run(spark, folder, params={"alpha": ALPHA}, cv=5)
+    return spark.createDataFrame(list(run.metrics.items()), "metric string, value double")
+
+
 _CURVE = f"""
 WITH d AS (SELECT *, {_FOLD.format(k=3)} AS f, {sql_hash('prefix42', 'o_orderkey')} % 10000 AS b FROM {_XY}),
 t AS (SELECT d.*, fold, share FROM d, (SELECT unnest(range(3)) AS fold), (SELECT unnest([2000, 4000, 6000, 8000, 10000]) AS share)
@@ -326,6 +390,83 @@ def boosting_contributions_sum(spark, folder):
     return _adds_up(spark, folder, F.col("prediction"), "gradient_boosting", _BOOST, None)
 
 
+# One tree of two levels and its contributions: the best splits by variance, and the two players of each path.
+
+PARTS = "(SELECT p_partkey, p_size AS size, p_partkey % 7 AS rest, p_size + 3 * (p_partkey % 7) + (p_partkey % 13) / 10.0 AS y FROM part)"
+
+
+def _best_split(rows: str, by: str) -> str:
+    """(by, j, v): the feature (0 size, 1 rest) and the last value that goes left, of the largest gain."""
+    return f"""(SELECT {by}, j, v FROM (
+      SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, j, v) AS pos FROM (
+        SELECT {by}, j, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER t AS nt, sum(s) OVER t AS st FROM (
+          SELECT {by}, j, v, count(*)::DOUBLE AS n, sum(y) AS s FROM (
+            SELECT {by}, 0 AS j, size AS v, y FROM {rows} UNION ALL SELECT {by}, 1, rest, y FROM {rows}) GROUP BY ALL)
+        WINDOW w AS (PARTITION BY {by}, j ORDER BY v), t AS (PARTITION BY {by}, j)) WHERE nl < nt) WHERE pos = 1)"""
+
+
+@query("tree_contributions_small", f"""
+WITH d AS (SELECT *, 0 AS root FROM {PARTS}),
+a AS (SELECT j AS j1, v AS v1 FROM {_best_split('d', 'root')}),
+e AS (SELECT d.*, j1, v1, (CASE j1 WHEN 0 THEN size ELSE rest END <= v1)::INT AS side FROM d, a),
+b AS (SELECT side, j AS j2, v AS v2 FROM {_best_split('e', 'side')}),
+l AS (SELECT e.*, j2, v2, (CASE j2 WHEN 0 THEN size ELSE rest END <= v2)::INT AS under FROM e JOIN b USING (side)),
+n AS (SELECT side, count(*)::DOUBLE AS n1 FROM l GROUP BY side),
+leaf AS (SELECT side, under, any_value(j1) AS j1, any_value(v1) AS v1, any_value(j2) AS j2, any_value(v2) AS v2, avg(y) AS value,
+                any_value(n1) / (SELECT count(*) FROM d) AS z1, count(*) / any_value(n1) AS z2 FROM l JOIN n USING (side) GROUP BY side, under),
+met AS (SELECT p_partkey, leaf.*, ((CASE j1 WHEN 0 THEN size ELSE rest END <= v1)::INT = side)::INT AS o1,
+               ((CASE j2 WHEN 0 THEN size ELSE rest END <= v2)::INT = under)::INT AS o2 FROM d, leaf),
+phi AS (SELECT p_partkey, j1 AS j, CASE WHEN j1 = j2 THEN value * (o1 * o2 - z1 * z2) ELSE value * (o1 - z1) * (z2 + o2) / 2 END AS c FROM met
+        UNION ALL SELECT p_partkey, j2, CASE WHEN j1 = j2 THEN 0 ELSE value * (o2 - z2) * (z1 + o1) / 2 END FROM met)
+SELECT d.p_partkey, f.feature, round(coalesce(sum(phi.c), 0), 6) AS contribution, round((SELECT avg(y) FROM d), 6) AS base_value
+FROM d CROSS JOIN (SELECT unnest([0, 1]) AS j, unnest(['size', 'rest']) AS feature) f LEFT JOIN phi ON phi.p_partkey = d.p_partkey AND phi.j = f.j
+GROUP BY d.p_partkey, f.feature""")
+def tree_contributions_small(spark, folder):
+    key = F.col("p_partkey")
+    data = table(spark, folder, "part").select("p_partkey", F.col("p_size").alias("size"), (key % 7).alias("rest"),
+                                               (F.col("p_size") + 3 * (key % 7) + (key % 13) / 10.0).alias("y"))
+    # a forest would draw a sample of the rows even for one tree
+    fitted = T.fit(data.drop("p_partkey"), "y", "gradient_boosting", {"n_estimators": 1, "max_depth": 2, "learning_rate": 1.0})
+    return rounded(T.explain(fitted, data, "p_partkey"))
+
+
+# Two rounds of joint boosting, a split a tree.
+
+def _boosted_round(number: int, rate: float) -> str:
+    f, g, b, leaf = (f"{name}{number}" for name in "fgbl")
+    return f"""
+{g} AS (SELECT *, (cls = k)::INT - exp(f) / sum(exp(f)) OVER (PARTITION BY q, d) AS g FROM {f}),
+{b} AS (SELECT k, j, v FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY ((nt - nl) * sl - nl * (st - sl)) ** 2 / (nl * (nt - nl)) DESC, j, v) AS pos FROM (
+    SELECT k, j, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER t AS nt, sum(s) OVER t AS st FROM (
+      SELECT k, 0 AS j, q AS v, sum(n) AS n, sum(n * g) AS s FROM {g} GROUP BY k, q
+      UNION ALL SELECT k, 1, d, sum(n), sum(n * g) FROM {g} GROUP BY k, d)
+    WINDOW w AS (PARTITION BY k, j ORDER BY v), t AS (PARTITION BY k, j)) WHERE nl < nt) WHERE pos = 1),
+{leaf} AS (SELECT k, CASE j WHEN 0 THEN q ELSE d END <= v AS under, 2.0 / 3 * sum(n * g) / sum(n * abs(g) * (1 - abs(g))) AS out
+  FROM {g} JOIN {b} USING (k) GROUP BY 1, 2),
+f{number + 1} AS (SELECT q, d, cls, n, {g}.k, f + {rate} * out AS f FROM {g} JOIN {b} USING (k)
+  JOIN {leaf} ON {leaf}.k = {g}.k AND {leaf}.under = (CASE j WHEN 0 THEN q ELSE d END <= v))"""
+
+
+_LEVELS = "(3 * l_quantity - 100 * l_discount > 40)::INT + (3 * l_quantity - 100 * l_discount > 100)::INT"
+
+
+@query("gbt_joint", f"""
+WITH x AS (SELECT l_quantity AS q, l_discount AS d, {_LEVELS} AS cls, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL),
+f1 AS (SELECT q, d, cls, n, k, p AS f FROM x, (SELECT cls AS k, ln(sum(n) / (SELECT sum(n) FROM x)) AS p FROM x GROUP BY cls)),
+{_boosted_round(1, 0.3)}, {_boosted_round(2, 0.3)},
+p AS (SELECT q, d, k, exp(f) / sum(exp(f)) OVER (PARTITION BY q, d) AS p FROM f3)
+SELECT q AS l_quantity, d AS l_discount, k::INT AS class, round(p, 6) AS probability FROM p""")
+def gbt_joint(spark, folder):
+    data = table(spark, folder, "lineitem").select("l_quantity", "l_discount")
+    y = 3 * F.col("l_quantity") - 100 * F.col("l_discount")
+    data = data.withColumn("label", (y > 40).cast("int") + (y > 100).cast("int"))
+    fitted = T.fit(data, "label", "gradient_boosting", {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.3})
+    cells = data.select("l_quantity", "l_discount").distinct()
+    scored = fitted.predict(cells, ["l_quantity", "l_discount"])
+    return rounded(scored.select("l_quantity", "l_discount", F.posexplode("probability").alias("class", "probability")), 6, "probability")
+
+
 @query("forest_reload", "SELECT o_orderkey, true AS same FROM orders")
 def forest_reload(spark, folder):
     """A saved and reloaded forest gives the same predictions, row by row."""

@@ -13,6 +13,7 @@ import tabspark as ts
 from tabspark.operators import metrics, mlp, models, trees
 from tabspark.plans import train as plan, tuning
 from tabspark.plans.run import RunSpec
+from tabspark.sources.runs import Runs
 
 SMALL = {"random_forest": {"n_estimators": 8, "max_depth": 4},
          "gradient_boosting": {"n_estimators": 5, "max_depth": 3}, "linear": None}
@@ -152,23 +153,35 @@ def test_contributions_add_up(clf_df, reg_df, model, target, output):
     assert names == set(fitted.spec.vector_names)
 
 
-def test_tree_contributions_are_shapley_values(reg_df):
+def test_tree_contributions_are_shapley_values(reg_df, monkeypatch):
     """Against the definition: all subsets of features, absent ones averaged by cover."""
     fitted = ts.fit(reg_df, "price", "random_forest", {"n_estimators": 3, "max_depth": 4})
-    found = trees.leaves(reg_df.sparkSession, fitted.core.model, None, False)
+    blocks = [r.asDict() for r in trees.leaf_blocks(reg_df.sparkSession, fitted.core.model, None, False).collect()]
+    found = []
+    for b in blocks:
+        arrays = {c: np.frombuffer(b[c], k) for c, k in trees._KINDS.items()}
+        found += zip(arrays["value"], *[arrays[c].reshape(b["leaves"], b["depth"]) for c in ("feature", "low", "high", "share")])
     x = np.array([r.x for r in fitted.prepared(reg_df).select(vector_to_array("features").alias("x")).limit(5).collect()])
     width = x.shape[1]
 
     def game(row, present):
         total = 0.0
-        for leaf in found:
+        for value, *paths in found:
             share = 1.0
-            for f, low, high, z in zip(leaf.features, leaf.low, leaf.high, leaf.share):
+            for f, low, high, z in zip(*paths):
                 share *= float(low < row[f] <= high) if f in present else z
-            total += leaf.value * share
+            total += value * share
         return total
 
-    got = trees.leaf_contributions(found, x)
+    def contributions(table_depth):
+        monkeypatch.setattr(trees, "TABLE_DEPTH", table_depth)
+        phi = np.zeros_like(x)
+        for group in trees.groups(blocks):
+            group.add(phi, x)
+        return phi
+
+    got = contributions(6)
+    assert contributions(1) == pytest.approx(got, rel=1e-9)          # by integration instead of patterns
     for row, phi in zip(x, got):
         for i in range(width):
             others = [j for j in range(width) if j != i]
@@ -179,6 +192,17 @@ def test_tree_contributions_are_shapley_values(reg_df):
             assert phi[i] == pytest.approx(expected, rel=1e-9, abs=1e-6)
 
 
+def test_contributions_in_rounds(reg_df, monkeypatch):
+    """A model that does not fit into one round gives the same sums."""
+    df = reg_df.withColumn("id", F.monotonically_increasing_id())
+    fitted = ts.fit(df.drop("id"), "price", "random_forest", {"n_estimators": 4, "max_depth": 5})
+    whole = {(r.id, r.feature): r.contribution for r in ts.explain(fitted, df, "id").collect()}
+    monkeypatch.setattr(trees, "ROUND_BYTES", 3000)
+    monkeypatch.setattr(trees, "BLOCK_CELLS", 40)
+    parts = {(r.id, r.feature): r.contribution for r in ts.explain(fitted, df, "id").collect()}
+    assert len(whole) == 240 * 4 and parts == pytest.approx(whole, rel=1e-9, abs=1e-9)
+
+
 def test_waterfall_and_global(reg_df):
     df = reg_df.withColumn("id", F.monotonically_increasing_id())
     fitted = ts.fit(df.drop("id"), "price", "linear", {"alpha": 1.0})
@@ -241,6 +265,44 @@ def test_logistic(signal):
     assert core.model.coefficients.toArray() == pytest.approx(w[:3], rel=1e-3)
 
 
+def test_softmax_boosting(signal, monkeypatch):
+    """Against plain boosting in NumPy, with splits between all values and scores written anew on the way."""
+    from tabspark.operators import boosting
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    df, x, _ = signal
+    x = np.floor(x * 4) / 4
+    y = np.array([r.k for r in df.select("k").collect()])
+    rows = [(*map(float, r), int(k)) for r, k in zip(x, y)]
+    told = df.sparkSession.createDataFrame(rows, "a double, b double, c double, k int").repartition(5)
+    data = told.select(array_to_vector(F.array("a", "c")).alias("features"), F.col("k").cast("double").alias("label"))
+    core = boosting.fit_softmax(data, 3, {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 2, "min_samples_leaf": 5}, 1)
+    x = x[:, [0, 2]]
+    raw = np.tile(np.log(np.bincount(y) / len(y)), (len(y), 1))
+    for _ in range(5):
+        p = boosting.softmax(raw)
+        for k in range(3):
+            g = (y == k) - p[:, k]
+            parts = [np.arange(len(y))]
+            for _ in range(2):
+                after = []
+                for part in parts:
+                    best = (0.0, None)
+                    for f in range(2):
+                        for v in np.unique(x[part, f])[:-1]:
+                            left, right = part[x[part, f] <= v], part[x[part, f] > v]
+                            if min(len(left), len(right)) >= 5:
+                                gain = len(left) * len(right) * (g[left].mean() - g[right].mean()) ** 2
+                                best = max(best, (gain, [left, right]), key=lambda b: b[0])
+                    after += best[1] or [part]
+                parts = after
+            for part in parts:
+                raw[part, k] += 0.3 * 2 / 3 * g[part].sum() / (np.abs(g[part]) * (1 - np.abs(g[part]))).sum()
+    assert core.raw(x) == pytest.approx(raw, abs=1e-9)
+    assert sum(core.importances(2)) == pytest.approx(1)
+    again = boosting.SoftmaxCore.from_dict(core.as_dict())
+    assert (again.raw(x) == core.raw(x)).all()
+
+
 def test_models_find_the_signal(signal):
     """Well above the constant predictor, on some 80 test rows."""
     df = signal[0].select("a", "b", "c", "k")
@@ -266,6 +328,51 @@ def test_ridge_trials_equal_separate_fits(signal):
             assert entry["value"] == pytest.approx(expected, abs=1e-6)
 
 
+def _gappy(spark, rows=300):
+    """Gaps in numbers and categories, a category that small parts lack, and a constant column."""
+    rng = np.random.default_rng(3)
+    out = []
+    for i in range(rows):
+        a, b = float(rng.normal(50, 9)), float(rng.gamma(2))
+        c = "rare" if i % 97 == 0 else str(rng.choice(["x", "y", "z"]))
+        y = 2 * a - 5 * b + 7 * (c == "y") + float(rng.normal())
+        out.append((i, None if i % 7 == 0 else a, None if i % 11 == 0 else b, None if i % 13 == 0 else c, 4, y))
+    return spark.createDataFrame(out, "id bigint, a double, b double, c string, same int, y double")
+
+
+def test_cube_equals_separate_fits(spark, monkeypatch):
+    """Curves, folds and trials from the cube, and from a preparation and a fit for each part."""
+    df = _gappy(spark)
+    args = {"key": ["id"], "exclude": ["id"]}
+
+    def results():
+        curve = ts.learning_curve(df, "y", "linear", {"alpha": 3.0}, **args).collect()
+        folds = ts.cross_validate(df, "y", "linear", {"alpha": 0.5}, 4, **args).orderBy("fold").collect()
+        trials = [ts.tune(df, "y", "linear", 3, cv=cv, tune_on=on, **args).log for cv, on in ((None, "holdout"), (3, "holdout"), (None, "validation"))]
+        return ([v for r in curve for v in r[:-1]] + [r.score for r in folds] + [e["value"] for log in trials for e in log])
+
+    from_cube = results()
+    monkeypatch.setattr("tabspark.operators.cube.MOST_COLUMNS", 1)
+    assert len(from_cube) == 5 * 5 + 4 + 9 and results() == pytest.approx(from_cube, abs=1e-8)
+
+
+def _jobs(spark, call) -> int:
+    """How many Spark jobs a call runs."""
+    spark.sparkContext.setJobGroup(f"counted{id(call)}", "")
+    try:
+        call()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"counted{id(call)}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_more_points_need_no_more_passes(spark):
+    df = _gappy(spark).persist()
+    few = _jobs(spark, lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=(0.5, 1.0), folds=2))
+    many = _jobs(spark, lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=tuple(i / 10 for i in range(1, 11)), folds=5))
+    assert few == many
+
+
 def test_trial_log(spark, signal):
     found = ts.tune(signal[0].select("a", "b", "c", "y"), "y", "linear", 4, tune_on="validation")
     rows = found.trials(spark).orderBy("trial").collect()
@@ -409,6 +516,28 @@ def test_ignored_columns_are_reported(spark):
     assert fitted.spec.ignored == ("at",) and fitted.spec.vector_names == ["x"]
 
 
+def test_history_is_never_half_a_run(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    runs = [Runs(spark, str(tmp_path / "runs")) for _ in range(4)]
+    assert runs[0].runs().count() == 0 and runs[0].metrics().count() == 0
+    with ThreadPoolExecutor(4) as pool:          # appends at once from several handles
+        ids = list(pool.map(lambda i: runs[i % 4].append("linear", "regression", "y", {"r2": i / 10, "mae": None}, started_at=f"{i}"), range(8)))
+    assert {r.run_id: r.value for r in runs[0].metrics().collect()} == {ids[i]: i / 10 for i in range(8)}
+    (tmp_path / "runs" / "log" / "broken" / "_temporary").mkdir(parents=True)     # an append that never ended
+    assert runs[1].runs().count() == 8
+    runs[1].clear()
+    last = runs[2].append("linear", "regression", "y", {"r2": 0.5}, params={"alpha": 1})
+    for _ in range(2):
+        assert [r.run_id for r in runs[3].runs().collect()] == [last] and runs[3].detail(last)["params"] == {"alpha": 1}
+        runs[3].append("linear", "regression", "z", {"r2": 0.1})
+        runs[3].clear()
+        last = runs[3].append("linear", "regression", "y", {"r2": 0.7}, params={"alpha": 1})
+        runs[0].compact()
+        runs[0].compact()
+    with pytest.raises(KeyError):
+        runs[0].detail(ids[0])
+
+
 def test_history_and_replay(spark, signal, tmp_path):
     df = signal[0].select("a", "b", "c", "y")
     runs = ts.Runs(spark, str(tmp_path / "runs"))
