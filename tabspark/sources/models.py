@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from tabspark.operators import models
 from tabspark.operators.boosting import SoftmaxCore
 from tabspark.operators.mlp import NetCore, flatten, unflatten
+from tabspark.operators.newton import LogisticCore
 from tabspark.operators.prep import FeatureSpec, LabelCodec, TablePrepModel
 from tabspark.plans.train import Fitted
 
@@ -30,6 +31,8 @@ def _save_core(core, path: str) -> dict:
             for i, m in enumerate(core.models):
                 m.write().overwrite().save(f"{path}/{i}")
             return {"kind": "one_vs_rest", "classes": core.classes}
+        case LogisticCore():
+            return {"kind": "logistic", **asdict(core)}
         case SoftmaxCore():
             return {"kind": "softmax", **core.as_dict()}
         case models.RidgeCore():
@@ -52,6 +55,8 @@ def _load_core(about: dict, path: str):
         case "one_vs_rest":
             return models.OneVsRestCore([GBTClassificationModel.load(f"{path}/{i}") for i in range(about["classes"])],
                                         about["classes"])
+        case "logistic":
+            return LogisticCore(about["coefficients"], about["intercepts"], about["classes"], about["means"])
         case "softmax":
             return SoftmaxCore.from_dict(about)
         case "ridge":

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabspark.functions.columns import agg_row, col, nan_to_null
+from tabspark.sources.records import split_records
 
 # Texts that mean "missing" in a CSV file.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -22,15 +22,15 @@ def read_csv(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOK
 
     One aggregate over the text decides all types. A whole-number column with gaps stays
     bigint. Unless ``multiline`` says so, a scan of the lines finds out whether any quoted
-    value has a line break (a line with an odd number of quotes); only then are files read
-    whole, otherwise Spark splits them.
+    value has a line break (a line with an odd number of quotes). Only then are records put together
+    from lines of all splits; otherwise Spark's reader takes them as they are.
     """
     if multiline is None:
         lines = spark.read.text(path)
         odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = lines.filter(odd % 2 == 1).limit(1).count() > 0
-    text = (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"')
-            .option("escape", '"').csv(path))
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    text = _from_records(spark, path, reader.option("multiLine", True).csv(path).columns) if multiline else reader.csv(path)
     raw = text.select([F.when(~col(c).isin(*na_tokens), col(c)).alias(c) for c in text.columns])
     exprs = {}
     for c in raw.columns:
@@ -56,6 +56,17 @@ def read_csv(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOK
     return raw.select(typed)
 
 
+def _from_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """All columns as texts, from records that may hold line breaks; the first record of each file is its header."""
+    records = split_records(spark, path)
+    heads = records.groupBy("file").agg(F.min(F.struct("split", "at")).alias("head"))
+    rows = records.join(heads, "file").where((F.col("split") != F.col("head.split")) | (F.col("at") != F.col("head.at")))
+    rows = rows.where(F.length(F.trim("record")) > 0)
+    places = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    parsed = F.from_csv("record", places.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    return rows.select(parsed.alias("_r")).select([F.col(f"_r._{i}").alias(n) for i, n in enumerate(names)])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV folder with headers; missing values are empty fields."""
     (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')

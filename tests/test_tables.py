@@ -291,3 +291,30 @@ def test_project_keeps_raw(spark, x):
     assert project.working.filter("x is null").count() == 0 and project.raw.filter("x is null").count() == 1
     assert project.load(x).recipe.steps == []
     assert tuple(ts.delta(project.raw, clean.drop_null_target(x, "x")).first()) == (-1, 0)
+
+
+def test_csv_with_line_breaks_is_split(spark, tmp_path):
+    """Quoted line breaks, quotes and commas, over many splits of several files."""
+    import csv
+    rng = np.random.default_rng(1)
+    bits = ["plain", "a, b", 'say ""so""'.replace('""', '"'), "two\nlines", "\n\n", "end\n", '"', "x" * 400, "r\r\nn", ""]
+    want = []
+    for f in range(3):
+        with open(tmp_path / f"part-{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n" if f else "\r\n")
+            writer.writerow(["id", "a text", "n"])
+            for i in range(150):
+                row = (1000 * f + i, " ".join(rng.choice(bits, 3)) + "|", int(rng.integers(9)))
+                want.append(row)
+                writer.writerow(row)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        from tabspark.sources.records import split_records
+        assert split_records(spark, str(tmp_path)).select("file", "split").distinct().count() > 20
+        got = ts.read_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(map(tuple, got)) == sorted(want)
