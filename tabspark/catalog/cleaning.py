@@ -199,6 +199,16 @@ def ordinal_encode_large(spark, folder):
     return prep.ordinal_encode(table(spark, folder, "customer").select("c_custkey", "c_name"), ["c_name"])
 
 
+@query("ordinal_encode_hot", """
+SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY tag) - 1)::DOUBLE AS tag FROM (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'hot' ELSE l_orderkey || '-' || l_linenumber END AS tag FROM lineitem)""")
+def ordinal_encode_hot(spark, folder):
+    """Half of all rows share a value, and the dictionary is too large to be sent along: it is joined, the hot rows apart."""
+    lines = table(spark, folder, "lineitem")
+    tag = F.when(F.col("l_quantity") > 25, "hot").otherwise(F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return prep.ordinal_encode(lines.select("l_orderkey", "l_linenumber", tag.alias("tag")), ["tag"], listed=10, broadcast=10)
+
+
 @query("ordinal_encode_unseen", """
 SELECT o.o_orderkey, coalesce(k.code, -1.0)::DOUBLE AS o_orderpriority FROM orders o LEFT JOIN (
   SELECT DISTINCT o_orderpriority, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS code

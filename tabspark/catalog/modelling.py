@@ -344,6 +344,35 @@ for _name, _args in {
     query(_name)(lambda spark, folder, a=_args: _evaluated(spark, folder, *a))
 
 
+# Newton steps in SQL, on two scaled features and an intercept.
+
+_STEPS = f"""
+WITH RECURSIVE raw AS (SELECT o_totalprice AS a, c_acctbal AS b, (y > 15)::INT AS t FROM {SIGNAL}),
+d AS (SELECT (a - (SELECT avg(a) FROM raw)) / (SELECT stddev_pop(a) FROM raw) AS x, (b - (SELECT avg(b) FROM raw)) / (SELECT stddev_pop(b) FROM raw) AS z, t FROM raw),
+it AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
+  UNION ALL
+  SELECT i + 1, c - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+         u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+         v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT i, c, u, v, sum(p - t) AS g0, sum((p - t) * x) + u / {{C}} AS g1, sum((p - t) * z) + v / {{C}} AS g2, sum(q) AS h00, sum(q * x) AS h01,
+           sum(q * z) AS h02, sum(q * x * x) + 1 / {{C}} AS h11, sum(q * x * z) AS h12, sum(q * z * z) + 1 / {{C}} AS h22
+    FROM (SELECT *, p * (1 - p) AS q FROM (SELECT it.*, x, z, t, 1 / (1 + exp(-(c + u * x + v * z))) AS p FROM it, d WHERE i < 25)) GROUP BY i, c, u, v)))
+SELECT {{C}}::DOUBLE AS strength, unnest(['o_totalprice', 'c_acctbal', '(intercept)']) AS feature, unnest([round(u, 5), round(v, 5), round(c, 5)]) AS weight
+FROM it WHERE i = 25"""
+
+
+@query("logistic_fit", f"SELECT * FROM ({_STEPS.replace('{C}', '1.0')}) UNION ALL SELECT * FROM ({_STEPS.replace('{C}', '0.01')})")
+def logistic_fit(spark, folder):
+    """Weights for two penalties."""
+    data, out = signal_classes(spark, folder).select(*FEATURES, "label"), []
+    for strength in (1.0, 0.01):
+        core = T.fit(data, "label", "linear", {"C": strength}).core
+        out += [(strength, f, w) for f, w in zip([*FEATURES, "(intercept)"], [*core.coefficients[0], core.intercepts[0]])]
+    return rounded(spark.createDataFrame(out, "strength double, feature string, weight double"), 5)
+
+
 def _forest(spark, folder, model="random_forest", params=None, classes=2):
     data = signal_classes(spark, folder, classes) if classes else signal(spark, folder)
     target = "label" if classes else "y"
@@ -396,21 +425,80 @@ PARTS = "(SELECT p_partkey, p_size AS size, p_partkey % 7 AS rest, p_size + 3 *
 
 
 def _best_split(rows: str, by: str) -> str:
-    """(by, j, v): the feature (0 size, 1 rest) and the last value that goes left, of the largest gain."""
-    return f"""(SELECT {by}, j, v FROM (
-      SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, j, v) AS pos FROM (
+    """(by, j, v, gain): the feature (0 size, 1 rest) and the last value that goes left, of the largest gain in the sum of squares."""
+    return f"""(SELECT {by}, j, v, gain FROM (
+      SELECT *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt AS gain,
+             row_number() OVER (PARTITION BY {by} ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, j, v) AS pos FROM (
         SELECT {by}, j, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER t AS nt, sum(s) OVER t AS st FROM (
           SELECT {by}, j, v, count(*)::DOUBLE AS n, sum(y) AS s FROM (
             SELECT {by}, 0 AS j, size AS v, y FROM {rows} UNION ALL SELECT {by}, 1, rest, y FROM {rows}) GROUP BY ALL)
         WINDOW w AS (PARTITION BY {by}, j ORDER BY v), t AS (PARTITION BY {by}, j)) WHERE nl < nt) WHERE pos = 1)"""
 
 
-@query("tree_contributions_small", f"""
-WITH d AS (SELECT *, 0 AS root FROM {PARTS}),
-a AS (SELECT j AS j1, v AS v1 FROM {_best_split('d', 'root')}),
+def _tree(rows: str) -> str:
+    """CTEs of a tree of two levels: d the rows, a and b the splits, l the rows with their leaf (side, under)."""
+    return f"""d AS (SELECT *, 0 AS root FROM {rows}),
+a AS (SELECT j AS j1, v AS v1, gain FROM {_best_split('d', 'root')}),
 e AS (SELECT d.*, j1, v1, (CASE j1 WHEN 0 THEN size ELSE rest END <= v1)::INT AS side FROM d, a),
-b AS (SELECT side, j AS j2, v AS v2 FROM {_best_split('e', 'side')}),
-l AS (SELECT e.*, j2, v2, (CASE j2 WHEN 0 THEN size ELSE rest END <= v2)::INT AS under FROM e JOIN b USING (side)),
+b AS (SELECT side, j AS j2, v AS v2, gain FROM {_best_split('e', 'side')}),
+l AS (SELECT e.*, j2, v2, (CASE j2 WHEN 0 THEN size ELSE rest END <= v2)::INT AS under FROM e JOIN b USING (side))"""
+
+
+def _parts(spark, folder, label=None):
+    key = F.col("p_partkey")
+    y = F.col("p_size") + 3 * (key % 7) + (key % 13) / 10.0
+    return table(spark, folder, "part").select(key, F.col("p_size").alias("size"), (key % 7).alias("rest"),
+                                               y.alias("y") if label is None else (y > label).cast("int").alias("y"))
+
+
+#: One tree that sees all rows and features.
+_ONE_TREE = {"n_estimators": 1, "max_depth": 2, "max_features": "all", "bootstrap": False}
+_HIGH = f"(SELECT p_partkey, size, rest, (y > 35)::INT AS y FROM {PARTS})"
+
+
+@query("forest_regress_small", f"WITH {_tree(PARTS)} SELECT p_partkey, round(avg(y) OVER (PARTITION BY side, under), 6) AS prediction FROM l")
+def forest_regress_small(spark, folder):
+    data = _parts(spark, folder)
+    return rounded(T.fit(data.drop("p_partkey"), "y", "random_forest", _ONE_TREE).predict(data, ["p_partkey"]))
+
+
+# leaves that tell the same class are put together with their sibling
+@query("forest_proba_small", f"""
+WITH {_tree(_HIGH)},
+q AS (SELECT *, avg(y) OVER (PARTITION BY side, under) AS leaf, avg(y) OVER (PARTITION BY side) AS half, avg(y) OVER () AS whole FROM l),
+m AS (SELECT *, min(leaf > 0.5) OVER (PARTITION BY side) = max(leaf > 0.5) OVER (PARTITION BY side) AS same FROM q),
+o AS (SELECT *, bool_and(same) OVER () AND min(half > 0.5) OVER () = max(half > 0.5) OVER () AS all_same FROM m),
+p AS (SELECT p_partkey, CASE WHEN all_same THEN whole WHEN same THEN half ELSE leaf END AS p FROM o)
+SELECT p_partkey, unnest([0, 1]) AS class, unnest([round_even((1 - p) * 10000, 0) / 10000, round_even(p * 10000, 0) / 10000]) AS probability FROM p""")
+def forest_proba_small(spark, folder):
+    data = _parts(spark, folder, 35)
+    return T.score_proba(T.fit(data.drop("p_partkey"), "y", "random_forest", _ONE_TREE), data, "p_partkey")
+
+
+@query("importance_small", f"""
+WITH {_tree(PARTS)}, g AS (SELECT j1 AS j, gain FROM a UNION ALL SELECT j2, gain FROM b)
+SELECT f.feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM g), 6) AS importance
+FROM (SELECT unnest([0, 1]) AS j, unnest(['size', 'rest']) AS feature) f LEFT JOIN g USING (j) GROUP BY f.feature""")
+def importance_small(spark, folder):
+    return rounded(T.feature_importance(T.fit(_parts(spark, folder).drop("p_partkey"), "y", "random_forest", _ONE_TREE)))
+
+
+# the second tree of squared loss learns twice the rest, as the slope of the loss is
+@query("gbt_regress_small", f"""
+WITH d AS (SELECT *, 0 AS root FROM {PARTS}),
+a AS (SELECT j, v FROM {_best_split('d', 'root')}),
+e AS (SELECT d.p_partkey, size, rest, root, avg(y) OVER (PARTITION BY CASE j WHEN 0 THEN size ELSE rest END <= v) AS f1, d.y AS whole FROM d, a),
+r AS (SELECT *, 2 * (whole - f1) AS y FROM e),
+b AS (SELECT j, v FROM {_best_split('r', 'root')})
+SELECT p_partkey, round(f1 + 0.3 * avg(y) OVER (PARTITION BY CASE j WHEN 0 THEN size ELSE rest END <= v), 6) AS prediction FROM r, b""")
+def gbt_regress_small(spark, folder):
+    data = _parts(spark, folder)
+    params = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.3}
+    return rounded(T.fit(data.drop("p_partkey"), "y", "gradient_boosting", params).predict(data, ["p_partkey"]))
+
+
+@query("tree_contributions_small", f"""
+WITH {_tree(PARTS)},
 n AS (SELECT side, count(*)::DOUBLE AS n1 FROM l GROUP BY side),
 leaf AS (SELECT side, under, any_value(j1) AS j1, any_value(v1) AS v1, any_value(j2) AS j2, any_value(v2) AS v2, avg(y) AS value,
                 any_value(n1) / (SELECT count(*) FROM d) AS z1, count(*) / any_value(n1) AS z2 FROM l JOIN n USING (side) GROUP BY side, under),
@@ -422,12 +510,8 @@ SELECT d.p_partkey, f.feature, round(coalesce(sum(phi.c), 0), 6) AS contribution
 FROM d CROSS JOIN (SELECT unnest([0, 1]) AS j, unnest(['size', 'rest']) AS feature) f LEFT JOIN phi ON phi.p_partkey = d.p_partkey AND phi.j = f.j
 GROUP BY d.p_partkey, f.feature""")
 def tree_contributions_small(spark, folder):
-    key = F.col("p_partkey")
-    data = table(spark, folder, "part").select("p_partkey", F.col("p_size").alias("size"), (key % 7).alias("rest"),
-                                               (F.col("p_size") + 3 * (key % 7) + (key % 13) / 10.0).alias("y"))
-    # a forest would draw a sample of the rows even for one tree
-    fitted = T.fit(data.drop("p_partkey"), "y", "gradient_boosting", {"n_estimators": 1, "max_depth": 2, "learning_rate": 1.0})
-    return rounded(T.explain(fitted, data, "p_partkey"))
+    data = _parts(spark, folder)
+    return rounded(T.explain(T.fit(data.drop("p_partkey"), "y", "random_forest", _ONE_TREE), data, "p_partkey"))
 
 
 # Two rounds of joint boosting, a split a tree.

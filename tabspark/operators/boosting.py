@@ -2,7 +2,7 @@
 
 A round adds a tree for each class, fitted to the gradients ``[y = k] - p_k`` of the log loss, with a Newton step in its
 leaves. The trees of a round grow together, level by level; one pass over the rows gives the histograms of all classes and
-nodes of a level, summed by Spark, and the driver picks the splits from them. Rows are packed once as blocks of bin numbers
+nodes of a level; Spark adds them up and picks the splits, and the driver gets a line for each. Rows are packed once as blocks of bin numbers
 beside their scores; the trees since the scores were last written are applied on the way.
 
 Splits lie between the distinct values of a feature, or between MAX_BINS quantiles where it has more values than bins.
@@ -230,14 +230,26 @@ def _level(shipped, classes: int, rate: float, share: float, seed: int):
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """In the order of the parts, so that the rounding is always the same."""
-    cells = table["sums"].combine_chunks()
-    total = None
-    for i in np.argsort(table["part"].to_numpy(), kind="stable").tolist():
-        one = np.frombuffer(cells[i].as_buffer())
-        total = one if total is None else total + one
-    return pa.table({"part": pa.array([0], pa.int64()), "k": table["k"].slice(0, 1), "node": table["node"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+SPLITS = "k int, node int, feature int, bin int, gain double, sums array<double>, low array<double>"
+
+
+def _chosen(splits: list[np.ndarray], least: int):
+    """The best split of a node, from the histograms of all tasks added up in order; only its sums leave Spark."""
+    def run(table: pa.Table) -> pa.Table:
+        cells = table["sums"].combine_chunks()
+        total = None
+        # in the order of the parts, so that the rounding is always the same
+        for i in np.argsort(table["part"].to_numpy(), kind="stable").tolist():
+            one = np.frombuffer(cells[i].as_buffer())
+            total = one if total is None else total + one
+        sums = total.reshape(3, len(splits), MAX_BINS)
+        found = best_split(sums, splits, least)
+        gain, f, b = found or (0.0, -1, 0)
+        whole = sums[:, max(f, 0)].sum(1)
+        low = sums[:, f, :b + 1].sum(1) if found else whole
+        return pa.table({"k": table["k"].slice(0, 1), "node": table["node"].slice(0, 1), "feature": pa.array([f], pa.int32()), "bin": pa.array([b], pa.int32()),
+                         "gain": pa.array([gain]), "sums": pa.array([whole.tolist()], pa.list_(pa.float64())), "low": pa.array([low.tolist()], pa.list_(pa.float64()))})
+    return run
 
 
 def best_split(sums: np.ndarray, splits: list[np.ndarray], least: int) -> tuple[float, int, int] | None:
@@ -266,7 +278,7 @@ def fit_softmax(data: DataFrame, classes: int, p: dict, seed: int) -> SoftmaxCor
     start = [float(np.log(min(max(counted.get(k, 0) / n, eps), 1 - eps))) for k in range(classes)]
     splits = split_values(rows, rows.select(F.size("x")).first()[0])
     rate, depth, least, share = float(p["learning_rate"]), int(p["max_depth"]), int(p.get("min_samples_leaf", 1)), float(p.get("subsample", 1.0))
-    spark, width = data.sparkSession, len(splits)
+    spark = data.sparkSession
 
     def written(df: DataFrame) -> DataFrame:
         path = scratch_path(spark, "boosting")
@@ -280,22 +292,19 @@ def fit_softmax(data: DataFrame, classes: int, p: dict, seed: int) -> SoftmaxCor
         opened = [[tree.new()] for tree in growing]
         for _ in range(depth):
             shipped = spark.sparkContext.broadcast((core.rounds[since:], growing, opened, number))
-            found = blocks.mapInArrow(_level(shipped, classes, rate, share, seed), HISTOGRAMS).groupBy("k", "node").applyInArrow(_summed, HISTOGRAMS)
-            # classes x nodes of a level, each of features x bins
+            found = blocks.mapInArrow(_level(shipped, classes, rate, share, seed), HISTOGRAMS)
+            found = found.groupBy("k", "node").applyInArrow(_chosen(splits, least), SPLITS)
             grown: list[list[int]] = [[] for _ in range(classes)]
-            for row in found.orderBy("k", "node").toLocalIterator():
-                tree, node = growing[row["k"]], row["node"]
-                sums = np.frombuffer(row["sums"]).reshape(3, width, MAX_BINS)
+            for row in sorted(found.collect(), key=lambda r: (r["k"], r["node"])):      # a row for each node of the level
+                tree, node, whole, low = growing[row["k"]], row["node"], np.array(row["sums"]), np.array(row["low"])
                 if node == 0:
-                    tree.rows[0], tree.value[0] = float(sums[0, 0].sum()), _newton(sums[:, 0].sum(1), classes)
-                split = best_split(sums, splits, least)
-                if split is None:
+                    tree.rows[0], tree.value[0] = float(whole[0]), _newton(whole, classes)
+                f, b = row["feature"], row["bin"]
+                if f < 0:
                     continue
-                gain, f, b = split
                 left = tree.new()
                 tree.new()
-                tree.feature[node], tree.bin[node], tree.cut[node], tree.left[node], tree.gain[node] = f, b, float(splits[f][b]), left, gain
-                low, whole = sums[:, f, :b + 1].sum(1), sums[:, f].sum(1)
+                tree.feature[node], tree.bin[node], tree.cut[node], tree.left[node], tree.gain[node] = f, b, float(splits[f][b]), left, row["gain"]
                 for child, part in ((left, low), (left + 1, whole - low)):
                     tree.rows[child], tree.value[child] = float(part[0]), _newton(part, classes)
                 grown[row["k"]] += [left, left + 1]

@@ -113,10 +113,11 @@ class LinearCube:
 
         rows = self.df.select(self.cell.alias("cell"), *[c.alias(f"b{i}") for i, c in enumerate(columns)]).where("cell is not null")
         parts = rows.mapInArrow(sums, "part bigint, sums binary")
-        # one level of fans in Spark; what is left is a number of cubes that the driver adds up one by one
-        parts = parts.groupBy(F.floor(F.col("part") / FAN).alias("fan")).applyInArrow(added, "part bigint, sums binary")
+        # two levels of fans in Spark; a thousand tasks leave one cube
+        for fan in (FAN, FAN * FAN):
+            parts = parts.groupBy(F.floor(F.col("part") / fan).alias("fan")).applyInArrow(added, "part bigint, sums binary")
         self.sums = np.zeros((cells, width, width))
-        for r in parts.orderBy("part").toLocalIterator():
+        for r in sorted(parts.collect(), key=lambda r: r["part"]):
             self.sums += np.frombuffer(r["sums"]).reshape(self.sums.shape)
 
     def medians(self, parts: Sequence[Part]) -> dict[tuple[int, str], float]:

@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.functions.columns import col
+from tabspark.operators import newton
 from tabspark.operators.boosting import fit_softmax
 from tabspark.operators.gram import moments
 from tabspark.session import shared_dir
@@ -33,7 +34,7 @@ MODELS = ("random_forest", "gradient_boosting", "linear", "ensemble", "mlp", "de
 # Defaults used without tuning, and the members of the voting ensemble.
 DEFAULTS = {
     "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "min_samples_split": 2,
-                      "max_features": "sqrt"},
+                      "max_features": "sqrt", "bootstrap": True},
     "gradient_boosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0,
                           "min_samples_leaf": 1},
     "linear": {"C": 1.0, "alpha": 1.0, "max_iter": 1000},
@@ -174,7 +175,7 @@ def _tree_args(p: dict) -> dict:
 
 def fit_forest(data: DataFrame, classes: int | None, p: dict, seed: int) -> MllibCore:
     args = {**_tree_args(p), "numTrees": int(p["n_estimators"]), "seed": seed,
-            "featureSubsetStrategy": _subset(p.get("max_features", "sqrt"))}
+            "featureSubsetStrategy": _subset(p.get("max_features", "sqrt")), "bootstrap": bool(p.get("bootstrap", True))}
     est = RandomForestRegressor(**args) if classes is None else RandomForestClassifier(**args, impurity="gini")
     return MllibCore(est.fit(data), classes)
 
@@ -223,6 +224,8 @@ def fit_linear(data: DataFrame, classes: int | None, p: dict, seed: int):
     if classes is None:
         width = vector_width(data)
         return ridge_exact(feature_columns(data, width), [f"x{i}" for i in range(width)], "y", float(p["alpha"]))
+    if newton.fits(vector_width(data), classes):
+        return newton.fit_logistic(data, classes, [float(p["C"])], int(p.get("max_iter", 1000)))[0]
     n, means = data.agg(F.count(F.lit(1)), Summarizer.mean(F.col("features"))).first()
     est = LogisticRegression(regParam=1.0 / (float(p["C"]) * n), elasticNetParam=0.0, standardization=False,
                              maxIter=int(p.get("max_iter", 1000)), featuresCol="features", labelCol="label",

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -23,6 +26,7 @@ LITERAL_VALUES = 64         # categories kept as a CASE over literals
 LISTED_VALUES = 1_000       # categories kept in the model itself
 BROADCAST_VALUES = 200_000  # dictionary rows up to which it is broadcast ...
 BROADCAST_CHARS = 20_000_000    # ... if its text is not longer than this
+HEAVY = 200                 # values that are kept out of a shuffle join's keys
 UNSEEN = -1.0
 GAP = "\x00gap"            # stands for a missing value in a shuffle; no dictionary has it
 
@@ -73,17 +77,21 @@ def _scaled(value: Column, mean: float | None, std: float | None) -> Column:
     return (value - F.lit(float(mean or 0.0))) / F.lit(float(std) if std else 1.0)
 
 
-def ordinal_encode(df: DataFrame, cols: Sequence[str], learn_from: DataFrame | None = None) -> DataFrame:
-    """Codes 0..K-1 in sorted order of the values; unseen values (and missing) get -1."""
-    books = learn_codes(df if learn_from is None else learn_from, cols)[0]
-    return apply_codes(df, books)
+def ordinal_encode(df: DataFrame, cols: Sequence[str], learn_from: DataFrame | None = None, listed: int | None = None,
+                   broadcast: int | None = None) -> DataFrame:
+    """Codes 0..K-1 in sorted order of the values; unseen values (and missing) get -1.
+
+    ``listed`` and ``broadcast`` bound the dictionaries that are held in the plan and sent to all tasks; larger ones are joined.
+    """
+    books = learn_codes(df if learn_from is None else learn_from, cols, listed)[0]
+    return apply_codes(df, books, broadcast=broadcast)
 
 
 def _text(df: DataFrame, c: str) -> Column:
     return col(c).cast("string")
 
 
-def learn_codes(df: DataFrame, cols: Sequence[str]) -> tuple[list[dict], dict[str, str | None]]:
+def learn_codes(df: DataFrame, cols: Sequence[str], most_listed: int | None = None) -> tuple[list[dict], dict[str, str | None]]:
     """Per column its dictionary, and its mode, both from one count of the values.
 
     Small dictionaries become lists. A larger one is written to the shared folder as a table
@@ -98,10 +106,10 @@ def learn_codes(df: DataFrame, cols: Sequence[str]) -> tuple[list[dict], dict[st
         stats = {r["c"]: r for r in counted.groupBy("c").agg(
             F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.length("value")).alias("chars"),
             F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("best")).collect()}
-        listed = [i for i, r in stats.items() if r["k"] <= LISTED_VALUES]
+        listed = [i for i, r in stats.items() if r["k"] <= (LISTED_VALUES if most_listed is None else most_listed)]
         values: dict[int, list[str]] = {}
         for r in counted.filter(F.col("c").isin(listed)).orderBy("c", "value").collect() if listed else ():
-            values.setdefault(r["c"], []).append(r["value"])      # at most LISTED_VALUES per column
+            values.setdefault(r["c"], []).append(r["value"])      # at most most_listed per column
         books, best = [], {}
         for i, c in enumerate(cols):
             known = stats.get(i)
@@ -135,7 +143,8 @@ def _write_codes(counted: DataFrame) -> str:
     return path
 
 
-def apply_codes(df: DataFrame, books: Sequence[dict], fills: dict[str, str | None] | None = None) -> DataFrame:
+def apply_codes(df: DataFrame, books: Sequence[dict], fills: dict[str, str | None] | None = None,
+                broadcast: int | None = None) -> DataFrame:
     """Replace the columns by their codes; gaps are first given the value in ``fills``."""
     fills, literal = fills or {}, {}
     out = df
@@ -152,11 +161,34 @@ def apply_codes(df: DataFrame, books: Sequence[dict], fills: dict[str, str | Non
         out = with_columns(out, literal)
     for book in books:
         if book["name"] not in literal:
-            out = _lookup(out, book, fills.get(book["name"]))
+            out = _lookup(out, book, fills.get(book["name"]), broadcast)
     return out
 
 
-def _lookup(df: DataFrame, book: dict, fill: str | None) -> DataFrame:
+def heavy_values(df: DataFrame, column: str) -> list[str]:
+    """The values that many rows have, as far as they can unbalance a shuffle: at most HEAVY of them, the most frequent first.
+
+    Each task counts with a bounded table, from which rare values are dropped when it is full, and returns what it has often.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for pair in pc.value_counts(batch.column(0)).to_pylist():
+                if pair["values"] is not None:
+                    held[pair["values"]] += pair["counts"]
+            if len(held) > 64 * HEAVY:
+                held = Counter(dict(held.most_common(16 * HEAVY)))
+        often = [(v, n) for v, n in held.most_common(HEAVY) if n * 4 * HEAVY >= rows]
+        yield pa.record_batch([pa.array([v for v, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["value", "n"])
+
+    found = df.select(col(column).cast("string").alias("value")).mapInArrow(count, "value string, n bigint")
+    top = found.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(HEAVY).collect()
+    return [r["value"] for r in top]
+
+
+def _lookup(df: DataFrame, book: dict, fill: str | None, broadcast: int | None) -> DataFrame:
     c, spark = book["name"], df.sparkSession
     keyed = df.withColumn("_text", F.coalesce(_text(df, c), F.lit(fill).cast("string")))
     if book["values"] is not None:
@@ -164,13 +196,18 @@ def _lookup(df: DataFrame, book: dict, fill: str | None) -> DataFrame:
         keyed = keyed.join(F.broadcast(table), "_text", "left")
     else:
         table = spark.read.parquet(book["table"]).withColumnsRenamed({"value": "_text", "code": "_code"})
-        if book["size"] <= BROADCAST_VALUES and book["chars"] <= BROADCAST_CHARS:
+        if book["size"] <= (BROADCAST_VALUES if broadcast is None else broadcast) and book["chars"] <= BROADCAST_CHARS:
             keyed = keyed.join(F.broadcast(table), "_text", "left")
         else:
-            # one join and one scan. A value that is frequent in these rows, known or not, is one entry of the
-            # dictionary, so a large partition of rows can be split (adaptive skew join); gaps are dealt out by row
-            gap = F.concat(F.lit(GAP), F.pmod(F.xxhash64(*[F.xxhash64(col(n)) for n in df.columns]), F.lit(1000)).cast("string"))
-            keyed = keyed.withColumn("_text", F.coalesce("_text", gap)).join(table, "_text", "left")
+            # frequent values and gaps do not meet in one task: their rows are dealt out, and the few entries of
+            # the dictionary that they need are sent along
+            heavy = [] if df.isStreaming else heavy_values(keyed, "_text")
+            loose = F.col("_text").isNull() | F.col("_text").isin(heavy)
+            dealt = F.concat(F.lit(GAP), F.pmod(F.xxhash64(*[F.xxhash64(col(n)) for n in df.columns]), F.lit(1000)).cast("string"))
+            few = table.filter(F.col("_text").isin(heavy)).withColumnsRenamed({"_text": "_known", "_code": "_early"})
+            keyed = keyed.join(F.broadcast(few), F.col("_text") == F.col("_known"), "left").drop("_known")
+            keyed = keyed.withColumn("_text", F.when(loose, dealt).otherwise(F.col("_text"))).join(table, "_text", "left")
+            keyed = keyed.withColumn("_code", F.coalesce("_early", "_code"))
     coded = F.coalesce(F.col("_code"), F.lit(UNSEEN))
     return keyed.select([coded.alias(n) if n == c else col(n) for n in df.columns])
 

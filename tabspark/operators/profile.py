@@ -145,7 +145,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
     if len(cols) > PAIR_LIMIT:
         sums = pair_sums(df, cols)
-        n = F.col("n")
+        n = F.nullif(F.col("n"), F.lit(0.0))
         sxy = F.col("xy") - F.col("x") * F.col("y") / n
         sxx = F.col("xx") - F.col("x") * F.col("x") / n
         syy = F.col("yy") - F.col("y") * F.col("y") / n

@@ -184,7 +184,8 @@ def groups(blocks: list[dict]) -> list[LeafGroup]:
 def _rounds(blocks: DataFrame, limit: int) -> Iterator[list[dict]]:
     """The blocks a round at a time; the driver holds one round."""
     some, size = [], 0
-    for row in blocks.toLocalIterator():
+    total = blocks.agg(F.sum(sum((F.octet_length(c) for c in _KINDS), F.lit(0)).cast("bigint"))).first()[0] or 0
+    for row in blocks.collect() if total <= limit else blocks.toLocalIterator():
         block = row.asDict()
         bytes_ = sum(len(block[c]) for c in _KINDS)
         if some and size + bytes_ > limit:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 
 from tabspark.operators import clean
 from tabspark.session import shared_dir
+from tabspark.sources.runs import Runs
 
+# The names of the steps, as saved logs have them.
 OPS = ("drop_columns", "drop_sparse_columns", "clip_outliers", "fill_missing", "feature_engineering", "reset")
 CHECKPOINT_EVERY = 10      # data-dependent steps after which the lineage is cut
 
@@ -120,14 +122,15 @@ class Recipe:
 
 @dataclass
 class Project:
-    """A raw table, its recipe and the working table they give. Loading new data starts a
-    fresh recipe; the run history lives elsewhere and is kept."""
+    """A raw table, its recipe and the working table they give, and the history of the runs made in it.
+    Loading new data starts a fresh recipe and keeps the history."""
     raw: DataFrame
     recipe: Recipe = field(default_factory=Recipe)
+    runs: Runs | None = None
 
     @property
     def working(self) -> DataFrame:
         return self.recipe.apply(self.raw)
 
     def load(self, df: DataFrame) -> "Project":
-        return Project(df)
+        return Project(df, runs=self.runs)

@@ -19,6 +19,7 @@ from tabspark.plans.train import Fitted, fit_rows, keyed, target_codec
 from tabspark.sources.runs import Runs
 
 NETS = ("mlp", "deep_mlp")
+LISTED_CLASSES = 100          # classes up to which a run's confusion is kept with it
 
 
 @dataclass(frozen=True)
@@ -64,10 +65,17 @@ class Run:
     confusion: DataFrame | None = None
     test_predictions: DataFrame | None = None
 
-    def record(self, runs: Runs) -> str:
-        s = self.spec
+    def record(self, runs: Runs, curve: DataFrame | None = None) -> str:
+        """Append the run to a history, with its confusion (up to LISTED_CLASSES), its loss history and a learning curve if given."""
+        s, tables = self.spec, {}
+        if self.confusion is not None and self.fitted.classes <= LISTED_CLASSES:
+            tables["confusion"] = [r.asDict() for r in self.confusion.orderBy("actual", "predicted").collect()]
+        if isinstance(self.fitted.core, NetCore):
+            tables["loss"] = [dict(zip(("epoch", "train_loss", "val_loss", "lr"), h)) for h in self.fitted.core.history]
+        if curve is not None:
+            tables["learning_curve"] = [r.asDict() for r in curve.collect()]        # a row a share
         return runs.append(self.fitted.name, self.fitted.task, s.target, self.metrics, s.cv, len(self.trials),
-                           self.best_params, list(s.steps))
+                           self.best_params, list(s.steps), tables=tables)
 
     def replay_spec(self) -> RunSpec:
         """The spec with the found parameters, so that a replay does not search again."""

@@ -15,6 +15,7 @@ from tabspark.operators import metrics, models, trees
 from tabspark.operators.boosting import SoftmaxCore
 from tabspark.operators.clean import drop_null_target
 from tabspark.operators.mlp import NetCore
+from tabspark.operators.newton import LogisticCore
 from tabspark.operators.prep import FeatureSpec, LabelCodec, TablePrepModel, align, build_prep
 from tabspark.operators.profile import detect_task
 
@@ -164,6 +165,9 @@ def feature_importance(fitted: Fitted, k: int = TOP_FEATURES, class_index: int |
     elif isinstance(core, models.OneVsRestCore):
         each = [m.featureImportances.toArray() for m in core.models]
         values = list(sum(each) / len(each))
+    elif isinstance(core, LogisticCore):
+        weights = abs(np.array(core.coefficients))
+        values = list(weights.mean(axis=0) if class_index is None else weights[class_index])
     elif isinstance(core, SoftmaxCore):
         values = core.importances(len(names))
     elif isinstance(core, models.MllibCore) and hasattr(core.model, "featureImportances"):
@@ -230,6 +234,8 @@ def _additive(spark: SparkSession, core, classes: int | None,
         return spark.createDataFrame(trees.packed(core.leaves(last, factor)), trees.PACKED), None, None, factor * core.start[last]
     if isinstance(core, models.RidgeCore):
         weights, means, intercept = np.array(core.coefficients), np.array(core.means), core.intercept
+    elif isinstance(core, LogisticCore):
+        weights, means, intercept = np.array(core.coefficients[-1]), np.array(core.means), core.intercepts[-1]
     elif hasattr(core.model, "coefficientMatrix"):
         weights, means = core.model.coefficientMatrix.toArray()[-1], np.array(core.means)
         intercept = float(core.model.interceptVector.toArray()[-1])

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from tabspark.functions.columns import chunks
-from tabspark.operators import metrics, models, splits
+from tabspark.operators import metrics, models, newton, splits
 from tabspark.operators.clean import drop_null_target
 from tabspark.operators.cube import LinearCube, Part
 from tabspark.operators.prep import FeatureSpec, LabelCodec, build_prep
@@ -188,6 +188,9 @@ def tune_rows(df: DataFrame, spec: FeatureSpec, codec: LabelCodec | None, name:
     scores = None
     if name == "linear" and codec is None:
         scores = _ridge_scores(df, spec, cv, seed, key, tune_on, [t["alpha"] for t in trials])
+    elif name == "linear" and newton.fits(len(spec.vector_names), classes):
+        strengths = [t["C"] for t in trials]
+        scores = [path for [path] in _over_parts(df, spec, codec, cv, seed, key, tune_on, [lambda p: _logistic_path(p, classes, strengths)])]
     if scores is None:
         scores = _over_parts(df, spec, codec, cv, seed, key, tune_on, [
             lambda p, t=t: _score(models.fit_core(p.train, name, classes, t, seed), p.val, codec is not None)
@@ -227,6 +230,15 @@ def _ridge_scores(df: DataFrame, spec: FeatureSpec, cv: int | None, seed: int, k
     return [p["val"] for p in cube.score(parts, alphas)] if cube else None
 
 
+def _logistic_path(part: _Part, classes: int, strengths: list[float]) -> list[float]:
+    """Validation accuracy for every C: the fits share their passes, and one more scores them all."""
+    scored = part.val
+    for i, core in enumerate(newton.fit_logistic(part.train, classes, strengths)):
+        scored = core.add_score(scored, "_score").withColumn(f"_hit{i}", (models.argmax(F.col("_score")) == F.col("label")).cast("double")).drop("_score")
+    got = scored.agg(*[F.avg(f"_hit{i}") for i in range(len(strengths))]).first()
+    return [float("nan") if v is None else v for v in got]
+
+
 def cross_validate(df: DataFrame, target: str, name: str, params: dict | None = None, k: int = 5, seed: int = 42,
                    key: Sequence[str] | None = None, task: str | None = None,
                    exclude: Sequence[str] = ()) -> DataFrame:

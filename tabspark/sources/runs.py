@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 RUNS = ("run_id string, started_at string, model string, task string, target string, cv int, n_trials int, "
         "params string, steps string")
 METRICS = "run_id string, metric string, value double"
-LOG = f"{RUNS}, metrics map<string,double>, cleared boolean"
+LOG = f"{RUNS}, metrics map<string,double>, tables map<string,string>, cleared boolean"
 
 
 @dataclass
@@ -29,13 +29,14 @@ class Runs:
 
     def append(self, model: str, task: str, target: str, metrics: dict[str, float], cv: int | None = None,
                n_trials: int = 0, params: dict | None = None, steps: list | None = None,
-               started_at: str | None = None) -> str:
-        """Record one run; returns its id."""
+               started_at: str | None = None, tables: dict[str, list[dict]] | None = None) -> str:
+        """Record one run, with small tables such as its confusion or learning curve; returns its id."""
         run_id = uuid.uuid4().hex
         at = started_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
         values = {k: float(v) for k, v in metrics.items() if v is not None}
+        kept = {name: json.dumps(rows, default=str) for name, rows in (tables or {}).items()}
         self._write(self.spark.createDataFrame([(run_id, at, model, task, target, cv, n_trials, json.dumps(params or {}),
-                                                 json.dumps(steps or []), values, False)], LOG))
+                                                 json.dumps(steps or []), values, kept, False)], LOG))
         return run_id
 
     def _write(self, rows: DataFrame) -> str:
@@ -58,7 +59,7 @@ class Runs:
         return log.where("not cleared").dropDuplicates(["run_id"]).join(gone, "run_id", "left_anti").drop("cleared")
 
     def runs(self) -> DataFrame:
-        return self._visible().drop("metrics").select(*[c.split(" ")[0] for c in RUNS.split(", ")])
+        return self._visible().select(*[c.split(" ")[0] for c in RUNS.split(", ")])
 
     def metrics(self) -> DataFrame:
         return self._visible().select("run_id", F.explode("metrics").alias("metric", "value"))
@@ -72,11 +73,12 @@ class Runs:
         return compare(self.runs(), self.metrics(), metric)
 
     def detail(self, run_id: str) -> dict:
-        """Parameters, steps and metrics of one run."""
+        """Parameters, steps, metrics and tables of one run."""
         row = self._visible().filter(F.col("run_id") == run_id).first()
         if row is None:
             raise KeyError(run_id)
-        return {**row.asDict(), "params": json.loads(row["params"]), "steps": json.loads(row["steps"]), "metrics": dict(row["metrics"])}
+        return {**row.asDict(), "params": json.loads(row["params"]), "steps": json.loads(row["steps"]), "metrics": dict(row["metrics"]),
+                "tables": {name: json.loads(rows) for name, rows in (row["tables"] or {}).items()}}
 
     def clear(self) -> None:
         """Take away the runs that are visible now."""

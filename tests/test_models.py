@@ -262,7 +262,27 @@ def test_logistic(signal):
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ w))
         w -= np.linalg.solve((design.T * (p * (1 - p))) @ design + penalty, design.T @ (p - y) + penalty @ w)
-    assert core.model.coefficients.toArray() == pytest.approx(w[:3], rel=1e-3)
+    assert core.coefficients[0] == pytest.approx(w[:3], rel=1e-7) and core.intercepts == pytest.approx([w[3]], rel=1e-7)
+
+
+def test_logistic_path(signal, monkeypatch):
+    """Three classes: several penalties at once, against separate fits and MLlib's search."""
+    from tabspark.operators import newton
+    df = signal[0]
+    data = df.select(array_to_vector(F.array("a", "b", "c")).alias("features"), F.col("k").cast("double").alias("label"))
+    strengths = [0.05, 1.0, 50.0]
+    cores = newton.fit_logistic(data, 3, strengths)
+    one = models.fit_core(data, "linear", 3, {"C": 1.0})
+    assert np.array(one.coefficients) == pytest.approx(np.array(cores[1].coefficients), abs=1e-8)
+    scores = [r.p for r in cores[1].add_score(data, "p").collect()]
+    assert all(len(p) == 3 and sum(p) == pytest.approx(1) for p in scores)
+    monkeypatch.setattr(newton, "MOST_UNKNOWNS", 1)
+    for c, core in zip(strengths, cores):
+        wide = models.fit_core(data, "linear", 3, {"C": c}).model
+        assert np.array(core.coefficients) == pytest.approx(wide.coefficientMatrix.toArray(), abs=2e-2 * max(1, c))
+        assert sum(core.intercepts) == pytest.approx(0, abs=1e-8)
+    # one class never seen, and none but one
+    assert newton.fit_logistic(data.where("label < 2"), 3, [1.0])[0].add_score(data, "p").first().p[2] < 0.05
 
 
 def test_softmax_boosting(signal, monkeypatch):
@@ -548,6 +568,14 @@ def test_history_and_replay(spark, signal, tmp_path):
     wide = runs.wide()
     assert wide.count() == 2 and {"r2", "accuracy"} <= set(wide.columns) and "params" not in wide.columns
     assert runs.compare("r2").count() == 1 and " | linear | y" in runs.compare("r2").first().run
+    tables = runs.detail(runs.runs().filter("model = 'random_forest'").first().run_id)["tables"]
+    assert {(r["actual"], r["predicted"]) for r in tables["confusion"]} == {(a, b) for a in range(3) for b in range(3)}
+    kept = runs.detail(run.record(runs, run.learning_curve(df)))["tables"]["learning_curve"]
+    assert [r["scoring"] for r in kept] == ["r2"] * 5
+    runs.clear()
+    first = run.record(runs)
+    other.record(runs)
+    wide = runs.wide()
     detail = runs.detail(first)
     assert detail["params"] == run.best_params and len(detail["steps"]) == 2 and detail["metrics"] == run.metrics
     again = RunSpec.from_json(run.replay_spec().to_json()).execute(df)

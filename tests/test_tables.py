@@ -107,6 +107,9 @@ def test_wide_correlation_equals_pairwise(spark, monkeypatch):
                                    .alias(f"c{i}") for i in range(6)], F.lit(2.0).alias("k"))
     narrow = {(r.a, r.b): r.corr for r in ts.corr_matrix(df).collect()}
     monkeypatch.setattr(profile, "PAIR_LIMIT", 2)
+    from tabspark.operators import gram
+    monkeypatch.setattr(gram, "TILE", 2)          # several tiles, in several passes
+    monkeypatch.setattr(gram, "TILES", 2)
     wide = {(r.a, r.b): r.corr for r in ts.corr_matrix(df).collect()}
     assert wide.keys() == narrow.keys()
     for k in narrow:
@@ -318,3 +321,33 @@ def test_csv_with_line_breaks_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hot_values_do_not_meet_in_one_task(spark):
+    """Without adaptive plans: no partition of the joined rows is much larger than the others."""
+    rows = [(i, "hot" if i % 2 else "gone" if i % 5 == 0 else None if i % 7 == 0 else f"v{i:05}") for i in range(8000)]
+    df = spark.createDataFrame(rows, "id int, tag string").repartition(4)
+    known = sorted({t for _, t in rows if t not in (None, "gone")})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = prep.ordinal_encode(df, ["tag"], df.where("tag <> 'gone'"), listed=5, broadcast=5)
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("id").alias("n")).collect()]
+        codes = {r.id: r.tag for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    at = {t: float(i) for i, t in enumerate(known)}
+    assert codes == {i: at.get(t, -1.0) for i, t in rows}
+    assert len(sizes) == 4 and max(sizes) < 1.3 * len(rows) / 4
+
+
+def test_heavy_values(spark):
+    rows = [("a",)] * 900 + [("b",)] * 300 + [(f"x{i}",) for i in range(2000)] + [(None,)] * 500
+    assert prep.heavy_values(spark.createDataFrame(rows, "v string").repartition(3), "v")[:2] == ["a", "b"]
+    assert prep.heavy_values(spark.createDataFrame([], "v string"), "v") == []
+
+
+def test_project_keeps_its_history(spark, tmp_path):
+    runs = ts.Runs(spark, str(tmp_path))
+    project = ts.Project(spark.range(3), ts.Recipe().derive("twice", "id * 2"), runs)
+    again = project.load(spark.range(5))
+    assert again.runs is runs and again.recipe.steps == [] and again.working.count() == 5
