@@ -376,20 +376,20 @@ def test_cube_equals_separate_fits(spark, monkeypatch):
     assert len(from_cube) == 5 * 5 + 4 + 9 and results() == pytest.approx(from_cube, abs=1e-8)
 
 
-def _jobs(spark, call) -> int:
+def _jobs(spark, group: str, call) -> int:
     """How many Spark jobs a call runs."""
-    spark.sparkContext.setJobGroup(f"counted{id(call)}", "")
+    spark.sparkContext.setJobGroup(group, "")
     try:
         call()
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"counted{id(call)}"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_more_points_need_no_more_passes(spark):
     df = _gappy(spark).persist()
-    few = _jobs(spark, lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=(0.5, 1.0), folds=2))
-    many = _jobs(spark, lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=tuple(i / 10 for i in range(1, 11)), folds=5))
+    few = _jobs(spark, "few", lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=(0.5, 1.0), folds=2))
+    many = _jobs(spark, "many", lambda: ts.learning_curve(df, "y", "linear", key=["id"], exclude=["id"], shares=tuple(i / 10 for i in range(1, 11)), folds=5))
     assert few == many
 
 
