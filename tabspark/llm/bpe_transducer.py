@@ -21,17 +21,19 @@ arrive here decoded. Ids outside the vocabulary are an error.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tabspark.llm.common import frugal
 from tabspark.llm.texts import parts
 
 #: Arcs, fitting pairs and encoded pieces kept; beyond, they are built anew.
-ARCS, PAIRS, PIECES = 400_000, 400_000, 200_000
+ARCS, PAIRS, PIECES = 250_000, 200_000, 100_000
 #: Pieces longer than this are not remembered.
 PIECE_BYTES = 64
 #: The rank of what is no token.
@@ -53,20 +55,21 @@ class Transducer:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for the bytes {missing[:5]}")
-        # the trie of tokens: children of a node by byte, and the token that ends at a node
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # the trie of tokens: by node and byte the next node; whether a node goes on, and the token that ends there
+        self.trie: dict[int, int] = {}
+        self.ends, self.inner = [-1], [False]
         for data, rank in ranks.items():
             node = 0
             for byte in data:
-                node = self.children[node].setdefault(byte, len(self.children))
-                if node == len(self.children):
-                    self.children.append({})
+                self.inner[node] = True
+                node = self.trie.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
                     self.ends.append(-1)
+                    self.inner.append(False)
             self.ends[node] = rank
         # a token that its own merges do not give is only ever a whole match
         self._histories: dict[int, tuple[tuple[int, bytes, bytes], ...] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -74,7 +77,10 @@ class Transducer:
         self.states = [(-1, (((), 0),))]
         self.number = {self.states[0]: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.rest: dict[int, tuple[int, ...]] = {0: ()}
+
+    def rest(self, state: int) -> tuple[int, ...]:
+        """What is held back by the path that has just ended a token: the ids to come if the input ends here."""
+        return self.states[state][1][-1][0]
 
     def history(self, token: int) -> tuple[tuple[int, bytes, bytes], ...] | None:
         """What a token's own merges leave first and last after each merge, with its rank; None if they do not give the token."""
@@ -101,11 +107,12 @@ class Transducer:
         after = self.history(right)
         if left < 0 or after is None:
             return after is not None
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= self.most_pairs:
                 self._fits.clear()
-            known = self._fits[left, right] = not self._crosses(self.history(left), after)
+            known = self._fits[key] = not self._crosses(self.history(left), after)
         return known
 
     def _crosses(self, before: tuple, after: tuple) -> bool:
@@ -126,27 +133,32 @@ class Transducer:
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after a byte and the tokens that all its paths agree on."""
         last, paths = self.states[state]
-        after = []
+        trie, ends, inner, after, done = self.trie, self.ends, self.inner, [], None
         for held, node in paths:
-            node = self.children[node].get(byte)
+            node = trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.children[node]:
+            if inner[node]:
                 after.append((held, node))
-            if self.ends[node] >= 0 and self.fits(held[-1] if held else last, self.ends[node]):
-                after.append(((*held, self.ends[node]), 0))
-        shared = 0
-        while all(len(held) > shared for held, _ in after) and len({held[shared] for held, _ in after}) == 1:
-            shared += 1
-        out = after[0][0][:shared]
-        new = (out[-1] if out else last, tuple(sorted((held[shared:], node) for held, node in after)))
+            if done is None and ends[node] >= 0 and self.fits(held[-1] if held else last, ends[node]):
+                done = (*held, ends[node])  # no other path ends here, for a prefix has one encoding
+        # the paths in order of their places in the trie, the deepest first; the one at the root is the last
+        shared, low = len(done), done
+        for held, _ in after:
+            if len(held) < shared:
+                shared = len(held)
+            while held[:shared] != low[:shared]:
+                shared -= 1
+        if shared:
+            last = done[shared - 1]
+            new = (last, (*((held[shared:], node) for held, node in after), (done[shared:], 0)))
+        else:
+            new = (last, (*after, (done, 0)))
         target = self.number.get(new)
         if target is None:
             target = self.number[new] = len(self.states)
             self.states.append(new)
-            # what is held back by the path that has just ended a token
-            self.rest[target] = next(held for held, node in new[1] if node == 0)
-        self.arcs[state << 8 | byte] = found = (target, out)
+        self.arcs[state << 8 | byte] = found = (target, done[:shared])
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -155,8 +167,7 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state = self.feed(0, piece, out)
-        out += self.rest[state]
+        out += self.rest(self.feed(0, piece, out))
         return out
 
     def feed(self, state: int, data: bytes, out: list[int]) -> int:
@@ -166,13 +177,12 @@ class Transducer:
             step = arcs.get(state << 8 | byte)
             if step is None:
                 if len(arcs) >= self.most_arcs:  # keep the state we are in, forget the others
-                    kept, held = self.states[state], self.rest[state]
+                    kept = self.states[state]
                     self.forget()
                     arcs = self.arcs
                     state = self.number.setdefault(kept, len(self.states))
                     if state == len(self.states):
                         self.states.append(kept)
-                        self.rest[state] = held
                 step = self._arc(state, byte)
             state = step[0]
             if step[1]:
@@ -242,10 +252,19 @@ class Decoder:
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
+        # tokens that are whole characters leave the automaton where it is
+        self.whole = np.array([self._whole(tokens[i]) if i in tokens else False for i in range(max(tokens, default=-1) + 1)], bool)
         # by state and token: the state after it, the bytes at its end that belong to an open character, wrong places
         self.steps: dict[tuple[int, int], tuple[int, int, int]] = {}
         self.restart()
 
+    @staticmethod
+    def _whole(data: bytes) -> bool:
+        try:
+            return data.decode() is not None
+        except UnicodeDecodeError:
+            return False
+
     def restart(self) -> None:
         self.state, self.open, self.broken = 0, b"", 0
 
@@ -265,17 +284,21 @@ class Decoder:
         self.steps[start, token] = found = (state, held, broken)
         return found
 
-    def feed(self, ids: Iterable[int]) -> bytes:
+    def feed(self, ids: Sequence[int]) -> bytes:
         """The bytes of the whole characters so far that were not given out before."""
-        steps, out, state, held = self.steps, [self.open] if self.open else [], self.state, 0
-        kept = len(self.open)
-        for token in ids:
-            step = steps.get((state, token)) or self._step(state, token)
-            out.append(self.tokens[token])
-            state, held, broken = step
-            kept = 0 if not state else kept + len(out[-1]) if held < 0 else held
-            self.broken += broken
-        data = b"".join(out)
+        ids = np.asarray(ids, np.int64)
+        pieces = list(map(self.tokens.__getitem__, ids.tolist()))
+        state, kept, at = self.state, len(self.open), 0
+        # between characters, whole tokens change nothing: go from one broken token to the next
+        for start in [0, *np.flatnonzero(~self.whole[ids]).tolist()]:
+            at = max(at, start)
+            while at < len(pieces) and (state or at == start):
+                token = int(ids[at])
+                state, held, broken = self.steps.get((state, token)) or self._step(state, token)
+                kept = 0 if not state else kept + len(pieces[at]) if held < 0 else held
+                self.broken += broken
+                at += 1
+        data = self.open + b"".join(pieces)
         self.state = state
         cut = len(data) - kept
         self.open = data[cut:]
@@ -289,24 +312,27 @@ class Decoder:
         return rest
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """(row, ids): each row with the ids of its whole text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(path: str, pattern: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         own = encoder(path, pattern)
         for batch in parts(batches):
-            found = [np.asarray(own.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
+            # only plain tuples and dicts of numbers are made here, and no cycles
+            gc.disable()
+            try:
+                found = [np.asarray(own.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
+            finally:
+                gc.enable()
             ends = np.cumsum([0, *map(len, found)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
             yield pa.record_batch([batch.column("row"), ids], names=["row", "ids"])
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    kept = rows.select("row").schema.simpleString()[len("struct<row:"):-1]
-    return rows.mapInArrow(run, f"row {kept}, ids array<int>")
+    return run
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids", chunk: int = 4096) -> DataFrame:
-    """The rows with ``decoded`` (binary) and ``broken`` (places that are not UTF-8); ids are read ``chunk`` at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(path: str, ids: str, chunk: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         own = decoder(path)
         for batch in batches:
             lists, data, broken = batch.column(batch.schema.names.index(ids)), [], []
@@ -314,14 +340,36 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", chunk: int = 4096) -> D
             flat = lists.values.to_numpy(zero_copy_only=False)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 own.restart()
-                whole = [own.feed(flat[i:min(i + chunk, b)].tolist()) for i in range(a, b, chunk)]
+                whole = [own.feed(flat[i:min(i + chunk, b)]) for i in range(a, b, chunk)]
                 data.append(b"".join([*whole, own.finish()]))
                 broken.append(own.broken)
             yield pa.record_batch([*batch.columns, pa.array(data, pa.binary()), pa.array(broken, pa.int32())],
                                   names=[*batch.schema.names, "decoded", "broken"])
+    return run
+
 
+def _with_row(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return rows, rows.select("row").schema.simpleString()[len("struct<row:"):-1]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """(row, ids): each row with the ids of its whole text."""
+    rows, kept = _with_row(docs, text)
+    return rows.mapInArrow(_encoded(path, pattern), f"row {kept}, ids array<int>")
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", chunk: int = 4096) -> DataFrame:
+    """The rows with ``decoded`` (binary) and ``broken`` (places that are not UTF-8); ids are read ``chunk`` at a time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, decoded binary, broken int")
+    return rows.mapInArrow(_decoded(path, ids, chunk), f"{schema}, decoded binary, broken int")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = 4096) -> DataFrame:
+    """(row, ids, decoded, broken): both in one pass, as ``decode`` of ``encode`` gives them."""
+    rows, kept = _with_row(docs, text)
+    coded, told = _encoded(path, pattern), _decoded(path, "ids", chunk)
+    return rows.mapInArrow(frugal(lambda batches: told(coded(batches))), f"row {kept}, ids array<int>, decoded binary, broken int")
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ executor then loses nothing, and row numbers given once stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tabspark.session import scratch_path
@@ -23,12 +24,52 @@ SLIM_ROWS = 500_000
 #: Pieces into which the rows of one group are dealt for ranks and running sums.
 SLICES = 1024
 SALTS = 16
+ROWS_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Groups above this give their memory back at once.
+GROUP_BYTES = 1 << 20
 
 
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make Arrow batches large: BATCH_ROWS rows a batch, unless the session was started with a number of its own."""
+    if not spark.sparkContext.getConf().contains(ROWS_SETTING):
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers live on from task to task."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not that C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that gives its memory back when its task ends."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
+def frugal_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of one group."""
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            if table.nbytes > GROUP_BYTES:
+                release()
+    return wrapped
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read from there."""
     path = scratch_path(df.sparkSession, name)
