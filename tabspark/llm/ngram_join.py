@@ -34,12 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabspark.llm.common import SLIM_ROWS, joined, spread, stored
+from tabspark.llm.common import SLIM_ROWS, frugal, frugal_group, joined, spread, stored
 from tabspark.llm.components import components
-from tabspark.llm.texts import PART_BYTES, hashes, parts, split_words
+from tabspark.llm.texts import hashes, parts, split_words
 
 WORDS = 5
+#: Bytes of text that are shingled at once.
+SLICE_BYTES = 3 << 20
 SHORT = 24
+#: Postings of a range of shingles, about; a range is merged by one task.
+POSTED = 400_000
 #: A set of n shingles shares 1 + n // EXTRA posted ones with any set it is linked with.
 EXTRA = 20
 #: Minimum hashes by which classes meet for the stars.
@@ -93,14 +97,14 @@ def _classes(docs: DataFrame, path_name: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest) of each row, and (digest, rep, n, k0...) of each class of equal sets."""
     def slim(batches):
         seeds = np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD
-        for batch in parts(batches):
+        for batch in parts(batches, size=SLICE_BYTES):
             sets = shingles(batch.column("text"))
             keys = [[int(_mixed(s ^ seed).min().view(np.int64)) if len(s) else None for s in sets] for seed in seeds]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                                    *[pa.array(k, pa.int64()) for k in keys]], names=["doc_id", "n", "digest", *[f"k{i}" for i in range(KEYS)]])
 
-    rows = stored(docs.mapInArrow(slim, "doc_id bigint, n bigint, digest binary, " + ", ".join(f"k{i} bigint" for i in range(KEYS))), path_name)
+    rows = stored(docs.mapInArrow(frugal(slim), "doc_id bigint, n bigint, digest binary, " + ", ".join(f"k{i} bigint" for i in range(KEYS))), path_name)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)])
     return rows.select("doc_id", "n", "digest"), stored(classes, "classes")
@@ -127,7 +131,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
 
     def sets(batches):
-        for batch in parts(batches):
+        for batch in parts(batches, size=SLICE_BYTES):
             found = shingles(batch.column("text"))
             stars = batch.column("stars")
             of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(stars.offsets)))
@@ -156,8 +160,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 linked.append(i)
         return pa.table({"a": pa.array([centre_id] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    spreads = rows.select("id", "text", "stars").mapInArrow(sets, "x bigint, salt bigint, id bigint, set binary")
-    return stored(spreads.groupBy("x", "salt").applyInArrow(compare, "a bigint, b bigint"), "links")
+    spreads = rows.select("id", "text", "stars").mapInArrow(frugal(sets), "x bigint, salt bigint, id bigint, set binary")
+    return stored(spreads.groupBy("x", "salt").applyInArrow(frugal_group(compare), "a bigint, b bigint"), "links")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,7 +218,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
 
     def sets(batches):
-        for batch in parts(batches):
+        for batch in parts(batches, size=SLICE_BYTES):
             blobs = pa.array([s.tobytes() for s in shingles(batch.column("text"))], pa.large_binary())
             of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("tasks").offsets)))
             flat = batch.column("tasks").flatten()
@@ -235,8 +239,8 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             linked &= side[:, None] != side[None, :]
         return pa.table({"node": pa.array(list(held), pa.int64()), "links": pa.array(linked.sum(0) + linked.sum(1), pa.int64())})
 
-    met = rows.select("id", "text", "tasks").mapInArrow(sets, "task string, side int, id bigint, set binary")
-    return pairs.unionByName(stored(met.groupBy("task").applyInArrow(compare, "node bigint, links bigint"), "inner-links"))
+    met = rows.select("id", "text", "tasks").mapInArrow(frugal(sets), "task string, side int, id bigint, set binary")
+    return pairs.unionByName(stored(met.groupBy("task").applyInArrow(frugal_group(compare), "node bigint, links bigint"), "inner-links"))
 
 
 def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
@@ -245,9 +249,8 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
     rows = rows.select(F.when(F.col("skip").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("owner"), "text").where("owner is not null")
 
     def post(batches):
-        for batch in parts(batches, size=4 * PART_BYTES):
-            heads = [s[:min(len(s) - least_shared(len(s)) + 1 + len(s) // EXTRA, len(s))].copy()
-                     for part in parts([batch]) for s in shingles(part.column("text"))]
+        for batch in parts(batches, size=SLICE_BYTES):
+            heads = [s[:min(len(s) - least_shared(len(s)) + 1 + len(s) // EXTRA, len(s))].copy() for s in shingles(batch.column("text"))]
             lengths = [len(s) for s in heads]
             tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             owner = np.repeat(batch.column("owner").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
@@ -292,8 +295,8 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
                          "b": pa.concat_arrays([pa.array(b[start], pa.int64()), pa.nulls(len(long_owner), pa.int64())]),
                          "n": pa.array(np.concatenate([times, long_times]), pa.int64())})
 
-    packed = rows.mapInArrow(post, "range int, tokens binary, owners binary")
-    met = packed.groupBy("range").applyInArrow(merge, "a bigint, b bigint, n bigint")
+    packed = rows.mapInArrow(frugal(post), "range int, tokens binary, owners binary")
+    met = packed.groupBy("range").applyInArrow(frugal_group(merge), "a bigint, b bigint, n bigint")
     return stored(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "met")
 
 
@@ -302,12 +305,12 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = joined(docs, members, ["doc_id"], "inner", SLIM_ROWS)
 
     def sets(batches):
-        for batch in parts(batches):
+        for batch in parts(batches, size=SLICE_BYTES):
             found = shingles(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("owner"),
                                    pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "owner", "tokens"])
 
-    held = rows.select("doc_id", "owner", "text").mapInArrow(sets, "id bigint, owner bigint, tokens array<bigint>")
+    held = rows.select("doc_id", "owner", "text").mapInArrow(frugal(sets), "id bigint, owner bigint, tokens array<bigint>")
     held = stored(held.select("id", "owner", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token")).distinct(), "heavy")
     common = held.groupBy("token").agg(F.count_distinct("owner").alias("df")).where("df > 1")
     shared = held.join(common, "token")
@@ -323,12 +326,34 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     return x.join(y, near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
+def shared_ids(docs: DataFrame) -> bool:
+    """Whether some rows share their doc_id."""
+    return bool(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): a row for each row; ``links`` counts the other classes linked with its own.
 
-    Without ``counted`` there is no ``links``.
+    Every row is a document. Rows that share a doc_id are joined under numbers of their own, and a component is named
+    by the smallest doc_id in it. Without ``counted`` there is no ``links``.
     """
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    if not shared_ids(docs):
+        return _join(docs, counted)
+    own = stored(docs.withColumn("number", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "own-numbers")
+    found = _join(own.select(F.col("number").alias("doc_id"), "text"), counted).withColumnRenamed("doc_id", "number")
+    ids = own.select("number", "doc_id").where("number is not null")
+    # a row without a doc_id has no number, and nothing to look up
+    named = found.where("number is not null").join(ids, "number")
+    least = stored(named.groupBy("component_id").agg(F.min("doc_id").alias("least")), "least-ids")
+    named = joined(named, least, ["component_id"], "inner", SLIM_ROWS)
+    more = ["links"] if counted else []
+    nameless = found.where("number is null").select(F.col("number").alias("doc_id"), "n_shingles", F.col("number").alias("component_id"), *more)
+    return named.select("doc_id", "n_shingles", F.col("least").alias("component_id"), *more).unionByName(nameless)
+
+
+def _join(docs: DataFrame, counted: bool) -> DataFrame:
+    """The join of rows (doc_id, text) with doc_ids of their own, or null."""
     rows, classes = _classes(docs, "slim")
     links = verified(docs, _stars(classes))
     groups = stored(components(links), "groups") if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -336,7 +361,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", count
     copies = rows.where("n > 0 and doc_id is not null").select("doc_id").distinct().join(
         classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("owner"))
     owners = copies.unionByName(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("owner"))).withColumn("skip", F.lit(True))
-    met = _posted(docs, stored(owners, "owners"), 4 * spread(docs.sparkSession))
+    # ranges of the hashes by the number of shingles posted, about a quarter of all
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    met = _posted(docs, stored(owners, "owners"), max(4 * spread(docs.sparkSession), -(-total // (4 * POSTED))))
     # what is known of each owner: its smallest l, its sizes, and the long lists it is on
     members = stored(classes.select(F.col("rep").alias("id"), "n").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("owner")), "members")
@@ -374,13 +401,24 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", count
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each component kept, with their own columns.
 
-    Of a component the document with the smallest doc_id stays; of rows that share a doc_id, the one with the
-    smallest hash. Rows without shingles or doc_id are copies of nothing and stay.
+    Every row is a document and judged by its own text. Of a component the row with the smallest doc_id stays, of those the one
+    with the smallest hash. Rows without shingles or doc_id are copies of nothing and stay.
     """
-    found = jaccard_join(docs.select("doc_id", "text"), counted=False).where("n_shingles > 0 and doc_id is not null")
-    marks = found.groupBy(F.col("doc_id").alias("id")).agg(
-        F.max(F.col("component_id") != F.col("doc_id")).alias("copy"), F.count(F.lit(1)).alias("rows")).where("copy or rows > 1")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    rows = joined(rows, stored(marks, "marks"), ["id"], "left", SLIM_ROWS)
-    twins = rows.where("not copy").groupBy("id").agg(F.min_by("row", "hash").alias("row"))
-    return rows.where("copy is null").select("row.*").unionByName(twins.select("row.*"))
+    number = F.col("doc_id").cast("bigint")
+    shared = shared_ids(docs)
+    if shared:
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), number.alias("id"), F.xxhash64(*docs.columns).alias("hash"), "text")
+    if shared:
+        rows = stored(rows, "own-numbers")
+    found = _join(rows.select(F.col("id").alias("doc_id"), "text"), False).where("n_shingles > 0 and doc_id is not null")
+    found = found.select(F.col("doc_id").alias("id"), F.col("component_id").alias("component"))
+    if shared:
+        order = F.struct(F.col("row.doc_id").cast("bigint").alias("doc_id"), "hash", "id")
+        first = found.join(rows.select("id", order.alias("order")), "id").groupBy("component").agg(F.min("order").alias("first"))
+        copies = joined(found, stored(first.select("component", F.col("first.id").alias("kept")), "kept-rows"), ["component"], "inner", SLIM_ROWS)
+        copies = copies.where("id <> kept")
+    else:
+        copies = found.where("id <> component")
+    copies = stored(copies.select("id", F.lit(True).alias("copy")), "copies")
+    return joined(rows.drop("text"), copies, ["id"], "left", SLIM_ROWS).where("copy is null").select("row.*")

@@ -95,7 +95,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_source_schedule")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     report, _ = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return report.select("row.doc_id", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).alias("repeats"))
+    return report.select("row.doc_id", "size", "source_size", "target", "taken", F.try_divide("taken", "size").alias("repeats"))
 
 
 _OP9 = r"""
@@ -137,24 +137,26 @@ g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+sets AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS m FROM g GROUP BY doc_id),
+degree AS (SELECT a, count(DISTINCT y.m) AS links FROM links JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE x.m <> y.m GROUP BY a),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(degree.links, 0)::BIGINT AS links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree ON degree.a = d.doc_id JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
 
 @query("op10_shingle_join", _OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = ngram_join.jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_shingles", "component_id")
+    return rows.select("doc_id", "n_shingles", "component_id", "links")
 
 
 @query("op11_bpe_transducer")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe_transducer.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    rows = bpe_transducer.digests(bpe_transducer.decode(rows, path))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    rows = bpe_transducer.digests(bpe_transducer.round_trip(docs, path, public_tokenizers.PATTERN))
     return rows.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "broken")
 
 
