@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabspark.llm import host_rules, language, mixing, ngram_join, packing
+from tabspark.llm.common import small_batches
 from tabspark.session import scratch_path
 
 ORACLE_SQL = None
@@ -19,6 +20,7 @@ ORACLE_SQL = None
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; those without a letter or with a narrow margin go."""
+    small_batches(spark)
     return language.known_documents(docs)
 
 
@@ -29,6 +31,7 @@ def kept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -40,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
     import public_tokenizers
+    small_batches(spark)
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

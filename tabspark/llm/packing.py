@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabspark.llm.common import SLICES, running, stored
+from tabspark.llm.common import SLICES, frugal, running, stored
+from tabspark.llm.texts import parts
 from tabspark.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -43,9 +44,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     schema = f"row {fields.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def cut(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts, rows = batch.column("text"), batch.column("row")
-            for low, high, ids, begin in encoder(tokenizer, True).ids(texts, end):
+            for low, high, ids, begin in encoder(tokenizer, True).ids(texts, end, 1 << 18):
                 out: dict[str, list] = defaultdict(list)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 for i in range(high - low):
@@ -63,7 +64,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                                        pa.array(out["length"], pa.int64()), pa.array(out["crc"], pa.int64())],
                                       names=["row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("row", "text").mapInArrow(cut, schema)
+    return docs.select("row", "text").mapInArrow(frugal(cut), schema)
 
 
 def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
