@@ -19,7 +19,8 @@ HEADLINE = [
     "box_stats_by", "value_counts", "quantiles_bracketed", "csv_roundtrip", "clip_outliers", "fill_mode", "derive_formula",
     "recipe_replay", "ordinal_encode_large", "prep_matrix", "holdout_split", "stratified_kfold", "accuracy_macro",
     "regression_metrics", "ridge_fit", "ridge_score", "linear_contributions", "waterfall", "run_metrics", "tune_ridge",
-    "cv_scores", "rf_classify", "gbt_regress", "logistic", "score_proba", "tree_contributions", "mlp_regress",
+    "cv_scores", "rf_classify", "gbt_regress", "logistic", "score_proba", "tree_contributions", "mlp_regress", "learning_curve",
+    "gbt_multiclass",
 ]
 
 
