@@ -8,7 +8,8 @@ knows how far any true score can still lie from its accumulator: what quantising
 segments seen, and what the largest value of the segments to come can add. A candidate whose
 accumulator plus that bound stays under the k-th best accumulator minus the bound is proved out. The
 search stops when the members that remain possible are few, or the segments are used up, and rescores all possible
-members exactly. Every block of candidates meets every block of queries; both are of fixed size.
+members exactly. Every block of candidates meets every block of queries; both are of fixed size. Blocks of
+candidates are dealt to a fixed number of groups, and the queries are sent once to each group.
 
 Vectors that are null or hold null, NaN or infinite components take no part; shorter ones are
 filled up with zeros; a query meets all rows with another id, repeated rows included; without
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabspark.llm.common import ranged, running, stored
+from tabspark.llm.common import ranged, running, spread, stored
 
 TOP = 5
 CANDIDATES = 8192
@@ -32,6 +33,8 @@ LEVELS = 16
 #: Impacts between two proofs.
 PROOF = 4
 SCALE = 256
+#: Groups of blocks of candidates for each shuffle partition; queries are sent once to each group.
+GROUPS = 4
 
 
 class Index:
@@ -99,10 +102,12 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
     rows = stored(rows, "vectors")
     right = stored(_blocks(rows, candidates, "candidates"), "candidate-blocks")
     left = stored(_blocks(rows.where(F.col("id") % every == 0), queries, "queries"), "query-blocks")
-    counts = right.agg(F.count("block")).first()[0]
-    pairs = left.select(F.col("block").alias("of"), F.col("members").alias("queries"),
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(counts - 1, 0)).cast("bigint"))).alias("block")).join(
-        right, "block").repartition("block", "of")
+    # a task has some blocks of candidates, and every block of queries comes to it once
+    groups = max(1, min(right.agg(F.count("block")).first()[0], GROUPS * spread(vectors.sparkSession)))
+    right = right.select("block", "members", F.pmod("block", F.lit(groups)).cast("int").alias("group")).repartition(groups, "group")
+    left = left.select(F.col("members").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).repartition(groups, "group")
+    # repeated blocks of queries look small to the planner, which would send them all through the driver
+    pairs = right.join(left.hint("merge"), "group")
 
     def matrix(members: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         values = members.field("values")
@@ -110,17 +115,24 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
         flat = np.asarray(values.values.to_numpy(zero_copy_only=False), np.int64)
         return np.asarray(members.field("id").to_numpy(zero_copy_only=False), np.int64), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
+    def fitted(vs: list[np.ndarray], width: int) -> np.ndarray:
+        return np.stack([np.pad(v[:width], (0, max(width - len(v), 0))) for v in vs])
+
     def find(batches):
+        block, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
+                if index is None or block != batch.column("block")[i].as_py():
+                    block = batch.column("block")[i].as_py()
+                    ids, members = matrix(batch.column("members").slice(i, 1).flatten())
+                    width = max([1, *(len(v) for v in members)])
+                    index = Index(fitted(members, width))
                 query_ids, own = matrix(batch.column("queries").slice(i, 1).flatten())
-                ids, members = matrix(batch.column("members").slice(i, 1).flatten())
-                width = max([1, *(len(v) for v in own), *(len(v) for v in members)])
-                stack = lambda vs: np.stack([np.pad(v, (0, width - len(v))) for v in vs])
-                found = search(Index(stack(members)), ids, stack(own), query_ids, top)
+                # where no candidate has a component, a query's counts for nothing
+                found = search(index, ids, fitted(own, width), query_ids, top)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), (), ()))], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("queries", "members").mapInArrow(find, "query_id bigint, vec_id bigint, score bigint")
+    found = pairs.select("block", "queries", "members").mapInArrow(find, "query_id bigint, vec_id bigint, score bigint")
     # a query has ``top`` rows for each block of candidates
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

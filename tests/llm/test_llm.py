@@ -294,6 +294,14 @@ def test_search(spark):
     assert impact_search.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_blocks_of_queries_are_not_broadcast(spark):
+    """Queries meet every group of candidates; the planner must not send them all through the driver."""
+    vectors = [(i, [0.01 * i] * 3) for i in range(200)]
+    found = impact_search.nearest(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"), candidates=16, queries=2)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert found.count() == 4 * 5
+
+
 def test_search_stops_early_and_stays_exact():
     rng = np.random.default_rng(6)
     vectors = rng.integers(-128, 128, (3000, 16))
