@@ -10,16 +10,17 @@ from tabspark.llm.common import stored
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(a, b) links to (node, component): the smallest node that each linked node reaches.
 
-    Every round is written, so a lost executor costs no more than the round it works on.
+    Every round is written, so a lost executor costs no more than the round it works on. Links grow with the table,
+    so they are shuffled, never sent through the driver.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
+        met = large.join(least.hint("merge"), "a")
         small = met.select("a", F.col("m").alias("b")).unionByName(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         edges = stored(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -18,7 +18,8 @@ smaller list of each shared shingle must be met that often. As in DivideSkip, li
 * Links inside a group of near copies are counted, not listed: members of a size class are dealt over blocks,
   and each two blocks whose sizes may agree are compared in one task, which returns a number a member.
 
-So no link is lost, and no group of copies is expanded into its pairs. The components of the links are
+So no link is lost, and no group of copies is expanded into its pairs. All lookups grow with the table: they are
+shuffled and merged, or broadcast after a count of their cells, so the driver holds no more for more documents. The components of the links are
 found by alternating stars. Shingles are compared by 64-bit hashes.
 
 A text of one to four words has one shingle, the whole sequence; one without words, or null, has none, and is
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabspark.llm.common import SLIM_ROWS, frugal, frugal_group, joined, spread, stored
+from tabspark.llm.common import frugal, frugal_group, joined, spread, stored
 from tabspark.llm.components import components
 from tabspark.llm.texts import hashes, parts, split_words
 
@@ -114,7 +115,7 @@ def _stars(classes: DataFrame) -> DataFrame:
     """(x, y): each class and the first class with the same minimum hash."""
     keyed = classes.select(F.col("rep").alias("y"), F.posexplode(F.array(*[f"k{i}" for i in range(KEYS)])).alias("k", "h"))
     first = keyed.groupBy("k", "h").agg(F.min("y").alias("x"), F.count("y").alias("members")).where("members > 1").select("k", "h", "x")
-    return keyed.join(first, ["k", "h"]).where("x <> y").select("x", "y").distinct()
+    return keyed.join(first.hint("merge"), ["k", "h"]).where("x <> y").select("x", "y").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,10 +126,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = stored(pairs, "pairs")
     salts = pairs.groupBy("x").agg(F.floor((F.count("y") - 1) / STAR).alias("last"))
-    member = pairs.join(salts, "x").select(F.col("y").alias("id"), "x", F.pmod(F.xxhash64("y"), F.col("last") + 1).alias("salt"))
+    member = pairs.join(salts.hint("merge"), "x").select(F.col("y").alias("id"), "x", F.pmod(F.xxhash64("y"), F.col("last") + 1).alias("salt"))
     centre = salts.select(F.col("x").alias("id"), "x", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("salt"))
     roles = stored(member.unionByName(centre).groupBy("id").agg(F.collect_list(F.struct("x", "salt")).alias("stars")), "roles")
-    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
+    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -194,15 +195,16 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(node, links): the links of each of the members (id, n, owner) with others of the same owner."""
     count = members.groupBy("owner").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = members.join(count, "owner")
+    members = members.join(count.hint("merge"), "owner")
     # two members are a group by their link
     pairs = members.where("size = 2").select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("links"))
     members = members.where("size > 2").withColumn("step", F.floor(F.log("n") / float(np.log(STEP))).cast("int"))
     steps = stored(members.groupBy("owner", "step").agg(
         F.count(F.lit(1)).alias("sets"), F.ceil(F.sum(F.greatest("n", F.lit(1000))) / BLOCK).cast("int").alias("blocks")), "steps")
     next_to = lambda by, name: steps.select("owner", (F.col("step") + by).alias("step"), F.col("blocks").alias(name))
-    known = stored(steps.join(next_to(-1, "above"), ["owner", "step"], "left").join(next_to(1, "below"), ["owner", "step"], "left"), "known-steps")
-    dealt = members.join(known, ["owner", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    known = steps.join(next_to(-1, "above").hint("merge"), ["owner", "step"], "left").join(next_to(1, "below").hint("merge"), ["owner", "step"], "left")
+    known = stored(known, "known-steps")
+    dealt = members.join(known.hint("merge"), ["owner", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def tasks(n, step, first, second, side, kind):
         """The tasks with each of n other blocks."""
@@ -215,7 +217,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     above = tasks(F.col("above"), F.col("step"), lambda o: own, lambda o: o, lambda o: F.lit(0), "next")
     below = tasks(F.col("below"), F.col("step") - 1, lambda o: o, lambda o: own, lambda o: F.lit(1), "next")
     roles = stored(dealt.select("id", F.concat(same, above, below).alias("tasks")).where(F.size("tasks") > 0), "inner")
-    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner", SLIM_ROWS)
+    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -245,7 +247,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
     """(a, b, n): pairs of owners and the short lists they share; with a null b, the long lists an owner is on."""
-    rows = joined(docs, owners, ["doc_id"], "left", SLIM_ROWS)
+    rows = joined(docs, owners, ["doc_id"], "left")
     rows = rows.select(F.when(F.col("skip").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("owner"), "text").where("owner is not null")
 
     def post(batches):
@@ -302,7 +304,7 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
 
 def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Candidate pairs (x, y) among the given documents (doc_id, owner), of different owners: whole sets, rare shingles first."""
-    rows = joined(docs, members, ["doc_id"], "inner", SLIM_ROWS)
+    rows = joined(docs, members, ["doc_id"], "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -313,7 +315,7 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     held = rows.select("doc_id", "owner", "text").mapInArrow(frugal(sets), "id bigint, owner bigint, tokens array<bigint>")
     held = stored(held.select("id", "owner", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token")).distinct(), "heavy")
     common = held.groupBy("token").agg(F.count_distinct("owner").alias("df")).where("df > 1")
-    shared = held.join(common, "token")
+    shared = held.join(common.hint("merge"), "token")
     # shingles of one owner alone come first in the order, and join nothing
     by_doc, whole = W.partitionBy("id").orderBy("df", "token"), W.partitionBy("id")
     placed = shared.withColumns({"rank": F.row_number().over(by_doc), "others": F.count(F.lit(1)).over(whole)})
@@ -323,7 +325,7 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     near = (F.col("x_token") == F.col("y_token")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_owner") != F.col("y_owner")) & (
         5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")) & (180 * rest >= 80 * (F.col("x_n") + F.col("y_n")))
-    return x.join(y, near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+    return x.join(y.hint("merge"), near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
 def shared_ids(docs: DataFrame) -> bool:
@@ -344,9 +346,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", count
     found = _join(own.select(F.col("number").alias("doc_id"), "text"), counted).withColumnRenamed("doc_id", "number")
     ids = own.select("number", "doc_id").where("number is not null")
     # a row without a doc_id has no number, and nothing to look up
-    named = found.where("number is not null").join(ids, "number")
+    named = found.where("number is not null").join(ids.hint("merge"), "number")
     least = stored(named.groupBy("component_id").agg(F.min("doc_id").alias("least")), "least-ids")
-    named = joined(named, least, ["component_id"], "inner", SLIM_ROWS)
+    named = joined(named, least, ["component_id"], "inner")
     more = ["links"] if counted else []
     nameless = found.where("number is null").select(F.col("number").alias("doc_id"), "n_shingles", F.col("number").alias("component_id"), *more)
     return named.select("doc_id", "n_shingles", F.col("least").alias("component_id"), *more).unionByName(nameless)
@@ -359,40 +361,40 @@ def _join(docs: DataFrame, counted: bool) -> DataFrame:
     groups = stored(components(links), "groups") if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # who owns a document's shingles: nobody if it is a copy, its group, or (not listed) the document itself
     copies = rows.where("n > 0 and doc_id is not null").select("doc_id").distinct().join(
-        classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("owner"))
+        classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("owner"))
     owners = copies.unionByName(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("owner"))).withColumn("skip", F.lit(True))
     # ranges of the hashes by the number of shingles posted, about a quarter of all
     total = classes.agg(F.sum("n")).first()[0] or 0
     met = _posted(docs, stored(owners, "owners"), max(4 * spread(docs.sparkSession), -(-total // (4 * POSTED))))
     # what is known of each owner: its smallest l, its sizes, and the long lists it is on
-    members = stored(classes.select(F.col("rep").alias("id"), "n").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+    members = stored(classes.select(F.col("rep").alias("id"), "n").join(groups.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("owner")), "members")
     long = met.where("b is null").select(F.col("a").alias("owner"), F.col("n").alias("long"))
-    known = members.groupBy("owner").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(long, "owner", "left").select(
+    known = members.groupBy("owner").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(long.hint("merge"), "owner", "left").select(
         "owner", "low", "high", F.coalesce("long", F.lit(0)).alias("long"))
     # linked owners differ in size by a quarter at most, so both are on at least this many long lists if only those are shared
     known = stored(known.withColumn("heavy", F.col("long") >= 1 + F.floor(F.col("low") * 4 / 5 / EXTRA)), "known")
-    pairs = met.where("b is not null").join(known.select([F.col(c).alias(f"a_{c}") for c in known.columns]), F.col("a") == F.col("a_owner")).join(
-        known.select([F.col(c).alias(f"b_{c}") for c in known.columns]), F.col("b") == F.col("b_owner"))
+    pairs = met.where("b is not null").join(known.select([F.col(c).alias(f"a_{c}") for c in known.columns]).hint("merge"), F.col("a") == F.col("a_owner")).join(
+        known.select([F.col(c).alias(f"b_{c}") for c in known.columns]).hint("merge"), F.col("b") == F.col("b_owner"))
     wanted = 1 + F.floor(F.least("a_low", "b_low") / EXTRA) - F.least("a_long", "b_long")
     # two heavy owners are left to the join on whole sets
     pairs = pairs.where(~(F.col("a_heavy") & F.col("b_heavy")) & (F.col("n") >= wanted) & (5 * F.col("a_high") >= 4 * F.col("b_low")) & (5 * F.col("b_high") >= 4 * F.col("a_low")))
     x, y = members.select(F.col("id").alias("x"), F.col("owner").alias("a"), F.col("n").alias("x_n")), members.select(
         F.col("id").alias("y"), F.col("owner").alias("b"), F.col("n").alias("y_n"))
-    light = pairs.select("a", "b").join(x, "a").join(y, "b").where(5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")).select("x", "y")
+    light = pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")).select("x", "y")
     heavy = known.where("heavy").select("owner")
-    heavy = stored(members.join(heavy, "owner", "left_semi").select(F.col("id").alias("doc_id"), "owner"), "heavy-members")
+    heavy = stored(members.join(heavy.hint("merge"), "owner", "left_semi").select(F.col("id").alias("doc_id"), "owner"), "heavy-members")
     across = verified(docs, light.unionByName(_heavy(docs, heavy)).distinct())
     links = stored(links.unionByName(across).distinct(), "all-links")
     whole = components(links) if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    of_class = classes.select("digest", F.col("rep").alias("node")).join(whole, "node", "left")
+    of_class = classes.select("digest", F.col("rep").alias("node")).join(whole.hint("merge"), "node", "left")
     if counted:
         ends = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).withColumn("links", F.lit(1).cast("bigint"))
         degree = ends.unionByName(inner_links(docs, members)).groupBy("node").agg(F.sum("links").alias("links"))
-        of_class = of_class.join(degree, "node", "left")
+        of_class = of_class.join(degree.hint("merge"), "node", "left")
     more = ["links"] if counted else []
     of_class = of_class.select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"), *more)
-    out = rows.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = rows.join(of_class.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
                      *[F.coalesce(c, F.lit(0)).alias(c) for c in more])
     return stored(out, "joined")
@@ -415,10 +417,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = found.select(F.col("doc_id").alias("id"), F.col("component_id").alias("component"))
     if shared:
         order = F.struct(F.col("row.doc_id").cast("bigint").alias("doc_id"), "hash", "id")
-        first = found.join(rows.select("id", order.alias("order")), "id").groupBy("component").agg(F.min("order").alias("first"))
-        copies = joined(found, stored(first.select("component", F.col("first.id").alias("kept")), "kept-rows"), ["component"], "inner", SLIM_ROWS)
+        first = found.join(rows.select("id", order.alias("order")).hint("merge"), "id").groupBy("component").agg(F.min("order").alias("first"))
+        copies = joined(found, stored(first.select("component", F.col("first.id").alias("kept")), "kept-rows"), ["component"], "inner")
         copies = copies.where("id <> kept")
     else:
         copies = found.where("id <> component")
     copies = stored(copies.select("id", F.lit(True).alias("copy")), "copies")
-    return joined(rows.drop("text"), copies, ["id"], "left", SLIM_ROWS).where("copy is null").select("row.*")
+    return joined(rows.drop("text"), copies, ["id"], "left").where("copy is null").select("row.*")

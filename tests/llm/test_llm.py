@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import (binpack, components, host_rules, impact_search, language, mixing, ngram_join, packing, repair, suffix_tree, tokens,
                           toxicity)
-from tabspark.llm.common import modulo
+from tabspark.llm.common import joined, modulo
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, kept string, part int, owner bigint"
@@ -359,6 +359,30 @@ def test_links_inside_groups(spark, monkeypatch, block):
     assert {r["doc_id"]: r["links"] for r in ngram_join.jaccard_join(rows).collect()} == want
 
 
+def test_lookups_of_the_join_are_not_broadcast(spark, docs, monkeypatch):
+    """However small they look on disk: only lookups whose cells were counted may pass through the driver."""
+    plans, write, look_up = [], ngram_join.stored, ngram_join.joined
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", recorded)
+    monkeypatch.setattr(components, "stored", recorded)
+    monkeypatch.setattr(ngram_join, "joined", lambda left, right, keys, how="left": look_up(left, right, keys, how, 0))
+    ngram_join.jaccard_join(docs).count()
+    assert len(plans) > 20 and not [n for n, p in plans if "Broadcast" in p]
+
+
+def test_lookup_cells_are_counted(spark):
+    """A lookup of few rows with long arrays is shuffled."""
+    left = spark.range(50).withColumnRenamed("id", "k")
+    right = spark.range(5).select(F.col("id").alias("k"), F.sequence(F.lit(1), F.lit(100)).alias("more"))
+    got = joined(left, right, ["k"], "inner", 400)
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and got.count() == 5
+    assert "Broadcast" in joined(left, right, ["k"], "inner", 600)._jdf.queryExecution().toString()
+
+
 def test_null_ids_take_no_part(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")]
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
