@@ -82,15 +82,17 @@ def forward(layers: list[dict], x: np.ndarray, dropout: float = 0.0, rng=None) -
         if i < len(layers) - 1:
             if "gamma" in layer:
                 if rng is not None and len(x) > 1:
-                    mean, var = x.mean(0), x.var(0)
+                    mean = x.mean(0)
+                    apart = x - mean
+                    var = (apart * apart).mean(0)
                     layer["mean"] = 0.9 * layer["mean"] + 0.1 * mean
                     layer["var"] = 0.9 * layer["var"] + 0.1 * var * len(x) / (len(x) - 1)
                     step["live"] = True
                 else:
-                    mean, var = layer["mean"], layer["var"]
+                    apart, var = x - layer["mean"], layer["var"]
                     step["live"] = False
                 step["inv"] = 1 / np.sqrt(var + EPS)
-                step["hat"] = (x - mean) * step["inv"]
+                step["hat"] = apart * step["inv"]
                 x = layer["gamma"] * step["hat"] + layer["beta"]
             step["mask"] = (x > 0).astype(float)
             if rng is not None and dropout > 0:
@@ -100,6 +102,21 @@ def forward(layers: list[dict], x: np.ndarray, dropout: float = 0.0, rng=None) -
     return x, tape
 
 
+def outputs(layers: list[dict], x: np.ndarray) -> np.ndarray:
+    """The output alone, outside of training."""
+    for i, layer in enumerate(layers):
+        x = x @ layer["w"]
+        x += layer["b"]
+        if i < len(layers) - 1:
+            if "gamma" in layer:
+                x -= layer["mean"]
+                x *= 1 / np.sqrt(layer["var"] + EPS)
+                x *= layer["gamma"]
+                x += layer["beta"]
+            np.maximum(x, 0, out=x)
+    return x
+
+
 def loss_and_slope(out: np.ndarray, y: np.ndarray, classes: int | None) -> tuple[float, np.ndarray]:
     """Summed loss (squared error, or cross entropy) and its slope per row."""
     if classes is None:
@@ -159,6 +176,8 @@ class State:
     first: list[dict]
     second: list[dict]
     steps: int = 0
+    #: Once a step was taken: what is trained, and its moments, as one array each; the layers are views of them.
+    flat: list[np.ndarray] | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def start(cls, layers: list[dict]) -> "State":
@@ -175,11 +194,23 @@ class State:
         """One Adam step, in place."""
         self.steps += 1
         scale = lr * math.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for layer, grad, m, v in zip(self.layers, grads, self.first, self.second):
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                layer[k] -= scale * m[k] / (np.sqrt(v[k]) + 1e-8)
+        if self.flat is None:
+            self.flat = [_in_one(part) for part in (self.layers, self.first, self.second)]
+        weights, m, v = self.flat
+        g = np.concatenate([grad[k].ravel() for grad in grads for k in sorted(grad)])
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        weights -= scale * m / (np.sqrt(v) + 1e-8)
+
+
+def _in_one(layers: list[dict]) -> np.ndarray:
+    """One array with all that is trained, of which the layers then hold views."""
+    trained = [(layer, k) for layer in layers for k in sorted(layer) if k in TRAINED]
+    whole, at = np.concatenate([layer[k].ravel() for layer, k in trained]), 0
+    for layer, k in trained:
+        layer[k] = whole[at:at + layer[k].size].reshape(layer[k].shape)
+        at += layer[k].size
+    return whole
 
 
 PACKED = "part long, n int, x binary, y binary, is_val binary"
@@ -236,7 +267,7 @@ def _epoch_task(shipped, p: dict, classes: int | None, lr: float, epoch: int, se
                 val = np.frombuffer(packed_val.as_buffer(), np.uint8).astype(bool)
                 for here, kind in ((val, "val"), (~val, "train")):
                     if here.any():
-                        out = forward(start.layers, x[here])[0]
+                        out = outputs(start.layers, x[here])
                         sums[f"{kind}_loss"] += loss_and_slope(out, y[here], classes)[0]
                         sums["val_rows" if kind == "val" else "rows"] += float(here.sum())
                         if kind == "val" and classes is not None:
@@ -304,7 +335,7 @@ class NetCore:
         def predict(x: pa.Array) -> pa.Array:
             ends = np.asarray(x.offsets)
             flat = x.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]] if len(x) else np.zeros(0)
-            got = forward(layers, flat.reshape(len(x), -1))[0] if len(x) else np.zeros((0, classes or 1))
+            got = outputs(layers, flat.reshape(len(x), -1)) if len(x) else np.zeros((0, classes or 1))
             if not classes:
                 return pa.array(got[:, 0] * std + mean, pa.float64())
             return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * classes, pa.int32()), pa.array(softmax(got).ravel(), pa.float64()))

@@ -466,6 +466,28 @@ def test_net_merges_in_groups(signal, monkeypatch):
     assert mlp.flatten(direct.layers) == pytest.approx(mlp.flatten(grouped.layers), rel=1e-6)
 
 
+@pytest.mark.parametrize("norm", [False, True])
+def test_steps_and_outputs_of_a_net(norm):
+    """A step on one array is Adam's step on each, and outputs are those of the forward pass."""
+    rng, p = np.random.default_rng(5), mlp.init_layers([4, 6, 5, 3], norm, 1)
+    state = mlp.State.start(mlp.unflatten(mlp.flatten(p), p))
+    m, v = ([{k: np.zeros_like(x) for k, x in layer.items()} for layer in p] for _ in range(2))
+    for step in range(1, 4):
+        grads = [{k: rng.normal(size=x.shape) for k, x in layer.items() if k in mlp.TRAINED} for layer in p]
+        state.step(grads, 0.01)
+        for layer, grad, a, b in zip(p, grads, m, v):
+            for k, g in grad.items():
+                a[k] += 0.1 * (g - a[k])
+                b[k] += 0.001 * (g * g - b[k])
+                layer[k] -= 0.01 * math.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step) * a[k] / (np.sqrt(b[k]) + 1e-8)
+    assert (state.numbers() == mlp.State(p, m, v).numbers()).all()
+    x = rng.normal(size=(40, 4))
+    assert (mlp.outputs(p, x) == mlp.forward(p, x)[0]).all()
+    again = state.like(state.numbers(), state.steps)       # what an epoch hands on takes steps of its own
+    again.step(grads, 0.01)
+    assert not (again.numbers() == state.numbers()).all() and again.steps == 4
+
+
 def test_net_parameters_are_checked():
     for name, params in (("mlp", {"hidden": (8,)}), ("mlp", {"max_epochs": 10}), ("deep_mlp", {"dropout": 0.9}),
                          ("deep_mlp", {"hidden": (32, 32, 32, 32)}), ("mlp", {"depth": 3})):
