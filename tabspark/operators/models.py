@@ -54,16 +54,18 @@ def concurrently(calls: list, at_once: int = PARALLEL_FITS) -> list:
 
 
 FIT_SHARDS = 8              # default of the session setting tabspark.fit.shards
+SHARD_ROWS = 500_000        # rows of a shard, about; larger tables have more shards than the setting says
 
 
 @contextmanager
 def ready(data: DataFrame):
-    """The rows persisted for passes to come, dealt by their hash to a fixed number of shards.
+    """The rows persisted for passes to come, dealt by their hash to a number of shards that only their count decides.
 
     Bags and samples are drawn shard by shard, so a fit is the same whatever the machine, its cores or
-    the partitions the rows arrive in. The number is the session setting ``tabspark.fit.shards``.
+    the partitions the rows arrive in. The number is the session setting ``tabspark.fit.shards``, or more where a shard
+    would have over SHARD_ROWS rows: what one task reads and holds does not grow with the table.
     """
-    shards = int(data.sparkSession.conf.get("tabspark.fit.shards", str(FIT_SHARDS)))
+    shards = max(int(data.sparkSession.conf.get("tabspark.fit.shards", str(FIT_SHARDS))), -(-data.count() // SHARD_ROWS))
     cells = [col(f.name) for f in data.schema.fields if "map<" not in f.dataType.simpleString()]
     dealt = data.repartition(shards, F.xxhash64(*cells)) if cells else data.repartition(shards)
     dealt = dealt.sortWithinPartitions(F.xxhash64(*cells), F.hash(*cells)) if cells else dealt

@@ -488,6 +488,22 @@ def test_steps_and_outputs_of_a_net(norm):
     assert not (again.numbers() == state.numbers()).all() and again.steps == 4
 
 
+def test_shards_grow_with_the_rows(signal, monkeypatch):
+    """A task of a fit has a bounded number of rows, and the fit is still the same for any partitioning."""
+    df = signal[0].select("a", "b", "c", "y")
+    monkeypatch.setattr(models, "SHARD_ROWS", 50)
+    with models.ready(df) as rows:
+        held = [len(x) for x in rows.rdd.glom().collect()]
+    assert sum(held) == df.count() and len(held) == -(-sum(held) // 50)
+    params = {"n_estimators": 3, "max_depth": 3}
+    fits = [plan.fit(d, "y", "random_forest", params) for d in (df.coalesce(1), df.repartition(7))]
+    told = [sorted(r[0] for r in f.predict(df, ["a"]).select("prediction").collect()) for f in fits]
+    assert told[0] == told[1]
+    monkeypatch.setattr(models, "SHARD_ROWS", 10**9)
+    with models.ready(df) as rows:
+        assert rows.rdd.getNumPartitions() == 4            # the setting of the tests
+
+
 def test_net_parameters_are_checked():
     for name, params in (("mlp", {"hidden": (8,)}), ("mlp", {"max_epochs": 10}), ("deep_mlp", {"dropout": 0.9}),
                          ("deep_mlp", {"hidden": (32, 32, 32, 32)}), ("mlp", {"depth": 3})):
