@@ -22,7 +22,7 @@ from tabspark.session import scratch_path
 
 MAX_BINS = 64
 #: Numbers of a packed block of rows, and rounds after which the scores are written anew.
-PACKED_CELLS, REFRESH = 1 << 18, 10
+PACKED_CELLS, REFRESH = 1 << 18, 4
 TINY = 1e-150
 
 
