@@ -41,7 +41,7 @@ from tabspark.llm.texts import hashes, parts, split_words
 
 WORDS = 5
 #: Bytes of text that are shingled at once.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 SHORT = 24
 #: Postings of a range of shingles, about; a range is merged by one task.
 POSTED = 400_000
