@@ -19,7 +19,8 @@ smaller list of each shared shingle must be met that often. As in DivideSkip, li
   and each two blocks whose sizes may agree are compared in one task, which returns a number a member.
 
 So no link is lost, and no group of copies is expanded into its pairs. All lookups grow with the table: they are
-shuffled and merged, or broadcast after a count of their cells, so the driver holds no more for more documents. The components of the links are
+shuffled and merged, or broadcast after a count of their cells, so the driver holds no more for more documents. Texts are looked up at
+any size in one way: a sieve of the wanted ids, of bounded size, is broadcast, and only texts it lets through are shuffled. The components of the links are
 found by alternating stars. Shingles are compared by 64-bit hashes.
 
 A text of one to four words has one shingle, the whole sequence; one without words, or null, has none, and is
@@ -53,6 +54,8 @@ KEYS = 3
 STAR = 200
 #: Shingles of a block of a group whose links are counted; a set counts as a thousand at least.
 BLOCK = 1_000_000
+#: Words of a sieve, and masks of 64 bits in each: 2 MB of bits at most.
+SIEVE_WORDS, SIEVE_MASKS = 1 << 15, 8
 #: Sizes of one class differ by this factor at most, so linked sets are in the same class or the next.
 STEP = 1.26
 
@@ -94,6 +97,25 @@ def least_shared(n: int) -> int:
     return -(-4 * n // 5)
 
 
+def _looked_up(texts: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
+    """The texts joined with a written lookup, ``inner`` or ``left``, on a key of a row each.
+
+    Texts that a sieve of the lookup's keys holds back surely meet nothing and stay where they are; the others are shuffled.
+    """
+    hashed = F.xxhash64(key)
+    slots = {"sieve_word": F.pmod(hashed, F.lit(SIEVE_WORDS)), "sieve_bit": F.pmod(F.shiftright(hashed, 20), F.lit(64 * SIEVE_MASKS))}
+    mask, bit = F.expr("cast(sieve_bit div 64 as int)"), F.expr("shiftleft(1L, cast(sieve_bit % 64 as int))")
+    masks = [f"sieve_{k}" for k in range(SIEVE_MASKS)]
+    sieve = stored(lookup.select(key).withColumns(slots).groupBy("sieve_word").agg(
+        *[F.coalesce(F.bit_or(F.when(mask == k, bit)), F.lit(0)).cast("bigint").alias(m) for k, m in enumerate(masks)]), "sieve")
+    sieved = joined(texts.withColumns(slots), sieve, ["sieve_word"], how)
+    through = F.coalesce(F.col(key).isNotNull() & (F.get(F.array(*masks), mask).bitwiseAND(bit) != 0), F.lit(False))
+    met = sieved.where(through).select(*texts.columns).join(lookup.hint("merge"), key, how)
+    if how == "inner":
+        return met
+    return met.unionByName(sieved.where(~through).select(*texts.columns), allowMissingColumns=True)
+
+
 def _classes(docs: DataFrame, path_name: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest) of each row, and (digest, rep, n, k0...) of each class of equal sets."""
     def slim(batches):
@@ -129,7 +151,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     member = pairs.join(salts.hint("merge"), "x").select(F.col("y").alias("id"), "x", F.pmod(F.xxhash64("y"), F.col("last") + 1).alias("salt"))
     centre = salts.select(F.col("x").alias("id"), "x", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("salt"))
     roles = stored(member.unionByName(centre).groupBy("id").agg(F.collect_list(F.struct("x", "salt")).alias("stars")), "roles")
-    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner")
+    rows = _looked_up(docs.withColumnRenamed("doc_id", "id"), roles, "id", "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -217,7 +239,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     above = tasks(F.col("above"), F.col("step"), lambda o: own, lambda o: o, lambda o: F.lit(0), "next")
     below = tasks(F.col("below"), F.col("step") - 1, lambda o: o, lambda o: own, lambda o: F.lit(1), "next")
     roles = stored(dealt.select("id", F.concat(same, above, below).alias("tasks")).where(F.size("tasks") > 0), "inner")
-    rows = joined(docs.withColumnRenamed("doc_id", "id"), roles, ["id"], "inner")
+    rows = _looked_up(docs.withColumnRenamed("doc_id", "id"), roles, "id", "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -247,7 +269,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
     """(a, b, n): pairs of owners and the short lists they share; with a null b, the long lists an owner is on."""
-    rows = joined(docs, owners, ["doc_id"], "left")
+    rows = _looked_up(docs, owners, "doc_id", "left")
     rows = rows.select(F.when(F.col("skip").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("owner"), "text").where("owner is not null")
 
     def post(batches):
@@ -304,7 +326,7 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
 
 def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Candidate pairs (x, y) among the given documents (doc_id, owner), of different owners: whole sets, rare shingles first."""
-    rows = joined(docs, members, ["doc_id"], "inner")
+    rows = _looked_up(docs, members, "doc_id", "inner")
 
     def sets(batches):
         for batch in parts(batches, size=SLICE_BYTES):
@@ -423,4 +445,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     else:
         copies = found.where("id <> component")
     copies = stored(copies.select("id", F.lit(True).alias("copy")), "copies")
-    return joined(rows.drop("text"), copies, ["id"], "left").where("copy is null").select("row.*")
+    return _looked_up(rows.drop("text"), copies, "id", "left").where("copy is null").select("row.*")

@@ -374,6 +374,25 @@ def test_lookups_of_the_join_are_not_broadcast(spark, docs, monkeypatch):
     assert len(plans) > 20 and not [n for n, p in plans if "Broadcast" in p]
 
 
+@pytest.mark.parametrize("words", [1, 1 << 15])
+def test_only_looked_up_texts_are_shuffled(spark, monkeypatch, tmp_path, words):
+    """Texts that a lookup cannot meet stay where they are, however many ids it has; a crowded sieve loses none."""
+    monkeypatch.setattr(ngram_join, "SIEVE_WORDS", words)
+    texts = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("k"), F.col("id").cast("string").alias("text"))
+    lookup = spark.range(1, 3000, 75).select(F.col("id").alias("k"), F.lit(7).alias("more"))
+    texts.write.parquet(str(tmp_path / "texts"))
+    lookup.write.parquet(str(tmp_path / "lookup"))
+    texts, lookup = spark.read.parquet(str(tmp_path / "texts")), spark.read.parquet(str(tmp_path / "lookup"))
+    wanted = {r["k"] for r in lookup.collect()}
+    inner = ngram_join._looked_up(texts, lookup, "k", "inner")
+    assert sorted((r["k"], r["text"], r["more"]) for r in inner.collect()) == sorted((k, str(k), 7) for k in wanted if k % 10)
+    left = ngram_join._looked_up(texts, lookup, "k", "left")
+    assert sorted((r["text"], r["k"], r["more"]) for r in left.collect()) == sorted(
+        (str(i), i if i % 10 else None, 7 if i % 10 and i in wanted else None) for i in range(3000))
+    plan = inner._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "sieve_word" in plan
+
+
 def test_lookup_cells_are_counted(spark):
     """A lookup of few rows with long arrays is shuffled."""
     left = spark.range(50).withColumnRenamed("id", "k")
