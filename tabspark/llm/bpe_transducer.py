@@ -5,9 +5,11 @@ the bytes of both give the two back. So the encoding is what a nondeterministic
 trie of tokens, may end a token wherever the trie does, and may do so only if the token fits the one before.
 Each prefix of the input has one encoding, so one path has just ended a token and the others are inside one.
 
-``Transducer`` determinises this byte by byte. A state is the last emitted token and the open paths: the tokens
-that each holds back and its place in the trie. A token is emitted as soon as all open paths agree on it, that is
-after a lookahead of at most the longest token. States, arcs and fitting pairs are built when first met,
+``Transducer`` determinises this byte by byte. Any prefix has an encoding, so which paths are open follows from the
+bytes alone: a state is the set of their places in the trie, and an arc names the tokens that may end after its byte. The one of
+them that fits the token before it ends the encoding of the prefix; this last token is all that is kept of a prefix, for what a
+path holds back is traced from it. A token is emitted as soon as all open paths agree on it, that is
+after a lookahead of at most the longest token; a short match is read to its end first. States, arcs and fitting pairs are built when first met,
 and thrown away when there are too many, so memory is bounded whatever the texts.
 
 ``Decoder`` takes ids in pieces of any length and gives whole characters only: an automaton over the bytes of UTF-8,
@@ -33,12 +35,19 @@ from tabspark.llm.common import frugal
 from tabspark.llm.texts import parts
 
 #: Arcs, fitting pairs and encoded pieces kept; beyond, they are built anew.
-ARCS, PAIRS, PIECES = 250_000, 200_000, 100_000
+ARCS, PAIRS, PIECES = 100_000, 200_000, 100_000
 #: Pieces longer than this are not remembered.
 PIECE_BYTES = 64
+#: First bytes of a match after which the state is remembered.
+HEAD_BYTES = 5
+#: Bytes of a match that are read before the ids that are sure are given out.
+READ_BYTES = 1 << 16
 #: The rank of what is no token.
 _NEVER = 1 << 60
 
+#: Places in the trie that are open, and the last token of each prefix that they may go back to.
+State = tuple[tuple[int, ...], tuple[int, ...]]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The tokens of a rank file, a line ``base64 rank`` for each."""
@@ -47,7 +56,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Ids of single matches of the pattern; ``feed`` and ``finish`` for input that comes in pieces."""
+    """Ids of single matches of the pattern; ``feed`` and ``rest`` for input that comes in pieces."""
 
     def __init__(self, ranks: dict[bytes, int], arcs: int = ARCS, pairs: int = PAIRS):
         self.ranks, self.most_arcs, self.most_pairs = ranks, arcs, pairs
@@ -55,17 +64,19 @@ class Transducer:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for the bytes {missing[:5]}")
-        # the trie of tokens: by node and byte the next node; whether a node goes on, and the token that ends there
+        self.size = {i: len(t) for t, i in ranks.items()}
+        # the trie of tokens: by node and byte the next node; whether a node goes on, its depth, and the token that ends there
         self.trie: dict[int, int] = {}
-        self.ends, self.inner = [-1], [False]
+        self.ends, self.inner, self.depth = [-1], [False], [0]
         for data, rank in ranks.items():
             node = 0
-            for byte in data:
+            for deep, byte in enumerate(data, 1):
                 self.inner[node] = True
                 node = self.trie.setdefault(node << 8 | byte, len(self.ends))
                 if node == len(self.ends):
                     self.ends.append(-1)
                     self.inner.append(False)
+                    self.depth.append(deep)
             self.ends[node] = rank
         # a token that its own merges do not give is only ever a whole match
         self._histories: dict[int, tuple[tuple[int, bytes, bytes], ...] | None] = {}
@@ -73,14 +84,30 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Start with no states but the first: nothing emitted, one path at the root."""
-        self.states = [(-1, (((), 0),))]
+        """Start with no states but the first: one path at the root."""
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+
+    def _numbered(self, places: tuple[int, ...]) -> int:
+        number = self.number.setdefault(places, len(self.states))
+        if number == len(self.states):
+            self.states.append(places)
+        return number
+
+    def _traced(self, last: Sequence[int], at: int) -> list[int]:
+        """The encoding of the first ``at`` bytes, from the last token of each prefix."""
+        out, size = [], self.size
+        while at:
+            out.append(last[at])
+            at -= size[last[at]]
+        out.reverse()
+        return out
 
-    def rest(self, state: int) -> tuple[int, ...]:
+    def rest(self, state: State | None) -> list[int]:
         """What is held back by the path that has just ended a token: the ids to come if the input ends here."""
-        return self.states[state][1][-1][0]
+        return self._traced(state[1], len(state[1]) - 1) if state else []
 
     def history(self, token: int) -> tuple[tuple[int, bytes, bytes], ...] | None:
         """What a token's own merges leave first and last after each merge, with its rank; None if they do not give the token."""
@@ -130,65 +157,82 @@ class Transducer:
             else:
                 j += 1
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after a byte and the tokens that all its paths agree on."""
-        last, paths = self.states[state]
-        trie, ends, inner, after, done = self.trie, self.ends, self.inner, [], None
-        for held, node in paths:
-            node = trie.get(node << 8 | byte)
+    def _arc(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The state after a byte, and the tokens that may end there with their sizes, the longest first."""
+        after, found = [], []
+        for node in self.states[state]:
+            node = self.trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if inner[node]:
-                after.append((held, node))
-            if done is None and ends[node] >= 0 and self.fits(held[-1] if held else last, ends[node]):
-                done = (*held, ends[node])  # no other path ends here, for a prefix has one encoding
+            if self.inner[node]:
+                after.append(node)
+            token = self.ends[node]
+            if token >= 0 and self.history(token) is not None:
+                found.append((token, self.size[token]))
         # the paths in order of their places in the trie, the deepest first; the one at the root is the last
-        shared, low = len(done), done
-        for held, _ in after:
-            if len(held) < shared:
-                shared = len(held)
-            while held[:shared] != low[:shared]:
-                shared -= 1
-        if shared:
-            last = done[shared - 1]
-            new = (last, (*((held[shared:], node) for held, node in after), (done[shared:], 0)))
-        else:
-            new = (last, (*after, (done, 0)))
-        target = self.number.get(new)
-        if target is None:
-            target = self.number[new] = len(self.states)
-            self.states.append(new)
-        self.arcs[state << 8 | byte] = found = (target, done[:shared])
-        return found
-
-    def encode(self, piece: bytes) -> list[int]:
-        """The ids of one match."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        out: list[int] = []
-        out += self.rest(self.feed(0, piece, out))
-        return out
+        self.arcs[state << 8 | byte] = step = (self._numbered((*after, 0)), tuple(found))
+        return step
 
-    def feed(self, state: int, data: bytes, out: list[int]) -> int:
-        """Read bytes from a state on, append the ids that are sure, and return the state reached."""
-        arcs = self.arcs
+    def _read(self, state: int, data: bytes, last: list[int]) -> int:
+        """Read bytes from a state on, append the last token of each prefix, and return the state reached."""
+        arcs, known = self.arcs, self._fits
         for byte in data:
             step = arcs.get(state << 8 | byte)
             if step is None:
                 if len(arcs) >= self.most_arcs:  # keep the state we are in, forget the others
-                    kept = self.states[state]
+                    places = self.states[state]
                     self.forget()
-                    arcs = self.arcs
-                    state = self.number.setdefault(kept, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(kept)
+                    arcs, state = self.arcs, self._numbered(places)
                 step = self._arc(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state, found = step
+            for token, size in found:
+                before = last[-size]
+                fits = before < 0 or known.get(before << 32 | token)
+                if fits or fits is None and self.fits(before, token):
+                    last.append(token)  # no other path ends here, for a prefix has one encoding
+                    break
         return state
 
+    def _begun(self, head: bytes) -> tuple[int, list[int]]:
+        """The state after the first bytes of a match, and the last token of each prefix."""
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) >= self.most_arcs:
+                self.heads.clear()
+            last = [-1]
+            state = self._read(0, head, last)
+            known = self.heads[head] = state, tuple(last)
+        return known[0], list(known[1])
+
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of one match."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(piece) <= READ_BYTES:
+            state, last = self._begun(piece[:HEAD_BYTES])
+            self._read(state, piece[HEAD_BYTES:], last)
+            return self._traced(last, len(piece))
+        state, out = None, []
+        for low in range(0, len(piece), READ_BYTES):
+            state = self.feed(state, piece[low:low + READ_BYTES], out)
+        return out + self.rest(state)
+
+    def feed(self, state: State | None, data: bytes, out: list[int]) -> State:
+        """Read bytes from a state on (none, or 0: the beginning), append the ids that are sure, and return the state reached."""
+        places, last = state or ((0,), (-1,))
+        last = list(last)
+        places = self.states[self._read(self._numbered(places), data, last)]
+        # the encodings of what is before the open paths agree up to where they, traced back, meet
+        heads = {len(last) - 1 - self.depth[node] for node in places}
+        while len(heads) > 1:
+            at = max(heads)
+            heads.remove(at)
+            heads.add(at - self.size[last[at]])
+        sure = heads.pop()
+        out += self._traced(last, sure)
+        return places, tuple(last[sure:])
+
 
 class Encoder:
     """Ids of whole texts: each match of the pattern is read by the transducer on its own."""

@@ -72,6 +72,20 @@ def test_output_waits_no_longer_than_the_longest_token(encoder):
     assert out + list(own.rest(state)) == own.encode(data)
 
 
+def test_new_words_need_few_new_states(library, monkeypatch):
+    """What follows a place in the trie is built once, whatever the tokens before it."""
+    rng = random.Random(3)
+    syllables = [a + b for a in "bcdfglmnprstvzé" for b in ("a", "e", "i", "on", "er", "ï")]
+    words = [" " + "".join(rng.choice(syllables) for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    own = bpe_transducer.Encoder(RANKS, PATTERN)
+    assert [own.encode(w) for w in words] == [library.encode_ordinary(w) for w in words]
+    assert len(own.transducer.states) < len(words) and len(own.transducer.arcs) < 3 * len(words)
+    # matches read in slices give the same
+    monkeypatch.setattr(bpe_transducer, "READ_BYTES", 3, raising=False)
+    again = bpe_transducer.Encoder(RANKS, PATTERN)
+    assert [again.encode(w) for w in words[:500]] == [own.encode(w) for w in words[:500]]
+
+
 def test_transducer_needs_every_byte():
     with pytest.raises(ValueError):
         bpe_transducer.Transducer({b"a": 0, b"ab": 1})
