@@ -34,8 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 from tabspark.llm.common import frugal
 from tabspark.llm.texts import parts
 
-#: Arcs, fitting pairs and encoded pieces kept; beyond, they are built anew.
-ARCS, PAIRS, PIECES = 100_000, 200_000, 100_000
+#: Arcs and fitting pairs kept; beyond, they are built anew.
+ARCS, PAIRS = 100_000, 200_000
+#: Encoded pieces of a generation; the one before it is kept too, and what is met again moves on to the new one.
+PIECES = 200_000
 #: Pieces longer than this are not remembered.
 PIECE_BYTES = 64
 #: First bytes of a match after which the state is remembered.
@@ -241,18 +243,24 @@ class Encoder:
         import regex
         self.find, self.transducer = regex.compile(pattern).findall, Transducer(read_ranks(path))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
-                data = piece.encode("utf-8")
-                ids = self.transducer.encode(data)
-                if len(data) <= PIECE_BYTES:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = tuple(ids)
+                ids = self.older.get(piece)
+                if ids is None:
+                    data = piece.encode("utf-8")
+                    ids = tuple(self.transducer.encode(data))
+                    if len(data) > PIECE_BYTES:
+                        out += ids
+                        continue
+                if len(known) >= PIECES:
+                    self.older, self.known = known, {}
+                    known = self.known
+                known[piece] = ids
             out += ids
         return out
 

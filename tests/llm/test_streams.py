@@ -342,3 +342,13 @@ def test_mix_of_documents_without_words(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op8_source_schedule"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["size"], r["repeats"] is None) for r in got) == [(0, 0, True), (1, 0, True), (2, 0, True), (3, 3, False), (3, 3, False)]
+
+
+def test_pieces_met_again_are_not_read_again(library, monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "PIECES", 3)
+    own, read = bpe_transducer.Encoder(RANKS, PATTERN), []
+    plain = own.transducer.encode
+    monkeypatch.setattr(own.transducer, "encode", lambda data: read.append(data) or plain(data))
+    text = "often aqxvu often bqxvu often cqxvu often dqxvu often eqxvu often"
+    assert own.encode(text) == library.encode_ordinary(text)
+    assert read.count(b" often") == 1 and max(len(own.known), len(own.older)) <= 3
