@@ -68,17 +68,18 @@ def compress(ids: np.ndarray, begin: np.ndarray, first: int, end: int = END) ->
                 rights.add(b)
                 chosen.append(key)
         picked = np.sort(np.array(chosen, np.uint32))
-        maybe = np.zeros(SYMBOLS, bool)
-        maybe[list(lefts)] = True
-        at = np.flatnonzero(maybe[seq[:-1]] & good)
+        # no symbol is both a left and a right one, so twins and pairs with the end id fall out here
+        begins, closes = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+        begins[list(lefts)] = closes[list(rights)] = True
+        at = np.flatnonzero(begins[seq[:-1]] & closes[seq[1:]])
         where = np.minimum(np.searchsorted(picked, keys[at]), len(picked) - 1)
         hit = picked[where] == keys[at]
         at, where = at[hit], where[hit]
         seq[at] = first + len(rules) + where
-        gone = np.zeros(len(seq) + 1, np.int64)
-        gone[at + 1] = 1
-        starts = starts - np.concatenate([[0], np.cumsum(gone)])[starts]
-        seq = seq[gone[:-1] == 0]
+        starts = starts - np.searchsorted(at, starts - 1)
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq = seq[stays]
         rules = np.concatenate([rules, np.stack([picked >> np.uint32(16), picked & np.uint32(0xFFFF)], 1)])
     return rules, seq, starts
 

@@ -4,7 +4,7 @@ A batch of texts is cut where the tokenizers used here always end a pre-token: b
 space, and between a letter and a following ASCII digit or mark (but the apostrophe, which
 starts contractions). The distinct pieces are encoded by the tokenizers library, many joined
 in one call, and the ids of a text are those of its pieces in a row. ``tests/llm`` holds the
-result against encoding whole texts.
+result against encoding whole texts. A worker keeps the ids of short pieces from batch to batch, of a bounded number of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Pieces that are joined for one call.
 JOINED = 2000
+#: Pieces whose ids a worker keeps from batch to batch, and the bytes of the longest of them.
+KEPT, KEPT_BYTES = 800_000, 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,6 +55,9 @@ class Encoder:
         self.between = "\n" if spaced else " \x01 "
         ids = self.tokenizer.encode("\x01" if not spaced else "\n", add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
+        # pieces of earlier batches, the ids of all of them in a row, where each one's ids begin, and how many they are
+        self.kept = pa.array([], pa.large_string())
+        self.kept_ids, self.kept_at = np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)
 
     def pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The pieces of all texts in a row, and where each text's pieces begin."""
@@ -111,13 +116,34 @@ class Encoder:
             begin[order] = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
         return flat.astype(np.uint32), np.stack([begin, lengths])
 
+    def looked_up(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for distinct pieces: only those that earlier batches did not have are encoded."""
+        at = pc.fill_null(pc.index_in(found, value_set=self.kept), -1).to_numpy(zero_copy_only=False)
+        new, old = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        fresh, places = self.encode(found.take(pa.array(new)).to_pylist())
+        flat, where = np.concatenate([self.kept_ids, fresh]), np.zeros((2, len(found)), np.int64)
+        where[:, old] = self.kept_at[:, at[old]]
+        where[:, new] = places
+        where[0, new] += len(self.kept_ids)
+        short = pc.less_equal(pc.binary_length(found), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        keep = new[short[new]]
+        if len(self.kept) + len(keep) > KEPT:  # begin again with what this batch has
+            keep = np.flatnonzero(short)[:KEPT]
+            self.kept, self.kept_ids, self.kept_at = self.kept[:0], self.kept_ids[:0], self.kept_at[:, :0]
+        first, length = where[:, keep]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        self.kept = pa.concat_arrays([self.kept, found.take(pa.array(keep))])
+        self.kept_at = np.concatenate([self.kept_at, np.stack([len(self.kept_ids) + ends[:-1], length])], 1)
+        self.kept_ids = np.concatenate([self.kept_ids, flat[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]])
+        return flat, where
+
     def ids(self, texts: pa.Array, end: int, at_once: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For runs of texts: first, last + 1, their ids with ``end`` after each text, and where each text begins.
 
         A run has about ``at_once`` pieces, or one text.
         """
         coded, begin = self.pieces(texts)
-        flat, (first, length) = self.encode(coded.dictionary.to_pylist())
+        flat, (first, length) = self.looked_up(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         low = 0
         while low < len(texts):

@@ -554,3 +554,25 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     load = got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("n"), F.sum("n")).first()
     assert load[0] <= 1024 and load[1] <= 1.05 * math.ceil(load[2] / 1024) + 1
+
+
+@pytest.mark.parametrize("path, spaced", [(BYTE, True), (WORD, False)])
+def test_pieces_of_earlier_batches_are_looked_up(path, spaced, monkeypatch):
+    own, coded = tokens.Encoder(path, spaced), []
+    plain = own.encode
+    monkeypatch.setattr(own, "encode", lambda found: coded.extend(found) or plain(found))
+    texts = pa.array([t for t in ODD if t] + ["x" * 100 + " once more"])
+    first = [(i.tolist(), b.tolist()) for _, _, i, b in own.ids(texts, 2)]
+    before = len(coded)
+    assert [(i.tolist(), b.tolist()) for _, _, i, b in own.ids(texts, 2)] == first
+    assert before and [len(x) for x in coded[before:]] == [100]  # a long piece is not kept
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 5)
+    own = tokens.Encoder(WORD, False)
+    for k in range(6):
+        texts = [f"qx{chr(97 + k + j)}v rest" for j in range(k + 1)]
+        want = [e.ids + [2] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [ids[b[i]:b[i + 1]].tolist() for low, high, ids, b in own.ids(pa.array(texts), 2) for i in range(high - low)]
+        assert got == want and len(own.kept) <= 5 and own.kept_at.shape[1] == len(own.kept) and own.kept_at[1].sum() == len(own.kept_ids)
