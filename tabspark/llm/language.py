@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabspark.llm.common import joined, modulo, stored
+from tabspark.llm.common import joined, modulo, roomy, stored
 
 SLICES = 256
 #: Characters that each sampled document gives at most.
@@ -78,7 +78,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], keep: tuple[str, ...] =
                                   names=["row", "lang_pred", "score", "margin"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double"
-    return rows.mapInArrow(sized, schema).withColumn("rejected", F.col("margin") < margin)
+    return rows.mapInArrow(roomy(sized), schema).withColumn("rejected", F.col("margin") < margin)
 
 
 def known_documents(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabspark.llm.common import frugal, frugal_group, joined, spread, stored
+from tabspark.llm.common import frugal_group, joined, roomy, spread, stored
 from tabspark.llm.components import components
 from tabspark.llm.texts import hashes, parts, split_words
 
@@ -127,7 +127,7 @@ def _classes(docs: DataFrame, path_name: str) -> tuple[DataFrame, DataFrame]:
                                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                                    *[pa.array(k, pa.int64()) for k in keys]], names=["doc_id", "n", "digest", *[f"k{i}" for i in range(KEYS)]])
 
-    rows = stored(docs.mapInArrow(frugal(slim), "doc_id bigint, n bigint, digest binary, " + ", ".join(f"k{i} bigint" for i in range(KEYS))), path_name)
+    rows = stored(docs.mapInArrow(roomy(slim), "doc_id bigint, n bigint, digest binary, " + ", ".join(f"k{i} bigint" for i in range(KEYS))), path_name)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)])
     return rows.select("doc_id", "n", "digest"), stored(classes, "classes")
@@ -183,7 +183,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 linked.append(i)
         return pa.table({"a": pa.array([centre_id] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    spreads = rows.select("id", "text", "stars").mapInArrow(frugal(sets), "x bigint, salt bigint, id bigint, set binary")
+    spreads = rows.select("id", "text", "stars").mapInArrow(roomy(sets), "x bigint, salt bigint, id bigint, set binary")
     return stored(spreads.groupBy("x", "salt").applyInArrow(frugal_group(compare), "a bigint, b bigint"), "links")
 
 
@@ -263,7 +263,7 @@ def inner_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             linked &= side[:, None] != side[None, :]
         return pa.table({"node": pa.array(list(held), pa.int64()), "links": pa.array(linked.sum(0) + linked.sum(1), pa.int64())})
 
-    met = rows.select("id", "text", "tasks").mapInArrow(frugal(sets), "task string, side int, id bigint, set binary")
+    met = rows.select("id", "text", "tasks").mapInArrow(roomy(sets), "task string, side int, id bigint, set binary")
     return pairs.unionByName(stored(met.groupBy("task").applyInArrow(frugal_group(compare), "node bigint, links bigint"), "inner-links"))
 
 
@@ -319,7 +319,7 @@ def _posted(docs: DataFrame, owners: DataFrame, ranges: int) -> DataFrame:
                          "b": pa.concat_arrays([pa.array(b[start], pa.int64()), pa.nulls(len(long_owner), pa.int64())]),
                          "n": pa.array(np.concatenate([times, long_times]), pa.int64())})
 
-    packed = rows.mapInArrow(frugal(post), "range int, tokens binary, owners binary")
+    packed = rows.mapInArrow(roomy(post), "range int, tokens binary, owners binary")
     met = packed.groupBy("range").applyInArrow(frugal_group(merge), "a bigint, b bigint, n bigint")
     return stored(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "met")
 
@@ -334,7 +334,7 @@ def _heavy(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("owner"),
                                    pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "owner", "tokens"])
 
-    held = rows.select("doc_id", "owner", "text").mapInArrow(frugal(sets), "id bigint, owner bigint, tokens array<bigint>")
+    held = rows.select("doc_id", "owner", "text").mapInArrow(roomy(sets), "id bigint, owner bigint, tokens array<bigint>")
     held = stored(held.select("id", "owner", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token")).distinct(), "heavy")
     common = held.groupBy("token").agg(F.count_distinct("owner").alias("df")).where("df > 1")
     shared = held.join(common.hint("merge"), "token")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import (binpack, components, host_rules, impact_search, language, mixing, ngram_join, packing, repair, suffix_tree, tokens,
                           toxicity)
-from tabspark.llm.common import joined, modulo
+from tabspark.llm.common import joined, modulo, roomy
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, kept string, part int, owner bigint"
@@ -576,3 +576,22 @@ def test_kept_pieces_are_bounded(monkeypatch):
         want = [e.ids + [2] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
         got = [ids[b[i]:b[i + 1]].tolist() for low, high, ids, b in own.ids(pa.array(texts), 2) for i in range(high - low)]
         assert got == want and len(own.kept) <= 5 and own.kept_at.shape[1] == len(own.kept) and own.kept_at[1].sum() == len(own.kept_ids)
+
+
+def test_steps_without_tokenizers_let_go_of_them():
+    tokens.encoder(WORD, False)
+    assert list(roomy(lambda batches: iter([tokens.encoder.cache_info().currsize]))(iter([]))) == [0]
+
+
+def test_words_are_split_in_little_memory():
+    import tracemalloc
+    from tabspark.llm.texts import split_words
+    texts = pa.array(["word and Another\nline of words "] * 32_000)
+    tracemalloc.start()
+    try:
+        words = split_words(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words.distinct.to_pylist() == ["word", "and", "another", "line", "of", "words"] and words.newline[:7].tolist() == [True, False, False, True, False, False, False]
+    assert peak < 25 * texts.nbytes
