@@ -522,6 +522,27 @@ def test_gains_beyond_32_bits():
     assert suffix_tree._unpacked(suffix_tree._added(parcels)["totals"][0].as_py(), "u1").tolist() == [1]
 
 
+def test_lone_places_of_a_state_are_sent_as_one():
+    c = object.__new__(suffix_tree.Coded)
+    n = 50  # "a b c x0", "a b c x1", ...: what follows the run is found once each
+    c.words = np.arange(1, n + 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    c.codes = np.array([w for i in range(n) for w in (0, 1, 2, 3 + i)])
+    c.place, c.own = np.tile(np.arange(4), n), np.repeat(np.arange(n) % 5 != 1, 4)
+    o = np.zeros(n, suffix_tree.OPEN)
+    o["at"], o["text"], o["depth"], o["n"], o["p0"], o["p1"] = np.arange(n) * 4 + 3, np.arange(n), 2, 40, 1e-4, 1e-4
+    assert len(c.entries(o, 1, 4)[0]) == n
+    o["lone"] = 1
+    e, _, number, _, _ = c.entries(o, 1, 4)
+    assert len(e) == 1 and e["count"].tolist() == [40] and not number.any()
+
+
+def test_first_open_places_are_not_stored(spark, docs, monkeypatch):
+    names, stored = [], suffix_tree.stored
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name: names.append(name) or stored(df, name))
+    assert suffix_tree.score_texts(docs, F.lit(True), whole=True).count() == docs.count()
+    assert names[:6] == ["words", "pairs", "triples", "states", "told", "open"]
+
+
 @pytest.mark.parametrize("local", [3, 50_000])
 def test_suffix_tree_of_any_depth(spark, monkeypatch, local):
     monkeypatch.setattr(suffix_tree, "BLOCK", 400)
