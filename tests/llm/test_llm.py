@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -543,6 +544,50 @@ def test_first_open_places_are_not_stored(spark, docs, monkeypatch):
     assert names[:6] == ["words", "pairs", "triples", "states", "told", "open"]
 
 
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_one_long_entry_does_not_widen_its_range():
+    n, wide = 20_000, 1500  # one entry with many words to the left among short ones
+    e = np.zeros(n, suffix_tree.ENTRY)
+    e["g"], e["w"], e["p1"], e["count"], e["reach"] = 1, np.arange(n) + 1, 1e-4, 1, 1
+    e["g"][0], e["reach"][-1] = 7, wide
+    table = pa.table({"kind": ["open"], "range": pa.array([0], pa.int32()), "block": pa.array([3], pa.int64()),
+                      "keys": pa.array([suffix_tree._packed(e)], pa.binary()),
+                      "amounts": pa.array([suffix_tree._packed(np.arange(wide - 1, dtype="<u8"))], pa.binary())})
+    told = []
+    assert _peak_mb(lambda: told.append(suffix_tree._deepened(table))) < 20  # padded to the longest: 240
+    assert len(suffix_tree._unpacked(told[0]["totals"][0].as_py(), suffix_tree.TOLD)) >= n
+
+
+def test_keys_that_share_their_first_bits_are_sorted():
+    rng = np.random.default_rng(3)
+    near = (np.uint64(5) << np.uint64(50)) + rng.integers(0, 4, 3000).astype(np.uint64)  # alike in all bits that are sorted
+    for keys, width in ((near, suffix_tree.KEY_BITS), (rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1), 64), (near[:1], 64), (near[:0], 64)):
+        assert suffix_tree._order(keys, width).tolist() == np.argsort(keys, kind="stable").tolist()
+        for got, want in zip(suffix_tree._distinct(keys, width), np.unique(keys, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
+def test_key_ranges_grow_with_the_words(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "RANGE_WORDS", 50)
+    ranges = []
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name, f=suffix_tree.stored: ranges.append((name, f(df, name))) or ranges[-1][1])
+    scores = lambda: sorted(r["score"] for r in suffix_tree.score_texts(docs, F.lit(True), whole=True).collect())
+    want = scores()
+    words = sum(len(lowered(r["text"])) + 1 for r in docs.collect())
+    assert words > 50 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dict(ranges)["words"].agg(F.max("range")).first()[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(suffix_tree, "RANGE_WORDS", 10**9)
+    assert scores() == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize("local", [3, 50_000])
 def test_suffix_tree_of_any_depth(spark, monkeypatch, local):
     monkeypatch.setattr(suffix_tree, "BLOCK", 400)
