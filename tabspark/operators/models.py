@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.functions.columns import col
-from tabspark.operators import newton
+from tabspark.operators import cells, newton
 from tabspark.operators.boosting import fit_softmax
 from tabspark.operators.gram import moments
 from tabspark.session import shared_dir
@@ -57,6 +57,10 @@ FIT_SHARDS = 8              # default of the session setting tabspark.fit.shards
 SHARD_ROWS = 500_000        # rows of a shard, about; larger tables have more shards than the setting says
 
 
+def shards_of(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("tabspark.fit.shards", str(FIT_SHARDS))), -(-rows // SHARD_ROWS))
+
+
 @contextmanager
 def ready(data: DataFrame):
     """The rows persisted for passes to come, dealt by their hash to a number of shards that only their count decides.
@@ -65,10 +69,10 @@ def ready(data: DataFrame):
     the partitions the rows arrive in. The number is the session setting ``tabspark.fit.shards``, or more where a shard
     would have over SHARD_ROWS rows: what one task reads and holds does not grow with the table.
     """
-    shards = max(int(data.sparkSession.conf.get("tabspark.fit.shards", str(FIT_SHARDS))), -(-data.count() // SHARD_ROWS))
-    cells = [col(f.name) for f in data.schema.fields if "map<" not in f.dataType.simpleString()]
-    dealt = data.repartition(shards, F.xxhash64(*cells)) if cells else data.repartition(shards)
-    dealt = dealt.sortWithinPartitions(F.xxhash64(*cells), F.hash(*cells)) if cells else dealt
+    shards = shards_of(data.sparkSession, data.count())
+    cols = [col(f.name) for f in data.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = data.repartition(shards, F.xxhash64(*cols)) if cols else data.repartition(shards)
+    dealt = dealt.sortWithinPartitions(F.xxhash64(*cols), F.hash(*cols)) if cols else dealt
     rows = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows
@@ -178,20 +182,47 @@ def _tree_args(p: dict) -> dict:
 def fit_forest(data: DataFrame, classes: int | None, p: dict, seed: int) -> MllibCore:
     args = {**_tree_args(p), "numTrees": int(p["n_estimators"]), "seed": seed,
             "featureSubsetStrategy": _subset(p.get("max_features", "sqrt")), "bootstrap": bool(p.get("bootstrap", True))}
-    est = RandomForestRegressor(**args) if classes is None else RandomForestClassifier(**args, impurity="gini")
-    return MllibCore(est.fit(data), classes)
+    est = RandomForestRegressor if classes is None else lambda **a: RandomForestClassifier(**a, impurity="gini")
+    if args["bootstrap"] and args["minInstancesPerNode"] == 1:
+        found = _cells(data, classes, args["numTrees"], seed)
+        if found:
+            return MllibCore(_forest_on_cells(*found, est, args, classes), classes)
+    return MllibCore(est(**args).fit(data), classes)
+
+
+def _cells(data: DataFrame, classes: int | None, trees: int, seed: int):
+    return cells.cells(data, classes, MAX_BINS, lambda rows: shards_of(data.sparkSession, rows), trees, seed)
+
+
+def _forest_on_cells(found: DataFrame, cuts: list[np.ndarray], est, args: dict, classes: int | None):
+    """A fit for each tree, on the cells of its bag."""
+    args = {**args, "numTrees": 1, "bootstrap": False, "maxBins": cells.BINS, "weightCol": "weight"}
+    with ready(found) as kept:
+        def tree(i: int):
+            times = F.col("times")[i]
+            label = F.col("label") if classes is not None else F.col("sums")[i] / times
+            bag = kept.filter(times > 0).select("features", label.alias("label"), times.alias("weight"))
+            return est(**{**args, "seed": args["seed"] + i}).fit(bag)
+
+        fits = concurrently([lambda i=i: tree(i) for i in range(len(kept.first()["times"]))])
+        return cells.with_cuts(found.sparkSession, cells.one_forest(fits, classes), cuts)
 
 
 def fit_boosting(data: DataFrame, classes: int | None, p: dict, seed: int):
     shared_dir(data.sparkSession)         # boosting checkpoints there every ten trees
     args = {**_tree_args(p), "maxIter": int(p["n_estimators"]), "stepSize": float(p["learning_rate"]), "seed": seed,
             "subsamplingRate": float(p.get("subsample", 1.0))}
-    if classes is None:
-        return MllibCore(GBTRegressor(**args, lossType="squared").fit(data), None)
-    if classes <= 2:
-        return MllibCore(GBTClassifier(**args).fit(data), classes)
-
-    return fit_softmax(data, classes, p, seed)
+    if classes is not None and classes > 2:
+        return fit_softmax(data, classes, p, seed)
+    est = (lambda **a: GBTRegressor(**a, lossType="squared")) if classes is None else GBTClassifier
+    if args["subsamplingRate"] == 1 and args["minInstancesPerNode"] == 1:
+        found = _cells(data, classes, 0, seed)
+        if found:
+            with ready(found[0]) as kept:
+                label = F.col("label") if classes is not None else F.col("total") / F.col("n")
+                fitted = est(**{**args, "maxBins": cells.BINS}, weightCol="weight").fit(kept.select("features", label.alias("label"), F.col("n").alias("weight")))
+                return MllibCore(cells.with_cuts(data.sparkSession, fitted, found[1]), classes)
+    return MllibCore(est(**args).fit(data), classes)
 
 
 def solve_ridge(n: int, means: np.ndarray, cov: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:

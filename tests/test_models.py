@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F, types as T
 
 import tabspark as ts
-from tabspark.operators import metrics, mlp, models, trees
+from tabspark.operators import cells, metrics, mlp, models, trees
 from tabspark.plans import train as plan, tuning
 from tabspark.plans.run import RunSpec
 from tabspark.sources.runs import Runs
@@ -639,3 +639,80 @@ def test_verdicts(spark):
 
     assert [loss(0.1, 0.9, 5, 9), loss(0.1, 0.9, 9, 9), loss(0.6, 0.7, 9, 9), loss(0.1, 0.2, 9, 9)] == [
         "early_stopped", "overfit", "underfit", "ok"]
+
+
+# trees on cells
+
+@pytest.fixture
+def odd_rows(spark):
+    rng = np.random.default_rng(11)
+    x, few = rng.normal(size=3000), rng.integers(0, 5, 3000)
+    y = 3 * np.abs(x) + few * (x > 0) + rng.normal(size=3000) / 5
+    rows = [(i, float(a), float(b), "rare" if i % 500 == 0 else f"k{i % 3}", float(c), int(c > 3)) for i, (a, b, c) in enumerate(zip(x, few, y))]
+    return spark.createDataFrame(rows, "id long, x double, few double, kind string, y double, label int").repartition(3)
+
+
+@pytest.fixture
+def on_cells(monkeypatch):
+    def switch(on: bool):
+        monkeypatch.setattr(cells, "CELL_ROWS", 1 if on else 10**12)
+        monkeypatch.setattr(cells, "ROWS_A_CELL", 0)
+    return switch
+
+
+@pytest.mark.parametrize("target, other", [("y", "label"), ("label", "y")])
+def test_boosting_on_cells_is_that_on_rows(odd_rows, on_cells, tmp_path, spark, target, other):
+    told, data = [], odd_rows.drop(other)
+    for on in (False, True):
+        on_cells(on)
+        fitted = ts.fit(data, target, "gradient_boosting", {"n_estimators": 6, "max_depth": 4}, exclude=("id",))
+        out = F.col("probability")[1] if target == "label" else F.col("prediction")
+        told.append(np.array([v for _, v in sorted(map(tuple, fitted.predict(data, ["id"]).select("id", out).collect()))]))
+    assert told[0] == pytest.approx(told[1], abs=1e-6)
+    ts.save_model(spark, fitted, str(tmp_path / "m"))
+    again = ts.score(ts.load_model(spark, str(tmp_path / "m")), data, keep=["id"]).select("id", out)
+    assert [v for _, v in sorted(map(tuple, again.collect()))] == pytest.approx(told[1].tolist())
+
+
+@pytest.mark.parametrize("target, other", [("y", "label"), ("label", "y")])
+def test_forest_on_cells(odd_rows, on_cells, spark, target, other):
+    on_cells(True)
+    params = {"n_estimators": 8, "max_depth": 5, "max_features": "all"}
+    fits = [ts.fit(d, target, "random_forest", params, exclude=("id",)) for d in (odd_rows.drop(other).coalesce(1), odd_rows.drop(other).repartition(5))]
+    assert fits[0].core.model.getNumTrees == 8 and len(set(fits[0].core.model.toDebugString.split("Tree ")[1:])) == 8
+    out = F.col("probability")[1] if target == "label" else F.col("prediction")
+    told = [[v for _, v in sorted(map(tuple, f.predict(odd_rows, ["id"]).select("id", out).collect()))] for f in fits]
+    assert told[0] == told[1]
+    on_cells(False)
+    rows = ts.fit(odd_rows.drop(other), target, "random_forest", params, exclude=("id",))
+    y = np.array([v for _, v in sorted(map(tuple, odd_rows.select("id", F.col(target).cast("double")).collect()))])
+    errors = [float(((y - np.array([v for _, v in sorted(map(tuple, f.predict(odd_rows, ["id"]).select("id", out).collect()))])) ** 2).mean()) for f in (fits[0], rows)]
+    assert errors[0] < 1.2 * errors[1] and errors[1] < 1.2 * errors[0]
+    parts = ts.explain(fits[0], odd_rows, "id").groupBy("id").agg((F.sum("contribution") + F.first("base_value")).alias("v"))
+    assert [v for _, v in sorted(map(tuple, parts.collect()))] == pytest.approx(told[0], abs=1e-6)
+
+
+def test_cells_hold_all_rows_of_their_bins(odd_rows, on_cells, monkeypatch):
+    on_cells(True)
+    monkeypatch.setattr(cells, "DRAWN", 64)     # cells go on from one part of the rows to the next
+    data = odd_rows.select(array_to_vector(F.array("few", (F.col("x") > 0).cast("double"))).alias("features"), F.col("y").alias("label")).persist()
+    found, cuts = cells.cells(data, None, 64, lambda rows: 3, 20)
+    got = {tuple(r["features"]): r for r in found.collect()}
+    want = {(r["few"], float(r["up"])): r for r in odd_rows.groupBy("few", (F.col("x") > 0).alias("up")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
+    assert [c.tolist() for c in cuts] == [[0.5, 1.5, 2.5, 3.5], [0.5]] and got.keys() == want.keys() and found.count() == 10
+    for k, r in got.items():
+        assert r["n"] == want[k]["n"] and r["total"] == pytest.approx(want[k]["y"])
+    drawn = np.array([r["times"] for r in got.values()]).sum(0)
+    assert len(drawn) == 20 and np.abs(drawn - 3000).max() < 300 and drawn.std() > 10
+    means = np.array([np.array(r["sums"]) / np.array(r["times"]) - r["total"] / r["n"] for r in got.values()])
+    assert 0 < np.abs(means).max() < 1                    # bags differ from their cell inside too
+    assert cells.cells(data, None, 64, lambda rows: 3, cells.CELL_NUMBERS) is None
+    monkeypatch.setattr(cells, "ROWS_A_CELL", 1000)
+    assert cells.cells(data, None, 64, lambda rows: 3) is None
+    data.unpersist()
+
+
+def test_cut_points():
+    assert cells.cut_points(np.array([3.0, 1.0, 1.0, 2.0]), 3).tolist() == [1.5, 2.5]
+    assert cells.cut_points(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]
+    assert cells.cut_points(np.array([7.0, 7.0]), 4).tolist() == []
