@@ -37,6 +37,7 @@ RANGES = {
 FLAT_EPOCHS = 5        # epochs without improvement after which the deep net's learning rate halves
 LEAST_GAIN = 1e-4      # what the validation score of the plain net has to gain to count as better
 PACKED_CELLS = 1 << 18     # numbers of a packed block of rows
+OUTPUT_CELLS = 1 << 15     # numbers of a layer that are computed together outside of training
 BUFFER_CELLS = 1 << 22     # numbers of the rows that are shuffled together
 STATE_BLOCK = 1 << 16      # numbers of a block of the state
 DIRECT_TASKS = 32          # tasks whose states may come to the driver one by one, and fan-in of a level of averages
@@ -78,13 +79,14 @@ def forward(layers: list[dict], x: np.ndarray, dropout: float = 0.0, rng=None) -
     tape = []
     for i, layer in enumerate(layers):
         step = {"x": x}
-        x = x @ layer["w"] + layer["b"]
+        x = x @ np.asfortranarray(layer["w"])          # for small matrices a third of the time
+        x += layer["b"]
         if i < len(layers) - 1:
             if "gamma" in layer:
                 if rng is not None and len(x) > 1:
-                    mean = x.mean(0)
+                    mean = np.add.reduce(x, 0) / len(x)
                     apart = x - mean
-                    var = (apart * apart).mean(0)
+                    var = np.add.reduce(apart * apart, 0) / len(x)
                     layer["mean"] = 0.9 * layer["mean"] + 0.1 * mean
                     layer["var"] = 0.9 * layer["var"] + 0.1 * var * len(x) / (len(x) - 1)
                     step["live"] = True
@@ -92,20 +94,28 @@ def forward(layers: list[dict], x: np.ndarray, dropout: float = 0.0, rng=None) -
                     apart, var = x - layer["mean"], layer["var"]
                     step["live"] = False
                 step["inv"] = 1 / np.sqrt(var + EPS)
-                step["hat"] = apart * step["inv"]
-                x = layer["gamma"] * step["hat"] + layer["beta"]
-            step["mask"] = (x > 0).astype(float)
+                apart *= step["inv"]
+                step["hat"] = apart
+                x = layer["gamma"] * apart
+                x += layer["beta"]
+            live = x > 0
             if rng is not None and dropout > 0:
-                step["mask"] *= (rng.random(x.shape) >= dropout) / (1 - dropout)
-            x = x * step["mask"]
+                live &= rng.random(x.shape) >= dropout
+                step["mask"] = live * (1 / (1 - dropout))
+            else:
+                step["mask"] = live.astype(float)
+            x *= step["mask"]
         tape.append(step)
     return x, tape
 
 
 def outputs(layers: list[dict], x: np.ndarray) -> np.ndarray:
-    """The output alone, outside of training."""
+    """The output alone, outside of training, some rows after the others: what lies between the layers stays small."""
+    step = max(OUTPUT_CELLS // max(layer["w"].shape[1] for layer in layers), 1)
+    if len(x) > step:
+        return np.concatenate([outputs(layers, x[at:at + step]) for at in range(0, len(x), step)])
     for i, layer in enumerate(layers):
-        x = x @ layer["w"]
+        x = x @ np.asfortranarray(layer["w"])
         x += layer["b"]
         if i < len(layers) - 1:
             if "gamma" in layer:
@@ -141,15 +151,19 @@ def gradients(layers: list[dict], tape: list[dict], slope: np.ndarray, decay: fl
     for i in range(len(layers) - 1, -1, -1):
         layer, step = layers[i], tape[i]
         if i < len(layers) - 1:
-            g = g * step["mask"]
+            g *= step["mask"]
             if "gamma" in layer:
                 grads[i]["gamma"], grads[i]["beta"] = (g * step["hat"]).sum(0), g.sum(0)
-                g = g * layer["gamma"] * step["inv"]
+                g *= layer["gamma"]
+                g *= step["inv"]
                 if step["live"]:
-                    g = g - g.mean(0) - step["hat"] * (g * step["hat"]).mean(0)
+                    mean, along = np.add.reduce(g, 0) / len(g), np.add.reduce(g * step["hat"], 0) / len(g)
+                    g -= mean
+                    g -= step["hat"] * along
         grads[i]["w"] = step["x"].T @ g + decay * layer["w"]
         grads[i]["b"] = g.sum(0)
-        g = g @ layer["w"].T
+        if i:
+            g = g @ layer["w"].T
     return grads
 
 
@@ -265,15 +279,16 @@ def _epoch_task(shipped, p: dict, classes: int | None, lr: float, epoch: int, se
                 x = np.frombuffer(packed_x.as_buffer(), np.float64).reshape(n.as_py(), -1)
                 y = np.frombuffer(packed_y.as_buffer(), np.float64)
                 val = np.frombuffer(packed_val.as_buffer(), np.uint8).astype(bool)
-                for here, kind in ((val, "val"), (~val, "train")):
-                    if here.any():
-                        out = outputs(start.layers, x[here])
-                        sums[f"{kind}_loss"] += loss_and_slope(out, y[here], classes)[0]
-                        sums["val_rows" if kind == "val" else "rows"] += float(here.sum())
+                rest = x[~val], y[~val]
+                for (some, true), kind in (((x[val], y[val]), "val"), (rest, "train")):
+                    if len(some):
+                        out = outputs(start.layers, some)
+                        sums[f"{kind}_loss"] += loss_and_slope(out, true, classes)[0]
+                        sums["val_rows" if kind == "val" else "rows"] += float(len(some))
                         if kind == "val" and classes is not None:
-                            sums["val_hits"] += float((out.argmax(1) == y[here]).sum())
-                if learn and not val.all():
-                    held.append((x[~val], y[~val]))
+                            sums["val_hits"] += float((out.argmax(1) == true).sum())
+                if learn and len(rest[0]):
+                    held.append(rest)
                     cells += x.size
                     if cells >= limit:
                         train()

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F, types as T
 
 import tabspark as ts
+from tabspark.catalog import modelling
 from tabspark.operators import cells, metrics, mlp, models, trees
 from tabspark.plans import train as plan, tuning
 from tabspark.plans.run import RunSpec
@@ -716,3 +718,26 @@ def test_cut_points():
     assert cells.cut_points(np.array([3.0, 1.0, 1.0, 2.0]), 3).tolist() == [1.5, 2.5]
     assert cells.cut_points(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]
     assert cells.cut_points(np.array([7.0, 7.0]), 4).tolist() == []
+
+
+# nets
+
+def test_outputs_of_many_rows_stay_small():
+    layers = mlp.init_layers([4, 32, 32, 1], True, 1)
+    x = np.random.default_rng(1).normal(size=(50_000, 4))
+    tracemalloc.start()
+    try:
+        out = mlp.outputs(layers, x)
+        assert tracemalloc.get_traced_memory()[1] < 3e6       # one layer of all rows: 12.8 MB
+    finally:
+        tracemalloc.stop()
+    assert out.shape == (50_000, 1) and out[[0, 1500, 49_999]] == pytest.approx(mlp.forward(layers, x[[0, 1500, 49_999]])[0])
+
+
+def test_net_any_partitioning_joins_once(spark, tmp_path):
+    spark.range(200).selectExpr("id AS c_custkey", "cast(id % 50 * 20 - 200 AS double) AS c_acctbal", "concat('s', id % 3) AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(600).selectExpr("id AS o_orderkey", "id % 200 AS o_custkey", "cast(id * 97 % 1000 * 300 AS double) AS o_totalprice",
+                                "concat('p', id % 4) AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    told = modelling.net_any_partitioning(spark, str(tmp_path))
+    assert not any("orders.parquet" in f for f in told.inputFiles())
+    assert told.count() == 600 and told.filter("same").count() == 600
